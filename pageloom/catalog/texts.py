@@ -221,10 +221,10 @@ dict AS (
   FROM (SELECT text FROM (SELECT unnest(w) AS text FROM bw) WHERE strlen(text) >= 6
         UNION SELECT w[1] || ' ' || w[2] FROM bw WHERE len(w) > 1)
 ),
-at AS (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM w),
+places AS (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM w),
 grams AS (
-  SELECT doc_id, i * 2 AS seq, w[i + 1] AS text FROM at
-  UNION ALL SELECT doc_id, i * 2 + 1, w[i + 1] || ' ' || w[i + 2] FROM at WHERE i + 1 < len(w)
+  SELECT doc_id, i * 2 AS seq, w[i + 1] AS text FROM places
+  UNION ALL SELECT doc_id, i * 2 + 1, w[i + 1] || ' ' || w[i + 2] FROM places WHERE i + 1 < len(w)
 ),
 spans AS (
   SELECT doc_id, CAST(min(seq) AS BIGINT) AS seq, text, min(label) AS label

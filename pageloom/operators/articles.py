@@ -83,7 +83,10 @@ def card_text() -> Column:
         line(" Author : ", F.coalesce("author", F.lit("--"))),
         line(" Date   : ", F.coalesce("published_date", F.lit("--"))),
         line(" Category : ", F.col("inferred_category")),
-        F.format_string(" Relevance : %.3f | Words: %d", "relevance_score", "word_count"),
+        # format_number rounds the exact binary value, format_string its decimal text
+        F.format_string(
+            " Relevance : %s | Words: %d", F.format_number("relevance_score", 3), "word_count"
+        ),
         F.when(F.size("top_keywords") > 0, line(" Keywords : ", F.array_join("top_keywords", ", "))),
         F.when(F.size("named_entities") > 0, line(" Entities : ", F.array_join(entities, "  •  "))),
         line(" Preview : ", preview),
