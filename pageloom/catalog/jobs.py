@@ -175,7 +175,7 @@ def _frontier_sql(budget: int) -> str:
 
 
 _COPIES = "CASE WHEN starts_with(seed_url, 'https://') THEN 2 ELSE 1 END"
-_VISIT = """seed_url, rank, a.url, title, n_tokens AS word_count, round(relevance, 6) AS relevance,
+_VISIT = """seed_url, rank, v.url, title, n_tokens AS word_count, round(relevance, 6) AS relevance,
     array_to_string(top_keywords, ',') AS top_keywords, category"""
 _REACHED = sql.articles("reached", PREFIXES)
 _JSON_NUMBER = "json_extract_string(props, '$.k')"

@@ -9,7 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pageloom import vocab
-from pageloom.functions.expr import blank_to_null, let, trim_space
+from pageloom.functions import words
+from pageloom.functions.expr import blank_to_null, built_once, let, trim_space
 
 # ---------------------------------------------------------------------------
 # Where the fields of an article are looked for, in order.
@@ -220,3 +221,17 @@ def visible_pieces(nodes: Column) -> Column:
 
 def visible_text(nodes: Column) -> Column:
     return F.array_join(visible_pieces(nodes), " ")
+
+
+@built_once
+def page_stats(nodes: str, topic_terms: tuple, k: int = vocab.KEYWORDS_PER_PAGE) -> Column:
+    """Text stats of the visible text of a node column given by name."""
+    return words.text_stats(words.tokens(visible_text(F.col(nodes))), topic_terms, k)
+
+
+@built_once
+def page_field(name: str, nodes: str, documented: bool = True) -> Column:
+    """title, author, published_date or body of a node column given by name."""
+    if name == "author":
+        return author(F.col(nodes), documented)
+    return {"title": title, "published_date": published_date, "body": body}[name](F.col(nodes))

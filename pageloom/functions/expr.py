@@ -1,7 +1,9 @@
 """Small building blocks shared by all column functions."""
 
+import functools
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,15 +57,31 @@ def explode_structs(df: DataFrame, columns: list, structs: Column, required: str
 
 def matches_any(text: Column, needles: list[str]) -> Column:
     """True when ``text`` contains at least one of ``needles``."""
-    found = F.lit(False)
-    for needle in needles:
-        found = found | F.contains(text, F.lit(needle))
-    return found
+    return count_contained(text, needles) > 0
 
 
 def count_contained(text: Column, needles: list[str]) -> Column:
     """How many of ``needles`` occur in ``text``, each counted once."""
-    total = F.lit(0)
-    for needle in needles:
-        total = total + F.contains(text, F.lit(needle)).cast("int")
-    return total
+    if not needles:
+        return F.lit(0)
+    # folded to one array literal; far fewer driver calls than a term per needle
+    words = F.split(F.lit("\n".join(needles)), "\n")
+    return F.size(F.filter(words, lambda needle: F.contains(text, needle)))
+
+
+def built_once(build: Callable[..., Column]) -> Callable[..., Column]:
+    """Keep the columns a function builds from names and other plain values.
+
+    A column is only a description, so it can be used again in the same session;
+    building a long one takes thousands of calls from Python to the driver JVM.
+    """
+    kept = {}
+
+    @functools.wraps(build)
+    def lookup(*args, **kwargs) -> Column:
+        key = (id(SparkContext._active_spark_context), args, tuple(sorted(kwargs.items())))
+        if key not in kept:
+            kept[key] = build(*args, **kwargs)
+        return kept[key]
+
+    return lookup

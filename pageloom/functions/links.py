@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pageloom import vocab
 from pageloom.functions import dom, urls
-from pageloom.functions.expr import let, trim_space
+from pageloom.functions.expr import built_once, let, trim_space
 
 
 def anchors(nodes: Column) -> Column:
@@ -82,3 +82,16 @@ def ranked_links(
             (i + 1).alias("rank"),
         ),
     )
+
+
+@built_once
+def page_ranking(
+    page_url: str, nodes: str, limit: int | None,
+    article_signals: tuple = tuple(vocab.ARTICLE_SIGNALS),
+    noise_signals: tuple = tuple(vocab.NOISE_SIGNALS),
+) -> Column:
+    """``ranked_links`` of a table with these column names."""
+    return ranked_links(
+        F.col(page_url), anchors(F.col(nodes)), limit,
+        article_signals=article_signals, noise_signals=noise_signals,
+    )

@@ -97,9 +97,9 @@ def _authority(scheme: Column, rest: Column) -> Column:
     user = F.regexp_extract(rest, AUTHORITY, 1)
     host = F.lower(F.regexp_extract(rest, AUTHORITY, 2))
     port = F.regexp_replace(F.regexp_extract(rest, AUTHORITY, 3), "^0+(?=[0-9])", "")
-    is_default = F.lit(False)
-    for name, number in DEFAULT_PORTS.items():
-        is_default = is_default | ((scheme == name) & (port == number))
+    is_default = F.concat(scheme, F.lit(":"), port).isin(
+        [f"{name}:{number}" for name, number in DEFAULT_PORTS.items()]
+    )
     valid_host = (host != "") & (
         F.rlike(host, F.lit(r"^\[[0-9a-f:.]+\]$")) | ~F.rlike(host, F.lit(BAD_HOST))
     )
@@ -148,45 +148,33 @@ def join_parts(base: Column, href: Column) -> Column:
     def relative(text: Column) -> Column:
         path, query, fragment = _tail(text)
         folder = F.regexp_replace(base["path"], "[^/]*$", "")
-        starts_at_root = F.rlike(path, F.lit(r"^[/\\]"))
-        return (
-            F.when(
-                F.rlike(text, F.lit(r"^[/\\]{2}")),
-                _absolute(base["scheme"], text),
-            )
-            .when(
-                path != "",
-                _parts(
-                    base["scheme"],
-                    base["authority"],
-                    _normal_path(F.when(starts_at_root, path).otherwise(F.concat(folder, path))),
-                    query,
-                    fragment,
-                ),
-            )
-            .otherwise(
-                _parts(
-                    base["scheme"],
-                    base["authority"],
-                    base["path"],
-                    F.when(query != "", query).otherwise(base["query"]),
-                    fragment,
-                )
+        from_root = F.rlike(path, F.lit(r"^[/\\]"))
+        full = F.when(from_root, path).otherwise(F.concat(folder, path))
+        return F.when(
+            path != "",
+            _parts(base["scheme"], base["authority"], _normal_path(full), query, fragment),
+        ).otherwise(
+            _parts(
+                base["scheme"],
+                base["authority"],
+                base["path"],
+                F.when(query != "", query).otherwise(base["query"]),
+                fragment,
             )
         )
 
     def parse(text: Column) -> Column:
-        scheme = F.lower(F.regexp_extract(text, SCHEME, 1))
-        rest = F.regexp_replace(text, SCHEME, "")
-        same_scheme_relative = (scheme == base["scheme"]) & ~F.rlike(rest, F.lit(r"^[/\\]{2}"))
-        return F.when(
-            base.isNotNull(),
-            F.when(scheme == "", relative(text))
-            .when(same_scheme_relative, relative(rest))
-            .when(scheme.isin(list(DEFAULT_PORTS)), _absolute(scheme, rest)),
+        own_scheme = F.lower(F.regexp_extract(text, SCHEME, 1))
+        scheme = F.when(own_scheme == "", base["scheme"]).otherwise(own_scheme)
+        return let(
+            F.struct(scheme.alias("scheme"), F.regexp_replace(text, SCHEME, "").alias("rest")),
+            lambda ref: F.when(
+                (ref["scheme"] == base["scheme"]) & ~F.rlike(ref["rest"], F.lit(r"^[/\\]{2}")),
+                relative(ref["rest"]),
+            ).when(ref["scheme"].isin(list(DEFAULT_PORTS)), _absolute(ref["scheme"], ref["rest"])),
         )
 
-    return let(_clean(href), parse)
+    return F.when(base.isNotNull(), let(_clean(href), parse))
 
 
 def format_parts(parts: Column, canonical: bool = False) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pageloom import vocab
-from pageloom.functions.expr import let, matches_any
+from pageloom.functions.expr import built_once, let, matches_any
 
 # What separates words, and the score's weights and scale.
 NOT_ALPHANUMERIC = r"[^\p{IsAlphabetic}\p{N}]+"
@@ -147,6 +147,12 @@ def text_stats(
     )
 
 
+@built_once
+def column_stats(text: str, topic_terms: tuple, stop_words: tuple, k: int) -> Column:
+    """``text_stats`` of a text column given by name."""
+    return text_stats(tokens(F.col(text), stop_words), topic_terms, k)
+
+
 def share(part: Column, n: Column) -> Column:
     """part / n, at most 1; null when n is 0 (least() alone would skip that null)."""
     return F.when(n != 0, F.least(part.cast("double") / n.cast("double"), F.lit(1.0)))

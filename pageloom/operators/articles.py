@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom import vocab
-from pageloom.functions import dom, words
+from pageloom.functions import dom
 from pageloom.functions.expr import add_struct
 from pageloom.operators.dom import parse_pages
 from pageloom.operators.entities import Recogniser, detect_entities
@@ -35,18 +35,15 @@ def extract_articles(
     """
     keys = [*keep, F.col(url).alias("url")]
     parsed = parse_pages(pages, keys, html)
-    nodes = F.col("nodes")
-    stats = words.text_stats(words.tokens(dom.visible_text(nodes)), topic_terms)
+    stats = dom.page_stats("nodes", tuple(topic_terms))
     scored = with_scores(add_struct(parsed, [*keep, "url", "nodes"], stats))
     if threshold is not None:
         scored = keep_relevant(scored, threshold)
-    fields = scored.withColumns({
-        "title": dom.title(nodes),
-        "author": dom.author(nodes, documented),
-        "published_date": dom.published_date(nodes),
-        "body": dom.body(nodes),
-        "word_count": F.col("n_tokens"),
-    })
+    found = {
+        name: dom.page_field(name, "nodes", documented)
+        for name in ("title", "author", "published_date", "body")
+    }
+    fields = scored.withColumns({**found, "word_count": F.col("n_tokens")})
     with_entities = detect_entities(fields, "body", load_recogniser)
     return with_entities.withColumn("body_preview", dom.body_preview(F.col("body"))).select(
         *keep, *ARTICLE_FIELDS

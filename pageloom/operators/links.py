@@ -27,8 +27,8 @@ def ranked_links(
     happen in the page's row, so only the kept links leave it.
     """
     parsed = parse_pages(pages, [url], html).withColumnRenamed(url, "page_url")
-    ranked = links.ranked_links(
-        F.col("page_url"), links.anchors(F.col("nodes")), limit, **signals
+    ranked = links.page_ranking(
+        "page_url", "nodes", limit, **{name: tuple(words) for name, words in signals.items()}
     )
     return explode_structs(parsed, ["page_url"], ranked, "pos")
 

@@ -19,14 +19,13 @@ def with_scores(stats: DataFrame, rules=None) -> DataFrame:
 
 
 def score_texts(
-    df: DataFrame, keys: list[str], text: Column | str,
+    df: DataFrame, keys: list[str], text: str,
     topic_terms: list[str] = vocab.TOPIC_TERMS, stop_words: list[str] = vocab.STOP_WORDS,
     k: int = vocab.KEYWORDS_PER_PAGE, rules=None,
 ) -> DataFrame:
     """Scores of a table with one text per row.  Narrow: no shuffle at any size."""
-    text = F.col(text) if isinstance(text, str) else text
-    stats = add_struct(df, keys, words.text_stats(words.tokens(text, stop_words), topic_terms, k))
-    return with_scores(stats, rules)
+    stats = words.column_stats(text, tuple(topic_terms), tuple(stop_words), k)
+    return with_scores(add_struct(df, keys, stats), rules)
 
 
 def top_keywords(counts: DataFrame, keys: list[str], k: int = vocab.KEYWORDS_PER_PAGE) -> DataFrame:
