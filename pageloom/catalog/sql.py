@@ -116,14 +116,19 @@ H1 = f"trim({decode('regexp_extract(html, $$<h1>(.*?)</h1>$$, 1, $$s$$)')}, {SPA
 TITLE = f"trim({decode('regexp_extract(html, $$<title>(.*?)</title>$$, 1, $$s$$)')}, {SPACE})"
 
 
-def paragraphs(article: str = ARTICLE) -> str:
-    """The paragraph fallback of the body."""
+def paragraph_lines(article: str = ARTICLE) -> str:
+    """All <p> texts of more than 20 bytes, one per line."""
     each = (
         f"list_transform(string_split({article}, '<p>')[2:], "
         f"lambda x: array_to_string({text_nodes('x').replace('lambda x:', 'lambda y:').replace('x <>', 'y <>').replace('replace(x,', 'replace(y,')}, ' '))"
     )
     longer = f"list_filter({each}, lambda x: strlen(trim(x, {SPACE})) > 20)"
-    text = f"trim(array_to_string({longer}, e'\\n'), {SPACE})"
+    return f"trim(array_to_string({longer}, e'\\n'), {SPACE})"
+
+
+def paragraphs(article: str = ARTICLE) -> str:
+    """The paragraph fallback of the body."""
+    text = paragraph_lines(article)
     return f"CASE WHEN strlen({text}) > 50 THEN {text} ELSE '{vocab.NO_BODY}' END"
 
 

@@ -95,3 +95,18 @@ def page_ranking(
         F.col(page_url), anchors(F.col(nodes)), limit,
         article_signals=article_signals, noise_signals=noise_signals,
     )
+
+
+@built_once
+def seed_visits(page_url: str, nodes: str, limit: int) -> Column:
+    """The page itself as rank 0, then its best links."""
+    own = F.struct(
+        F.lit(-1).alias("pos"),
+        F.col(page_url).alias("url"),
+        F.lit("").alias("anchor"),
+        F.lit(1.0).alias("priority"),
+        F.lit(0).alias("depth"),
+        F.lit(0).alias("rank"),
+    )
+    best = F.coalesce(page_ranking(page_url, nodes, limit), F.array())
+    return F.concat(F.array(own), best)

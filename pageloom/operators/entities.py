@@ -75,21 +75,27 @@ def dictionary_spans(
     text = F.col(text) if isinstance(text, str) else text
     found_words = F.filter(words.split_words(text), lambda w: w != "")
 
-    def all_grams(w: Column) -> Column:
-        starting_at = lambda i: F.transform(
-            F.sequence(F.lit(1), F.least(F.lit(max_words), F.size(w) - i)),
-            lambda n: F.struct(
-                (i * max_words + n - 1).alias("seq"),
-                F.array_join(F.slice(w, i + 1, n), " ").alias("text"),
+    def grams_of(w: Column, n: int) -> Column:
+        if n == 1:
+            return F.transform(w, lambda x, i: F.struct((i * max_words).alias("seq"), x.alias("text")))
+        return F.when(
+            F.size(w) >= n,
+            F.transform(
+                F.sequence(F.lit(0), F.size(w) - n),
+                lambda i: F.struct(
+                    (i * max_words + (n - 1)).alias("seq"),
+                    F.concat_ws(" ", *[F.get(w, i + k) for k in range(n)]).alias("text"),
+                ),
             ),
-        )
-        places = F.sequence(F.lit(0), F.size(w) - 1)
-        return F.when(F.size(w) > 0, F.flatten(F.transform(places, lambda i: starting_at(i))))
+        ).otherwise(F.array())
+
+    def all_grams(w: Column) -> Column:
+        return F.concat(*[grams_of(w, n) for n in range(1, max_words + 1)])
 
     grams = explode_structs(df, keys, let(found_words, all_grams), "seq")
     entries = dictionary.groupBy("text").agg(F.min("label").alias("label"))
     hits = lookup_join(grams, entries, ["text"], spread_by=[*keys, "seq"])
-    return hits.groupBy(*keys, "text").agg(F.min("seq").alias("seq"), F.min("label").alias("label"))
+    return hits.groupBy(*keys, "text", "label").agg(F.min("seq").alias("seq"))
 
 
 def first_entities(

@@ -26,8 +26,9 @@ def salted_join(
 
     ``right`` is unique per key.  If its column ``heat`` says how many left rows
     each key has, only the ``HOT_KEYS`` hottest keys are salted and copied; any
-    other key then has at most 1/HOT_KEYS of the left rows.  Without ``heat``
-    every key is.  The merge hint keeps Catalyst from broadcasting a side whose
+    other key then has at most 1/HOT_KEYS of the left rows.  ``right`` is read
+    three times in that case, so it should be a written table.  Without ``heat``
+    every key is salted and copied.  The merge hint keeps Catalyst from broadcasting a side whose
     size it underestimates.
     """
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")

@@ -8,6 +8,7 @@ from pageloom.functions import words
 from pageloom.functions.expr import add_struct
 from pageloom.operators import text as text_ops
 from pageloom.operators.joins import lookup_join, salted_join
+from pageloom.plans.staging import stage
 
 
 def with_scores(stats: DataFrame, rules=None) -> DataFrame:
@@ -82,10 +83,11 @@ def topic_hits_from_table(counts: DataFrame, keys: list[str], vocabulary: DataFr
             )
         ).alias("prefix"),
     )
-    found = (
+    found = stage(
         lookup_join(expanded, prefixes, ["prefix"], spread_by=["term"])
         .groupBy("term")
-        .agg(F.count("*").alias("n_prefixes"), F.max("rows").alias("rows"))
+        .agg(F.count("*").alias("n_prefixes"), F.max("rows").alias("rows")),
+        "prefix-matches",
     )
     joined = salted_join(counts, found, ["term"], spread_by=keys, how="left", heat="rows")
     hits = F.col("tf") * F.coalesce("n_prefixes", F.lit(0))
@@ -102,10 +104,10 @@ def tf_idf(counts: DataFrame, keys: list[str], n_docs: Column) -> DataFrame:
 
     weight = tf / n_tokens * (ln((1 + N) / (1 + df)) + 1) with N documents, df of
     them containing the term.  ``counts`` needs ``n_tokens`` (see
-    ``term_freq_with_total``).  Frequent terms occur in most documents, so the
-    join back on the term is salted.
+    ``term_freq_with_total``).  The vocabulary is written once; frequent terms
+    occur in most documents, so the join back on the term salts the hottest.
     """
-    document_freq = counts.groupBy("term").agg(F.count("*").alias("df"))
+    document_freq = stage(counts.groupBy("term").agg(F.count("*").alias("df")), "document-freq")
     idf = F.ln((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0
     return salted_join(counts, document_freq, ["term"], spread_by=keys, heat="df").select(
         *keys, "term", "tf", "df",

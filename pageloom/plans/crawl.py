@@ -8,21 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageloom import vocab
+from pageloom.functions.expr import explode_structs
+from pageloom.functions.links import seed_visits
 from pageloom.functions.urls import canonical_url
 from pageloom.operators.articles import ARTICLE_FIELDS, extract_articles
+from pageloom.operators.dom import parse_pages
 from pageloom.operators.joins import on_demand_join
-from pageloom.operators.links import ranked_links
 from pageloom.plans.staging import stage
 
 
-def load_seeds(seeds: DataFrame, pages: DataFrame, dedupe: bool = True) -> DataFrame:
-    """``url, html, copies`` of the seeds that have a page.
-
-    ``copies`` is how often the seed is listed, 1 with ``dedupe``.
-    """
-    copies = F.lit(1).cast("bigint") if dedupe else F.count("*")
-    listed = seeds.groupBy("url").agg(copies.alias("copies"))
-    return pages.select("url", "html").join(listed, "url")
+def load_seeds(seeds: DataFrame, pages: DataFrame) -> DataFrame:
+    """``url, html`` of the seeds that have a page; each seed once."""
+    return pages.select("url", "html").join(seeds.select("url").distinct(), "url")
 
 
 def page_index(pages: DataFrame) -> DataFrame:
@@ -46,30 +43,25 @@ def expand_frontier(
     without a page are skipped but keep their place in the budget.  The cut is
     made in each seed's row, so the join sees at most ``page_budget`` narrow rows
     per seed.  A home page many seeds link to is a hot key: the join copies its
-    index row on demand.  With ``dedupe`` a link back to the seed is dropped.
+    index row on demand.  With ``dedupe`` a link back to the seed is dropped and
+    a seed counts once; without it ``copies`` says how often the seed is listed.
     """
-    loaded = load_seeds(seeds, pages, dedupe)
     limit = min(page_budget, links_per_page)
-    links = stage(
-        ranked_links(loaded.select("url", "html"), limit=limit), "links"
-    ).select(F.col("page_url").alias("seed_url"), "rank", "url", "priority", "depth")
+    parsed = parse_pages(load_seeds(seeds, pages), ["url"]).withColumnRenamed("url", "seed_url")
+    visits = stage(
+        explode_structs(parsed, ["seed_url"], seed_visits("seed_url", "nodes", limit), "rank"),
+        "visits",
+    ).select("seed_url", "rank", "url", "priority", "depth")
+    own = visits.filter(F.col("rank") == 0).withColumn("page_url", F.col("url"))
+    links = visits.filter(F.col("rank") > 0)
     fetched = on_demand_join(links, page_index(pages), ["url"], spread_by=["seed_url"])
     if dedupe:
         fetched = fetched.filter(F.col("page_url") != F.col("seed_url"))
-    own = loaded.select(
-        F.col("url").alias("seed_url"),
-        F.lit(0).alias("rank"),
-        F.col("url"),
-        F.lit(1.0).alias("priority"),
-        F.lit(0).alias("depth"),
-        F.col("url").alias("page_url"),
-    )
     frontier = own.unionByName(fetched)
     if dedupe:
         return frontier.withColumn("copies", F.lit(1).cast("bigint"))
-    return frontier.join(
-        loaded.select(F.col("url").alias("seed_url"), "copies"), "seed_url"
-    )
+    listed = seeds.groupBy(F.col("url").alias("seed_url")).agg(F.count("*").alias("copies"))
+    return frontier.join(listed, "seed_url")
 
 
 def run_crawl(

@@ -32,20 +32,27 @@ def read_html_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, D
 
     Missing files are reported as quarantine rows instead of failing the job.
     """
-    present, missing = _split_existing(spark, paths)
-    if present:
-        files = spark.read.format("binaryFile").load(present)
+    filled, empty, missing = _sort_paths(spark, paths)
+    if filled:
+        files = spark.read.format("binaryFile").load(filled)
     else:
         files = spark.createDataFrame([], FILE_SCHEMA)
     pages, unreadable = split_readable(files)
+    # Spark leaves files of length 0 out of every listing
+    blank = spark.createDataFrame([(p, "") for p in empty], "path string, html string").select(
+        file_url(F.col("path")).alias("url"), "html"
+    )
     gone = spark.createDataFrame(
         [(p, "file not found") for p in missing], "item string, message string"
     )
-    return pages, unreadable.unionByName(gone)
+    return pages.unionByName(blank), unreadable.unionByName(gone)
 
 
 def stream_html_files(spark: SparkSession, dirs: list[str], max_files: int = 10_000) -> DataFrame:
-    """Stream of new HTML files below ``dirs`` as a binary file table."""
+    """Stream of new HTML files below ``dirs`` as a binary file table.
+
+    Files of length 0 are not seen; they would score 0.
+    """
     streams = [
         spark.readStream.format("binaryFile")
         .schema(FILE_SCHEMA)
@@ -98,9 +105,18 @@ def existing_dirs(spark: SparkSession, dirs: list[str]) -> tuple[list[str], list
     return valid, invalid
 
 
-def _split_existing(spark, paths):
-    present = [p for p in paths if _status(spark, p) is not None]
-    return present, [p for p in paths if p not in set(present)]
+def _sort_paths(spark: SparkSession, paths: list[str]) -> tuple[list[str], list[str], list[str]]:
+    """(files with content and folders, empty files, missing paths)."""
+    filled, empty, missing = [], [], []
+    for path in paths:
+        status = _status(spark, path)
+        if status is None:
+            missing.append(path)
+        elif status.isFile() and status.getLen() == 0:
+            empty.append(path)
+        else:
+            filled.append(path)
+    return filled, empty, missing
 
 
 def _status(spark: SparkSession, path: str):

@@ -23,16 +23,17 @@ def stream_articles(
 
 
 def handle_batch(
-    out: str, threshold: float, options: dict, quarantine: str | None
+    out: str, threshold: float, options: dict, quarantine: str | None, several: bool = True
 ) -> Callable[[DataFrame, int], None]:
     """Batch function of ``run_stream``: one article log partition per batch.
 
     A batch that is retried after a failure overwrites its own folder, so files
-    are never appended twice.
+    are never appended twice.  ``several`` says that more than one folder is
+    watched: only then can one batch hold the same path twice.
     """
 
     def handle(files: DataFrame, batch_id: int) -> None:
-        unique = files.dropDuplicates(["path"])
+        unique = files.dropDuplicates(["path"]) if several else files
         pages, unreadable = split_readable(unique)
         articles = extract_articles(pages, threshold=threshold, **options)
         articles.write.mode("overwrite").option("ignoreNullFields", "false").json(
@@ -60,7 +61,7 @@ def run_stream(
         return None, invalid
     query = (
         stream_html_files(spark, valid)
-        .writeStream.foreachBatch(handle_batch(out, threshold, options, quarantine))
+        .writeStream.foreachBatch(handle_batch(out, threshold, options, quarantine, len(valid) > 1))
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
