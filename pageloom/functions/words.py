@@ -60,34 +60,31 @@ def tokens(text: Column, stop_words: list[str] = vocab.STOP_WORDS) -> Column:
     return F.transform(F.filter(words, lambda w: keep_word(w, stop_words)), lemmatise)
 
 
-def term_counts(token_array: Column) -> Column:
-    """``array<struct<term, tf>>`` in term order, in O(n log n) without a shuffle.
-
-    Sorts the tokens, finds where each run of equal tokens starts, and takes the
-    distance to the next start as the count.
-    """
-
-    def count_runs(terms: Column) -> Column:
-        size = F.size(terms)
-        starts = F.filter(
-            F.sequence(F.lit(0), size - 1),
-            lambda i: (i == 0) | (F.get(terms, i) != F.get(terms, i - 1)),
-        )
-        counted = let(
-            starts,
-            lambda at: F.zip_with(
-                at,
-                F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(size)),
-                lambda start, end: F.struct(
-                    F.get(terms, start).alias("term"),
-                    (end - start).cast("bigint").alias("tf"),
-                ),
+def count_runs(terms: Column, extra: int = 0) -> Column:
+    """``array<struct<term, tf>>`` of a sorted array: finds where each run of equal
+    terms starts and takes the distance to the next start, plus ``extra``."""
+    size = F.size(terms)
+    starts = F.filter(
+        F.sequence(F.lit(0), size - 1),
+        lambda i: (i == 0) | (F.get(terms, i) != F.get(terms, i - 1)),
+    )
+    counted = let(
+        starts,
+        lambda at: F.transform(
+            at,
+            lambda start, k: F.struct(
+                F.get(terms, start).alias("term"),
+                (F.coalesce(F.get(at, k + 1), size) - start + extra).cast("bigint").alias("tf"),
             ),
-        )
-        return F.when(size > 0, counted).otherwise(
-            F.array().cast("array<struct<term:string,tf:bigint>>")
-        )
+        ),
+    )
+    return F.when(size > 0, counted).otherwise(
+        F.array().cast("array<struct<term:string,tf:bigint>>")
+    )
+
 
+def term_counts(token_array: Column) -> Column:
+    """``array<struct<term, tf>>`` in term order, in O(n log n) without a shuffle."""
     return let(F.sort_array(token_array), count_runs)
 
 
@@ -105,26 +102,55 @@ def prefix_matches(term: Column, prefixes: list[str]) -> Column:
     for length, group in sorted(by_length.items()):
         total = total + F.left(term, F.lit(length)).isin(group).cast("int")
     # most terms share no beginning with any prefix: settle those with one lookup
-    shortest = min(by_length)
-    openings = sorted({prefix[:shortest] for prefix in prefixes})
-    return F.when(F.left(term, F.lit(shortest)).isin(openings), total).otherwise(F.lit(0))
+    return F.when(may_match(term, prefixes), total).otherwise(F.lit(0))
+
+
+def may_match(term: Column, prefixes: list[str]) -> Column:
+    """Whether the term begins like at least one prefix."""
+    shortest = min(map(len, prefixes))
+    return F.left(term, F.lit(shortest)).isin(sorted({p[:shortest] for p in prefixes}))
 
 
-def topic_hits(counts: Column, prefixes: list[str]) -> Column:
-    """Sum of tf over all (term, prefix) pairs where the term starts with the prefix."""
+def topic_hits(token_array: Column, prefixes: list[str]) -> Column:
+    """Sum over all tokens of the number of prefixes they start with.
+
+    The same as the sum of tf over (term, prefix) pairs, without needing the counts.
+    """
+    if not prefixes:
+        return F.lit(0).cast("bigint")
     return F.aggregate(
-        counts,
+        F.filter(token_array, lambda t: may_match(t, prefixes)),
         F.lit(0).cast("bigint"),
-        lambda total, c: total + c["tf"] * prefix_matches(c["term"], prefixes),
+        lambda total, t: total + prefix_matches(t, prefixes),
     )
 
 
-def top_terms(counts: Column, k: int) -> Column:
-    """The k most frequent terms; ties in byte order of the term."""
-    ranked = F.sort_array(
-        F.transform(counts, lambda c: F.struct((-c["tf"]).alias("o"), c["term"].alias("term")))
+def top_terms(terms: Column, repeated: Column, k: int) -> Column:
+    """The k most frequent terms of a sorted array; ties in byte order of the term.
+
+    ``repeated`` holds the counts of the terms that occur more than once.  Only if
+    these are fewer than k do terms that occur once matter, and of them the first k.
+    """
+    single = F.filter(
+        terms,
+        lambda x, i: ~F.equal_null(x, F.get(terms, i - 1)) & ~F.equal_null(x, F.get(terms, i + 1)),
+    )
+    ranked = F.transform(
+        F.slice(
+            F.sort_array(
+                F.transform(
+                    repeated,
+                    lambda c: F.struct((-c["tf"]).alias("o"), c["term"].alias("term")),
+                )
+            ),
+            1,
+            k,
+        ),
+        lambda r: r["term"],
+    )
+    return F.when(F.size(repeated) >= k, ranked).otherwise(
+        F.slice(F.concat(ranked, F.slice(single, 1, k)), 1, k)
     )
-    return F.transform(F.slice(ranked, 1, k), lambda r: r["term"])
 
 
 def text_stats(
@@ -132,17 +158,25 @@ def text_stats(
     topic_terms: list[str] = vocab.TOPIC_TERMS,
     k: int = vocab.KEYWORDS_PER_PAGE,
 ) -> Column:
-    """Struct of everything the scores need: counts, topic hits, top keywords."""
+    """Struct of everything the scores need: counts, topic hits, top keywords.
+
+    In the sorted tokens every token equal to its left neighbour is a repeat, so
+    the number of distinct terms is the rest, and only repeated terms are counted.
+    """
+
+    def stats(terms: Column, repeats: Column) -> Column:
+        return F.struct(
+            F.size(terms).cast("bigint").alias("n_tokens"),
+            (F.size(terms) - F.size(repeats)).cast("bigint").alias("unique_terms"),
+            topic_hits(terms, topic_terms).alias("topic_hits"),
+            let(count_runs(repeats, extra=1), lambda c: top_terms(terms, c, k)).alias("top_keywords"),
+        )
+
     return let(
-        token_array,
-        lambda t: let(
-            term_counts(t),
-            lambda counts: F.struct(
-                F.size(t).cast("bigint").alias("n_tokens"),
-                F.size(counts).cast("bigint").alias("unique_terms"),
-                topic_hits(counts, topic_terms).alias("topic_hits"),
-                top_terms(counts, k).alias("top_keywords"),
-            ),
+        F.sort_array(token_array),
+        lambda terms: let(
+            F.filter(terms, lambda x, i: F.equal_null(x, F.get(terms, i - 1))),
+            lambda repeats: stats(terms, repeats),
         ),
     )
 
