@@ -69,17 +69,19 @@ def topic_hits_from_table(counts: DataFrame, keys: list[str], vocabulary: DataFr
     """``keys, topic_hits`` with the prefixes in a table column ``prefix``.
 
     "Starts with" becomes an equi-join: each distinct term is expanded into its
-    own prefixes (at most its length) and looked up.  No theta join, whatever the
-    size of the vocabulary.
+    own prefixes, up to the longest of the vocabulary, and looked up.  No theta
+    join, whatever the size of the vocabulary.
     """
     prefixes = vocabulary.select("prefix").distinct()
+    longest = prefixes.agg(F.coalesce(F.max(F.char_length("prefix")), F.lit(0))).first()[0]
     terms = counts.groupBy("term").agg(F.count("*").alias("rows"))
     expanded = terms.select(
         "term",
         "rows",
         F.explode(
             F.transform(
-                F.sequence(F.lit(1), F.char_length("term")), lambda i: F.left(F.col("term"), i)
+                F.sequence(F.lit(1), F.least(F.char_length("term"), F.lit(max(longest, 1)))),
+                lambda i: F.left(F.col("term"), i),
             )
         ).alias("prefix"),
     )

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.operators.validation import is_html_path
+from pageloom.plans.staging import stage
 
 # Fixed value: files with this extension in any letter case are watched.
 HTML_GLOB = "*.[hH][tT][mM][lL]"
@@ -30,9 +31,10 @@ def split_readable(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 def read_html_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
     """Whole files as pages, any extension; see ``split_readable``.
 
-    Missing files are reported as quarantine rows instead of failing the job.
+    Missing files, and names Spark treats as hidden, become quarantine rows
+    instead of failing the job or vanishing.
     """
-    filled, empty, missing = _sort_paths(spark, paths)
+    filled, empty, refused = _sort_paths(spark, paths)
     if filled:
         files = spark.read.format("binaryFile").load(filled)
     else:
@@ -42,10 +44,8 @@ def read_html_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, D
     blank = spark.createDataFrame([(p, "") for p in empty], "path string, html string").select(
         file_url(F.col("path")).alias("url"), "html"
     )
-    gone = spark.createDataFrame(
-        [(p, "file not found") for p in missing], "item string, message string"
-    )
-    return pages.unionByName(blank), unreadable.unionByName(gone)
+    others = spark.createDataFrame(refused, "item string, message string")
+    return pages.unionByName(blank), unreadable.unionByName(others)
 
 
 def stream_html_files(spark: SparkSession, dirs: list[str], max_files: int = 10_000) -> DataFrame:
@@ -74,9 +74,9 @@ def rescan_modified(
     """Files whose ``(path, modificationTime)`` is not in the ledger.
 
     A file stream reports each path once, so changed files need this batch pass.
-    The ledger is compared on the listing alone; contents are read only for what
-    is new.  ``since`` (a timestamp string) additionally skips older files while
-    listing.
+    The ledger is compared on the listing alone; contents are read only of files
+    as recent as the oldest new one.  ``since`` (a timestamp string) skips older
+    files while listing.
     """
     reader = (
         spark.read.format("binaryFile")
@@ -85,10 +85,16 @@ def rescan_modified(
     )
     if since is not None:
         reader = reader.option("modifiedAfter", since)
-    files = reader.load(dirs)
+    files = reader.load(dirs).filter(is_html_path(F.col("path")))
     version = ["path", "modificationTime"]
-    changed = files.select(*version).join(ledger.select(*version), version, "left_anti")
-    return files.join(changed, version, "left_semi").filter(is_html_path(F.col("path")))
+    listing = files.select(*version).join(ledger.select(*version), version, "left_anti")
+    changed = stage(listing, "changed-files")
+    oldest = changed.agg(F.min("modificationTime")).first()[0]
+    if oldest is None:
+        return files.filter(F.lit(False))
+    # this filter reaches the listing, so older files are not even opened
+    recent = files.filter(F.col("modificationTime") >= F.lit(oldest))
+    return recent.join(changed, version, "left_semi")
 
 
 def existing_dirs(spark: SparkSession, dirs: list[str]) -> tuple[list[str], list[tuple[str, str]]]:
@@ -105,18 +111,20 @@ def existing_dirs(spark: SparkSession, dirs: list[str]) -> tuple[list[str], list
     return valid, invalid
 
 
-def _sort_paths(spark: SparkSession, paths: list[str]) -> tuple[list[str], list[str], list[str]]:
-    """(files with content and folders, empty files, missing paths)."""
-    filled, empty, missing = [], [], []
+def _sort_paths(spark: SparkSession, paths: list[str]) -> tuple[list[str], list[str], list[tuple]]:
+    """(files with content and folders, empty files, (path, why) of the others)."""
+    filled, empty, refused = [], [], []
     for path in paths:
         status = _status(spark, path)
         if status is None:
-            missing.append(path)
+            refused.append((path, "file not found"))
+        elif status.isFile() and status.getPath().getName()[0] in "._":
+            refused.append((path, "hidden file name"))  # Spark skips these silently
         elif status.isFile() and status.getLen() == 0:
             empty.append(path)
         else:
             filled.append(path)
-    return filled, empty, missing
+    return filled, empty, refused
 
 
 def _status(spark: SparkSession, path: str):

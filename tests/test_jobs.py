@@ -143,15 +143,17 @@ def folder(tmp_path):
     (tmp_path / "in" / "skip.htm").write_text(TEXT)
     (tmp_path / "in" / "bad.html").write_bytes(b"<p>\xff\xfe")
     (tmp_path / "in" / "thin.html").write_text("")
+    (tmp_path / "in" / "_x.html").write_text(TEXT)
     return tmp_path
 
 
 def test_file_mode(spark, folder):
-    paths = [str(folder / "in" / n) for n in ("a.html", "skip.htm", "bad.html", "missing.html", "thin.html")]
+    paths = [str(folder / "in" / n) for n in ("a.html", "skip.htm", "bad.html", "missing.html", "thin.html", "_x.html")]
     kept, quarantine = run_files(spark, paths)
     assert sorted(r.url for r in kept.collect()) == [f"file://{folder}/in/a.html", f"file://{folder}/in/skip.htm"]
     messages = {r.item.rsplit("/", 1)[1]: r.message for r in quarantine.collect()}
-    assert messages == {"bad.html": "not valid UTF-8", "missing.html": "file not found"}
+    assert messages == {"bad.html": "not valid UTF-8", "missing.html": "file not found",
+                        "_x.html": "hidden file name"}
     everything, _ = run_files(spark, paths, threshold=0.0)
     assert [r.relevance_score for r in everything.collect() if r.url.endswith("thin.html")] == [0.0]
     pages, errors = read_html_files(spark, [paths[3]])
