@@ -158,7 +158,7 @@ def tf_idf_documents(spark, sf_dir):
     docs = documents(spark, sf_dir)
     counts = text.term_freq_with_total(docs, ["doc_id"], "text")
     n_docs = spark.read.parquet(f"{sf_dir}/documents.parquet").agg(F.count("*")).scalar()
-    weighted = scoring.tf_idf(counts, ["doc_id"], n_docs)
+    weighted = scoring.tf_idf(counts, ["doc_id"], n_docs, text.document_freq(docs, "text"))
     return weighted.withColumn("weight", F.round("weight", 6))
 
 

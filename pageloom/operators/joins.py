@@ -28,8 +28,11 @@ def salted_join(
     each key has, only the ``HOT_KEYS`` hottest keys are salted and copied; any
     other key then has at most 1/HOT_KEYS of the left rows.  ``right`` is read
     three times in that case, so it should be a written table.  Without ``heat``
-    every key is salted and copied.  The merge hint keeps Catalyst from broadcasting a side whose
-    size it underestimates.
+    every key is salted and copied.
+
+    The hint keeps Catalyst from broadcasting a side whose size it underestimates.
+    The hashed side is unique per key, so its partitions are even, and the large
+    left side need not be sorted.
     """
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
     every = F.sequence(F.lit(0), F.lit(salts - 1))
@@ -50,7 +53,7 @@ def salted_join(
             .withColumn("_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0)))))
             .drop("_hot")
         )
-    return spread.join(copies.hint("merge"), [*on, "_salt"], how).drop("_salt")
+    return spread.join(copies.hint("shuffle_hash"), [*on, "_salt"], how).drop("_salt")
 
 
 def lookup_join(

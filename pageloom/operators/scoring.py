@@ -101,17 +101,22 @@ def keep_relevant(scored: DataFrame, threshold: float = vocab.DEFAULT_THRESHOLD)
     return scored.filter(F.col("relevance_score") >= F.lit(threshold))
 
 
-def tf_idf(counts: DataFrame, keys: list[str], n_docs: Column) -> DataFrame:
+def tf_idf(
+    counts: DataFrame, keys: list[str], n_docs: Column, document_freq: DataFrame | None = None
+) -> DataFrame:
     """``keys, term, tf, df, weight`` over a corpus.
 
     weight = tf / n_tokens * (ln((1 + N) / (1 + df)) + 1) with N documents, df of
     them containing the term.  ``counts`` needs ``n_tokens`` (see
-    ``term_freq_with_total``).  The vocabulary is written once; frequent terms
-    occur in most documents, so the join back on the term salts the hottest.
+    ``term_freq_with_total``); ``document_freq`` (``text.document_freq``) is derived
+    from it if not given.  The vocabulary is written once; frequent terms occur in
+    most documents, so the join back on the term salts the hottest.
     """
-    document_freq = stage(counts.groupBy("term").agg(F.count("*").alias("df")), "document-freq")
+    if document_freq is None:
+        document_freq = counts.groupBy("term").agg(F.count("*").alias("df"))
+    vocabulary = stage(document_freq, "document-freq")
     idf = F.ln((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0
-    return salted_join(counts, document_freq, ["term"], spread_by=keys, heat="df").select(
+    return salted_join(counts, vocabulary, ["term"], spread_by=keys, heat="df").select(
         *keys, "term", "tf", "df",
         (F.col("tf") / F.col("n_tokens").cast("double") * idf).alias("weight"),
     )

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pageloom import vocab
 from pageloom.functions import words
-from pageloom.functions.expr import explode_structs, let
+from pageloom.functions.expr import add_struct, explode_structs, let
 
 
 def tokenize(
@@ -39,18 +39,24 @@ def term_freq_with_total(
 ) -> DataFrame:
     """``keys, term, tf, n_tokens`` for one row per key, without a shuffle."""
     text = F.col(text) if isinstance(text, str) else text
-    rows = let(
+    counted = let(
         words.tokens(text, stop_words),
-        lambda t: F.transform(
-            words.term_counts(t),
-            lambda c: F.struct(
-                c["term"].alias("term"),
-                c["tf"].alias("tf"),
-                F.size(t).cast("bigint").alias("n_tokens"),
-            ),
+        lambda t: F.struct(
+            F.size(t).cast("bigint").alias("n_tokens"), words.term_counts(t).alias("_counts")
         ),
     )
-    return explode_structs(df, keys, rows, "term")
+    return explode_structs(
+        add_struct(df, keys, counted), [*keys, "n_tokens"], F.col("_counts"), "term"
+    ).select(*keys, "term", "tf", "n_tokens")
+
+
+def document_freq(
+    df: DataFrame, text: Column | str, stop_words: list[str] = vocab.STOP_WORDS
+) -> DataFrame:
+    """``term, df``: in how many rows each term occurs."""
+    text = F.col(text) if isinstance(text, str) else text
+    terms = df.select(F.explode(F.array_distinct(words.tokens(text, stop_words))).alias("term"))
+    return terms.groupBy("term").agg(F.count("*").alias("df"))
 
 
 def term_totals(counts: DataFrame, keys: list[str], topic_terms: list[str] = vocab.TOPIC_TERMS) -> DataFrame:
