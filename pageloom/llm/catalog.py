@@ -72,10 +72,12 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     found = pii.detect(_table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
     base = F.filter("spans", lambda s: s["is_base"])
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["is_base"] & (s["kind"] == kind))).cast("long")
+
     return found.select(
-        "row.doc_id",
-        *[F.size(F.filter("spans", lambda s, k=kind: s["is_base"] & (s["kind"] == k))).cast("long").alias(f"n_{kind}")
-          for kind in pii.BASE],
+        "row.doc_id", *[count(kind).alias(f"n_{kind}") for kind in pii.BASE],
         _sha256(_span_text(base)).alias("base_sha256"), _span_text(F.col("spans")).alias("spans"))
 
 
