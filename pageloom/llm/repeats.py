@@ -126,11 +126,16 @@ def _run_batch():
             spans = np.fromiter(
                 (xxhash.xxh3_64_intdigest(views[k][a:b + LENGTH])
                  for k, a, b in zip(owner.tolist(), first.tolist(), last.tolist())), np.uint64, first.size)
-            index = pa.array(row)
+            # equal runs in a row (a line or word again and again) are one row that counts them
+            fresh = np.flatnonzero(np.r_[True, (grams[1:] != grams[:-1]) | (spans[1:] != spans[:-1]) | (owner[1:] != owner[:-1])])
+            final = np.r_[fresh[1:] - 1, first.size - 1]
+            index = pa.array(row[fresh])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(index), batch.column("h").take(index), pa.array(first + offset),
-                 pa.array((last - first).astype(np.int32)), pa.array(grams.view(np.int64)), pa.array(spans.view(np.int64))],
-                ["doc_id", "h", "at", "more", "gram", "span"],
+                [batch.column("doc_id").take(index), batch.column("h").take(index), pa.array((first + offset)[fresh]),
+                 pa.array((last - first)[fresh].astype(np.int32)), pa.array((last[final] - first[fresh]).astype(np.int32)),
+                 pa.array((final - fresh + 1).astype(np.int32)),
+                 pa.array(grams[fresh].view(np.int64)), pa.array(spans[fresh].view(np.int64))],
+                ["doc_id", "h", "at", "more", "all_more", "times", "gram", "span"],
             )
 
     return per_batch(build)
@@ -192,17 +197,18 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
     ``intervals`` is an array of (start, end); they may overlap.
     """
     rows = _keyed(docs)
-    found = rows.mapInArrow(_run_batch(), "doc_id long, h int, at long, more int, gram long, span long")
+    found = rows.mapInArrow(
+        _run_batch(), "doc_id long, h int, at long, more int, all_more int, times int, gram long, span long")
     by_gram = Window.partitionBy("gram")
     by_span = Window.partitionBy("gram", "span")
     grouped = stage(
-        found.withColumn("n_gram", F.count("*").over(by_gram)).filter("n_gram > 1")
+        found.withColumn("n_gram", F.sum("times").over(by_gram)).filter("n_gram > 1")
         .withColumn("nth", F.row_number().over(by_span.orderBy("doc_id", "h", "at")))
-        .withColumn("n_span", F.count("*").over(by_span)),
+        .withColumn("n_span", F.sum("times").over(by_span)),
         "runs",
     )
     whole = grouped.filter("n_span > 1").select(
-        "doc_id", "h", F.col("at").alias("start"), (F.col("at") + F.col("more") + LENGTH).alias("end"))
+        "doc_id", "h", F.col("at").alias("start"), (F.col("at") + F.col("all_more") + LENGTH).alias("end"))
     # one run per span stands for all of them; `shared` says that there are more
     mixed = stage(
         grouped.filter("n_gram > n_span and nth = 1")
