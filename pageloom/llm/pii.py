@@ -155,7 +155,9 @@ def votes(kind: Column, value: Column, before: Column, is_base: Column) -> dict[
         .when(kind == "ip", F.when(F.length(value) <= 15, 1).otherwise(0))
         .when(kind == "phone", F.when((n >= 9) & (n <= 15), 1).otherwise(0))
         .when(kind == "iban", F.when((n >= 10), 1).otherwise(-1))
-        .when(kind == "email", F.when(F.length(value) <= 100, 1).otherwise(0))
+        .when(kind.isin("email", "written_email"), F.when(F.length(value) <= 100, 1).otherwise(0))
+        .when(kind == "ssn", F.when(n == 9, 1).otherwise(0))
+        .when(kind == "national_phone", F.when(n == 10, 1).otherwise(0))
         .otherwise(F.lit(-1))
     )
     return {
@@ -228,16 +230,20 @@ def classifier(counts: list[tuple[str, bool, tuple[int, ...], int]]):
 
     ``counts`` has a row per kind, base check and vote pattern, so it is bounded by the
     number of kinds times 3 to the number of labelers.  The labelers' weights come from
-    expectation-maximisation over all kinds; the share of personal data within each
-    kind is then fitted to the posteriors.
+    expectation-maximisation over all kinds, with base spans known to be personal; the
+    share of personal data within each kind is then fitted to the posteriors.
     """
-    patterns: dict[tuple[int, ...], int] = {}
-    for _, _, vote, n in counts:
-        patterns[vote] = patterns.get(vote, 0) + n
-    prior, steps = weak_labels.fit(sorted(patterns.items()), len(LABELERS), start=(-0.5, 1.0, -1.5))
+    patterns: dict[tuple[tuple[int, ...], bool], int] = {}
+    for _, is_base, vote, n in counts:
+        patterns[vote, is_base] = patterns.get((vote, is_base), 0) + n
+    ordered = sorted(patterns.items())
+    prior, steps = weak_labels.fit(
+        [(vote, n) for (vote, _), n in ordered], len(LABELERS), start=(-0.5, 1.0, -1.5),
+        known=[is_base for (_, is_base), _ in ordered])
     mass: dict[str, list[float]] = {}
-    for kind, _, vote, n in counts:
-        p = 1 / (1 + math.exp(-max(-500.0, min(500.0, weak_labels.log_odds(vote, prior, steps)))))
+    for kind, is_base, vote, n in counts:
+        odds = max(-500.0, min(500.0, weak_labels.log_odds(vote, prior, steps)))
+        p = 1.0 if is_base else 1 / (1 + math.exp(-odds))
         held = mass.setdefault(kind, [1.0, 1.0])
         held[0] += n * p
         held[1] += n * (1 - p)

@@ -4,7 +4,7 @@ Base patterns find assignments, access keys and long hexadecimal strings.  The m
 adds strings that look random: a first-order Markov model of random strings and one
 of ordinary identifiers give every long token a log-likelihood ratio.  Both are trained
 on the corpus, on samples that the base patterns label: the values that they find are
-random strings, all other text is ordinary.  Training counts cover all rows and are
+random strings, all other text but long tokens with digits is ordinary.  Training counts cover all rows and are
 summed by Spark into a table of fixed size (2 classes x 68 x 68 characters).
 
 Positions are code points, the end is exclusive.
@@ -37,6 +37,7 @@ KINDS = ("assign", "access", "hex", "random")
 MIN_VALUE, MIN_ACCESS, MIN_HEX = 12, 18, 16
 # A token to be judged; every access key and hexadecimal match lies inside one.
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_DIGIT = re.compile(r"[0-9]")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-"
 # A token counts as random from this log-likelihood ratio (1 in 20,000 tokens is a
 # secret), if on average a character speaks for it with so many nats and if it has so
@@ -44,6 +45,8 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-
 THRESHOLD = 9.9
 PER_CHARACTER = 1.5
 DISTINCT = 8
+_EVEN = (0.1, 0.7)
+_STRENGTH = 10.0
 _SIZE = len(ALPHABET) + 1
 _CODES = np.zeros(256, np.int64)
 for _i, _c in enumerate(ALPHABET):
@@ -78,12 +81,17 @@ def _count_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         if not text:
             continue
         ordinary += _pairs(text)
+        # long tokens with a digit carry no label of their own: they are not ordinary text
+        unlabelled = [m.span() for m in TOKEN.finditer(text) if _DIGIT.search(m[0])]
+        for start, end in unlabelled:
+            ordinary -= _pairs(text[start:end])
         for kind, start, end in base_spans(text):
             if kind == "assign":  # the value, not its name
                 start = ASSIGN.match(text, start).start(2)
             secret = _pairs(text[start:end])
             random += secret
-            ordinary -= secret
+            if not any(a <= start and end <= b for a, b in unlabelled):
+                ordinary -= secret
     for label, counts in ((0, np.maximum(ordinary, 0)), (1, random)):
         pair = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays(
@@ -95,15 +103,20 @@ def _count_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame) -> np.ndarray:
     """Log-likelihood ratio per pair of codes, random against ordinary.
 
-    What reaches the driver has at most 2 x 69 x 69 rows.  Additive smoothing draws
-    pairs that were never seen towards a uniform choice of the next character.
+    What reaches the driver has at most 2 x 69 x 69 rows.  After a character that was
+    seldom seen, the next one follows its class's usual frequencies, mixed with an
+    even choice: a tenth of it for ordinary text, most of it for random strings.
     """
     counted = docs.select("text").mapInArrow(per_batch(_count_batch), "label int, pair int, n long")
     table = np.zeros((2, _SIZE, _SIZE))
     for row in counted.groupBy("label", "pair").agg(F.sum("n").alias("n")).collect():
         table[row["label"]].flat[row["pair"]] = row["n"]
-    inner = table[:, 1:, 1:] + 0.5
-    logs = np.log(inner / inner.sum(axis=2, keepdims=True))
+    inner = table[:, 1:, 1:]
+    logs = []
+    for counts, even in zip(inner, _EVEN):
+        seen = counts.sum(axis=0) + 0.5
+        usual = even / len(ALPHABET) + (1 - even) * seen / seen.sum()
+        logs.append(np.log((counts + _STRENGTH * usual) / (counts.sum(axis=1, keepdims=True) + _STRENGTH)))
     ratio = np.zeros((_SIZE, _SIZE))
     ratio[1:, 1:] = logs[1] - logs[0]
     return ratio

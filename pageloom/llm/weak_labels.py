@@ -18,20 +18,26 @@ Pattern = tuple[tuple[int, ...], float]
 
 
 def fit(
-    patterns: list[Pattern], n_labelers: int, start: tuple[float, float, float] = (START, START_YES, START_NO)
+    patterns: list[Pattern], n_labelers: int, start: tuple[float, float, float] = (START, START_YES, START_NO),
+    known: list[bool] | None = None,
 ) -> tuple[float, list[dict[int, float]]]:
     """Log odds of the class "yes", and per labeler what each vote adds to them.
 
-    ``start`` fixes which class is "yes"; an empty table gives all zeros.
+    ``start`` fixes which class is "yes"; an empty table gives all zeros.  Patterns that
+    are ``known`` to be "yes" stay so.
     """
+    known = known or [False] * len(patterns)
     beliefs = [
         _sigmoid(start[0] + sum(start[1] if v == 1 else start[2] if v == 0 else 0.0 for v in votes))
         for votes, _ in patterns
     ]
+    beliefs = [1.0 if sure else belief for sure, belief in zip(known, beliefs)]
     prior, steps = 0.0, [dict.fromkeys((-1, 0, 1), 0.0)] * n_labelers
     for _ in range(_ROUNDS):
         prior, steps = _weigh(patterns, beliefs, n_labelers)
-        following = [_sigmoid(log_odds(votes, prior, steps)) for votes, _ in patterns]
+        following = [
+            1.0 if sure else _sigmoid(log_odds(votes, prior, steps)) for sure, (votes, _) in zip(known, patterns)
+        ]
         change = max((abs(a - b) for a, b in zip(following, beliefs)), default=0.0)
         beliefs = following
         if change < 1e-9:
