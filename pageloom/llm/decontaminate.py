@@ -4,12 +4,12 @@ Items and documents are sequences of words.  A window is ``WIDTH`` consecutive w
 an item (a shorter item is one window).  The steps:
 
 1. Corpus frequencies of all terms that items contain.
-2. Every window is looked up by its rarest terms.  Their postings ``(term, document,
-   position)`` are stored for the whole corpus, with the words around each
-   position; other terms need no postings.
+2. Every window is looked up by its rarest term.  The postings ``(term, document,
+   position)`` of these terms are stored for the whole corpus, each with the words
+   around its position, which stand for the postings of the other terms nearby.
 3. Lists are intersected from the rarest term on, positions adjusted by the term's
-   offset in the window: a posting proposes a start, the second rarest term must have a
-   posting at its place, and the stored neighbours must spell the window.
+   offset in the window: a posting proposes a start, the second rarest term must stand
+   at its place, and then all neighbours must spell the window.
 
 Terms are filtered by a bitmap of fixed size before they leave a task, so what is
 broadcast does not grow with the benchmark; joins on the term itself follow, so a
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pageloom.llm.shared import binary_column, per_batch, stage, text_hash
 
 WIDTH = 10
-# Terms by which a window is looked up.
+# Terms that are compared one by one, from the rarest on, before the whole window.
 RAREST = 2
 # Bits of the term bitmap: 2 MB, whatever the benchmark.
 _BITS = 1 << 24
@@ -207,7 +207,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> tu
     for every row of ``docs``.
     """
     ranked = ranked_windows(docs, benchmark, width)
-    wanted = ranked.select(F.explode("rarest.term").alias("term")).distinct()
+    wanted = ranked.select(F.col("rarest")[0]["term"].alias("term")).distinct()
     stored = index(docs, wanted, width)
     postings = stored.filter("term is not null")
     looked_up = ranked.select(
