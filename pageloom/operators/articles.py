@@ -94,7 +94,10 @@ def card_text() -> Column:
 def latest_per_url(log: DataFrame, order: str, url: str = "url") -> DataFrame:
     """Newest row of each url in an append log.
 
-    max_by combines before the shuffle, so a url with many versions is cheap.
+    max_by combines before the shuffle, so a url with many versions is cheap.  Rows
+    without an order are the oldest; equal orders go by the row's hash, so the
+    choice is the same in every run.
     """
-    newest = log.groupBy(url).agg(F.max_by(F.struct(*log.columns), order).alias("_row"))
+    rank = F.struct(F.col(order).isNotNull(), F.col(order), F.xxhash64(*log.columns))
+    newest = log.groupBy(url).agg(F.max_by(F.struct(*log.columns), rank).alias("_row"))
     return newest.select("_row.*")

@@ -7,7 +7,6 @@ BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 ROW_OVERHEAD_BYTES = 64
 SALTS = 32
 HOT_KEYS = 1000
-HOT_KEY_BYTES = 1024
 
 
 def measured_bytes(table: DataFrame) -> int:
@@ -31,8 +30,7 @@ def salted_join(
     every key is salted and copied.
 
     The hint keeps Catalyst from broadcasting a side whose size it underestimates.
-    The hashed side is unique per key, so its partitions are even, and the large
-    left side need not be sorted.
+    Both sides are sorted, which spills; a hashed side would have to fit in memory.
     """
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
     every = F.sequence(F.lit(0), F.lit(salts - 1))
@@ -40,20 +38,21 @@ def salted_join(
         spread = left.withColumn("_salt", salt)
         copies = right.withColumn("_salt", F.explode(every))
     else:
-        short = sum((F.octet_length(F.col(c).cast("string")) for c in on), F.lit(0)) <= HOT_KEY_BYTES
-        hottest = right.filter(short).orderBy(F.col(heat).desc(), *on).limit(HOT_KEYS)
-        hot = F.broadcast(hottest.select(*on, F.lit(True).alias("_hot")))
+        # the list holds hashes, so its size does not depend on the length of the keys
+        key = F.xxhash64(*on)
+        hottest = right.select(key.alias("_key"), F.col(heat).alias("_heat")).orderBy(F.desc("_heat"), "_key")
+        hot = F.broadcast(hottest.limit(HOT_KEYS).select("_key", F.lit(True).alias("_hot")).distinct())
         spread = (
-            left.join(hot, on, "left")
+            left.withColumn("_key", key).join(hot, "_key", "left")
             .withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0))
-            .drop("_hot")
+            .drop("_hot", "_key")
         )
         copies = (
-            right.join(hot, on, "left")
+            right.withColumn("_key", key).join(hot, "_key", "left")
             .withColumn("_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0)))))
-            .drop("_hot")
+            .drop("_hot", "_key")
         )
-    return spread.join(copies.hint("shuffle_hash"), [*on, "_salt"], how).drop("_salt")
+    return spread.join(copies.hint("merge"), [*on, "_salt"], how).drop("_salt")
 
 
 def lookup_join(

@@ -6,13 +6,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def staging_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only in local mode."""
+    """The shared folder of the cluster; one temporary folder per session in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="pageloom-")
+    master = spark.sparkContext.master
+    if master.startswith("local") and not master.startswith("local-cluster"):
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL_FOLDERS:
+            _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="pageloom-")
+        return _LOCAL_FOLDERS[app]
     raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
 
 

@@ -12,8 +12,9 @@ FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content b
 
 
 def file_url(path: Column) -> Column:
-    """``file://`` + absolute path, however the file system spells its scheme."""
-    return F.concat(F.lit("file://"), F.regexp_replace(path, "^file:(//)?", ""))
+    """``file://`` + absolute path for local files; another scheme stays as it is."""
+    local = F.concat(F.lit("file://"), F.regexp_replace(path, "^file:(//)?", ""))
+    return F.when(path.rlike("^(?!file:)[A-Za-z][A-Za-z0-9+.-]*:"), path).otherwise(local)
 
 
 def split_readable(files: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -5,9 +5,9 @@ from pageloom.operators import validation
 
 
 @pytest.mark.parametrize("items,valid,failed", [
-    (["2", "4", "6"], ["2", "4", "6"], []),
-    (["1", "3", "five"], [], [("1", "Odd number"), ("3", "Odd number"), ("five", "Not a number")]),
-    (["2", "1", "4", "three", "6"], ["2", "4", "6"], [("1", "Odd number"), ("three", "Not a number")]),
+    (["2147483646", "-2147483648", "0"], ["2147483646", "-2147483648", "0"], []),
+    (["-7", "2147483647", "many"], [], [("-7", "Odd number"), ("2147483647", "Odd number"), ("many", "Not a number")]),
+    (["88", "13", "x9"], ["88"], [("13", "Odd number"), ("x9", "Not a number")]),
     ([], [], []),
     (["+2", "-4", " 2", "2.0", "99999999999", None, ""], ["+2", "-4"],
      [(" 2", "Not a number"), ("2.0", "Not a number"), ("99999999999", "Not a number"),
@@ -21,8 +21,8 @@ def test_split(spark, items, valid, failed):
 
 
 def test_error_text(spark):
-    df = spark.createDataFrame([("foo", "bar")], "i string, m string")
-    assert df.select(validation.error_text(F.col("i"), F.col("m"))).first()[0] == "Invalid item: foo - bar"
+    df = spark.createDataFrame([("17", "too small")], "i string, m string")
+    assert df.select(validation.error_text(F.col("i"), F.col("m"))).first()[0] == "Invalid item: 17 - too small"
 
 
 def test_html_paths(spark):
