@@ -11,7 +11,7 @@ from pageloom.functions import urls
 from pageloom.operators import articles, links, validation
 from pageloom.plans import crawl
 from pageloom.plans.staging import stage
-from pageloom.sources.pages import seeds, spread
+from pageloom.sources.pages import seeds
 
 THRESHOLD = 0.3
 
@@ -113,7 +113,7 @@ def _items(spark, sf_dir) -> DataFrame:
     """Items of the event log: its numbers, with the event type for errors."""
     number = F.get_json_object("props", "$.k")
     item = F.when(F.col("event_type") == "error", F.col("event_type")).otherwise(number)
-    return spread(spark.read.parquet(f"{sf_dir}/events.parquet")).select("event_id", item.alias("item"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", item.alias("item"))
 
 
 def valid_items(spark, sf_dir):

@@ -7,7 +7,6 @@ from pageloom import vocab
 from pageloom.catalog import sql
 from pageloom.functions import words
 from pageloom.operators import entities, scoring, text
-from pageloom.sources.pages import spread
 
 # A vocabulary that occurs in the invented words of the test tables.
 PREFIXES = ["the", "ther", "tion", "ent", "ou", "ver", "cion", "qu", "q"]
@@ -20,11 +19,11 @@ ENGLISH = [
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "role", "text"))
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "role", "text")
 
 
 def english(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +146,7 @@ def category_counts(spark, sf_dir):
 
 def topic_hits_from_table(spark, sf_dir):
     counts = text.term_freq(documents(spark, sf_dir), ["doc_id"], "text", unique_keys=True)
-    items = spread(spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text"))
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text")
     vocabulary = items.select(F.explode(words.tokens(F.col("text"))).alias("w")).select(
         F.left("w", F.lit(5)).alias("prefix")
     )
@@ -176,7 +175,7 @@ def diagnostics(spark, sf_dir):
 
 def _dictionary(spark, sf_dir):
     """Entries from the benchmark items: long words, and the first two words."""
-    items = spread(spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text")).select(
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text").select(
         F.filter(words.split_words(F.col("text")), lambda w: w != "").alias("w")
     )
     entries = items.select(F.explode("w").alias("text")).filter(F.octet_length("text") >= 6).unionByName(

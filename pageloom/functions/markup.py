@@ -57,22 +57,30 @@ ENDS_PARAGRAPH = frozenset(
     pre search section summary table ul xmp""".split()
 )
 SCOPE = frozenset("applet caption html table td th marquee object template".split())
+# what shields an open element from being ended by an inner tag
+PARAGRAPH_SCOPE = SCOPE | {"button"}
+LIST_SCOPE = SCOPE | {"ol", "ul"}
+ITEM_SCOPE = SPECIAL - {"address", "div", "p"}
+TABLE_SCOPE = frozenset(("table", "template"))
 # start tag -> (open elements it ends, elements that shield them)
 IMPLIED_END = {
-    "td": (frozenset(("td", "th")), frozenset(("table", "template"))),
-    "th": (frozenset(("td", "th")), frozenset(("table", "template"))),
-    "tr": (frozenset(("tr",)), frozenset(("table", "template"))),
+    "li": (frozenset(("li",)), ITEM_SCOPE),
+    "dd": (frozenset(("dd", "dt")), ITEM_SCOPE),
+    "dt": (frozenset(("dd", "dt")), ITEM_SCOPE),
+    "td": (frozenset(("td", "th")), TABLE_SCOPE),
+    "th": (frozenset(("td", "th")), TABLE_SCOPE),
+    "tr": (frozenset(("tr",)), TABLE_SCOPE),
     "option": (frozenset(("option",)), SPECIAL),
     "optgroup": (frozenset(("option", "optgroup")), SPECIAL),
     "button": (frozenset(("button",)), SCOPE),
     "a": (frozenset(("a",)), SCOPE),
 }
 for _tag in ("tbody", "thead", "tfoot", "caption", "colgroup"):
-    IMPLIED_END[_tag] = (
-        frozenset(("tbody", "thead", "tfoot", "caption", "colgroup", "tr")),
-        frozenset(("table", "template")),
-    )
+    IMPLIED_END[_tag] = (frozenset(("tbody", "thead", "tfoot", "caption", "colgroup", "tr")), TABLE_SCOPE)
 TABLE_PARTS = frozenset("tbody thead tfoot caption colgroup col tr td th".split())
+_SHIELDS = (SCOPE, PARAGRAPH_SCOPE, LIST_SCOPE, ITEM_SCOPE, TABLE_SCOPE, SPECIAL)
+# tag -> the shields it belongs to
+_SHIELDS_OF = {tag: [shield for shield in _SHIELDS if tag in shield] for tag in SPECIAL}
 
 _S = r"[\t\n\f\r ]"
 _NAME = r"[^\t\n\f\r />][^\t\n\f\r />=]*+"
@@ -85,6 +93,7 @@ _MARKUP = re.compile(
 _ATTR_PARTS = re.compile(
     rf"""({_NAME})(?:{_S}*+={_S}*+(?:"([^"]*+)"?|'([^']*+)'?|([^\t\n\f\r >"'][^\t\n\f\r >]*+))?+)?+"""
 )
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\t\n\f\r />])", re.I) for tag in RAW_TEXT}
 _REFERENCE = re.compile(r"&(#\d+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]*(;|=)?)")
 
 
@@ -100,14 +109,24 @@ def _decode_attr(value):
 
 
 class _Tree:
-    """Node columns under construction plus the stack of open elements."""
+    """Node columns under construction plus the stack of open elements.
+
+    Node ids grow along the stack, so "the innermost open p is not shielded" compares
+    two ids: the last open p and the last open shield.  Each element is pushed and
+    popped once, whatever the nesting depth.
+    """
 
     def __init__(self):
         self.ends, self.parents, self.tags, self.attrs, self.texts = [], [], [], [], []
         self.open = []  # (tag, node id)
+        self.ended = set()  # formatting elements that ended below open blocks
+        self.by_tag = {}  # tag -> ids of its open elements
+        self.by_shield = {shield: [-1] for shield in _SHIELDS}
         self.fresh_text = True  # the next text must not join the previous node
+        self.more_text = []  # what joins the last text node
 
     def node(self, tag, attrs, text):
+        self.join_text()
         self.ends.append(len(self.tags))
         self.parents.append(self.open[-1][1] if self.open else -1)
         self.tags.append(tag)
@@ -115,37 +134,56 @@ class _Tree:
         self.texts.append(text)
         self.fresh_text = tag is not None
 
-    def close_from(self, depth):
+    def join_text(self):
+        if self.more_text:
+            self.texts[-1] += "".join(self.more_text)
+            self.more_text = []
+
+    def push(self, tag, node_id):
+        self.open.append((tag, node_id))
+        self.by_tag.setdefault(tag, []).append(node_id)
+        for shield in _SHIELDS_OF.get(tag, ()):
+            self.by_shield[shield].append(node_id)
+
+    def close_from(self, node_id):
+        """Close this open element and all inside it."""
         last = len(self.tags) - 1
-        for _, node_id in self.open[depth:]:
-            self.ends[node_id] = last
-        del self.open[depth:]
+        while self.open and (self.open[-1][1] >= node_id or self.open[-1][1] in self.ended):
+            tag, top = self.open.pop()
+            if top in self.ended:
+                self.ended.remove(top)
+                continue
+            self.ends[top] = last
+            self.by_tag[tag].pop()
+            for shield in _SHIELDS_OF.get(tag, ()):
+                self.by_shield[shield].pop()
+
+    def innermost(self, tag):
+        ids = self.by_tag.get(tag)
+        return ids[-1] if ids else -1
 
     def close(self, tags, shields):
         """Close the innermost open element of ``tags`` unless shielded."""
-        for depth in range(len(self.open) - 1, -1, -1):
-            tag = self.open[depth][0]
-            if tag in tags:
-                self.close_from(depth)
-                return True
-            if tag in shields:
-                return False
-        return False
+        found = max(map(self.innermost, tags))
+        if found < 0 or found < self.by_shield[shields][-1]:
+            return False
+        self.close_from(found)
+        return True
 
     def is_open(self, tag):
-        return any(name == tag for name, _ in self.open)
+        return bool(self.by_tag.get(tag))
 
     def text(self, text):
         top = self.open[-1][0] if self.open else None
         if top in (None, "html", "head") and not text.strip("\t\n\f\r "):
             return
         if top == "head":
-            self.close_from(len(self.open) - 1)
+            self.close_from(self.open[-1][1])
         if self.tags and self.tags[-1] in ("pre", "listing", "textarea") and text[0] == "\n":
             text = text[1:]
         parent = self.open[-1][1] if self.open else -1
         if not self.fresh_text and self.parents[-1] == parent:
-            self.texts[-1] += text
+            self.more_text.append(text)
         elif text:
             self.node(None, None, text)
 
@@ -155,21 +193,17 @@ class _Tree:
         if tag in TABLE_PARTS and not self.is_open("table"):
             return
         if self.open and self.open[-1][0] == "head" and tag not in HEAD_CONTENT:
-            self.close_from(len(self.open) - 1)
+            self.close_from(self.open[-1][1])
         if tag in ENDS_PARAGRAPH:
-            self.close(("p",), SCOPE | {"button"})
+            self.close(("p",), PARAGRAPH_SCOPE)
         if tag in HEADINGS and self.open and self.open[-1][0] in HEADINGS:
-            self.close_from(len(self.open) - 1)
-        if tag == "li":
-            self.close(("li",), SPECIAL - {"address", "div", "p"})
-        elif tag in ("dd", "dt"):
-            self.close(("dd", "dt"), SPECIAL - {"address", "div", "p"})
-        elif tag in IMPLIED_END:
+            self.close_from(self.open[-1][1])
+        if tag in IMPLIED_END:
             self.close(*IMPLIED_END[tag])
         self.node(tag, attrs, None)
         foreign = self_closed and (self.is_open("svg") or self.is_open("math") or tag in ("svg", "math"))
         if tag not in VOID and not foreign:
-            self.open.append((tag, len(self.tags) - 1))
+            self.push(tag, len(self.tags) - 1)
 
     def end(self, tag):
         if tag in ("html", "body"):
@@ -177,16 +211,16 @@ class _Tree:
         if tag == "br":
             self.node("br", None, None)
         elif tag == "p":
-            if not self.close(("p",), SCOPE | {"button"}):
+            if not self.close(("p",), PARAGRAPH_SCOPE):
                 self.node("p", None, None)
         elif tag in HEADINGS:
             self.close(HEADINGS, SCOPE)
         elif tag in FORMATTING:
             self.end_formatting(tag)
         elif tag == "li":
-            self.close(("li",), SCOPE | {"ol", "ul"})
+            self.close(("li",), LIST_SCOPE)
         elif tag in TABLE_PARTS or tag == "table":
-            self.close((tag,), ("table", "template"))
+            self.close((tag,), TABLE_SCOPE)
         elif tag in SPECIAL:
             self.close((tag,), SCOPE)
         else:
@@ -194,18 +228,16 @@ class _Tree:
 
     def end_formatting(self, tag):
         """End a formatting element; blocks opened inside it stay open."""
-        for depth in range(len(self.open) - 1, -1, -1):
-            name, node_id = self.open[depth]
-            if name == tag:
-                if any(inner in SPECIAL for inner, _ in self.open[depth + 1:]):
-                    self.ends[node_id] = len(self.tags) - 1
-                    del self.open[depth]
-                    self.fresh_text = True
-                else:
-                    self.close_from(depth)
-                return
-            if name in SCOPE:
-                return
+        found = self.innermost(tag)
+        if found < 0 or found < self.by_shield[SCOPE][-1]:
+            return
+        if found < self.by_shield[SPECIAL][-1]:
+            self.ends[found] = len(self.tags) - 1
+            self.by_tag[tag].pop()
+            self.ended.add(found)
+            self.fresh_text = True
+        else:
+            self.close_from(found)
 
 
 def parse_html(html):
@@ -239,13 +271,14 @@ def parse_html(html):
                 parsed.setdefault(name.lower(), _decode_attr(double or single or bare))
         tree.start(tag, parsed, attrs.endswith("/"))
         if tag in RAW_TEXT:
-            raw_end = re.compile(rf"</{tag}(?=[\t\n\f\r />])", re.I).search(html, pos)
+            raw_end = _RAW_END[tag].search(html, pos)
             stop = raw_end.start() if raw_end else end
             if stop > pos:
                 raw = html[pos:stop]
                 tree.text(_html.unescape(raw) if tag in RAW_WITH_REFERENCES else raw)
             pos = stop
     tree.close_from(0)
+    tree.join_text()
     return tree
 
 

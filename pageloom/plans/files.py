@@ -5,7 +5,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pageloom import vocab
 from pageloom.operators.articles import extract_articles
 from pageloom.sources.html_files import read_html_files
-from pageloom.sources.pages import spread
 
 
 def run_files(
@@ -13,4 +12,4 @@ def run_files(
 ) -> tuple[DataFrame, DataFrame]:
     """(articles that reach the threshold, quarantined files)."""
     pages, quarantine = read_html_files(spark, paths)
-    return extract_articles(spread(pages), threshold=threshold, **options), quarantine
+    return extract_articles(pages, threshold=threshold, **options), quarantine

@@ -4,26 +4,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-# A table of at most this many splits (2 GB at Spark's default split size) is small.
-SMALL_SPLITS = 16
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a small table with fewer splits than cores one partition per core.
-
-    For small inputs a shuffle is cheaper than parsing on a few cores.  Larger
-    tables are returned as they are: their pages never move before extraction.
-    """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df.rdd.getNumPartitions()
-    return df.repartition(cores) if splits < cores and splits <= SMALL_SPLITS else df
-
-
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """``url, html`` of a parquet snapshot; other columns are not read."""
-    return spread(spark.read.parquet(path).select("url", "html"))
+    return spark.read.parquet(path).select("url", "html")
 
 
 def seeds(urls: DataFrame, url: str = "url") -> DataFrame:

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,7 +86,10 @@ def test_ends_are_intervals():
 def test_long_unclosed_input_stays_linear():
     parse_html("<a b='" * 20000)
     parse_html("<!--" * 20000)
-    parse_html("<div><p><b>" * 2000 + "x")
+    for unit, end in (("<div>", "</div>"), ("<table><tr><td>", ""), ("<ul><li>", ""), ("<b><p>", "</b>"), ("x</i>", "")):
+        started = time.process_time()
+        parse_html(unit * 100_000 + "x" + end * 100_000)
+        assert time.process_time() - started < 10
 
 
 def test_title_chain(spark):
