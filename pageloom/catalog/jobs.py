@@ -20,8 +20,7 @@ def linked_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A snapshot in which links lead somewhere.
 
     No link of the page table hits a page, so each link target becomes a page
-    with the html of a page that links to it.  Targets that end in punctuation
-    stay missing, like dead links on the web.
+    with the html of a page that links to it.
     """
     table = pages(spark, sf_dir)
     hrefs = F.regexp_extract_all(F.col("html"), F.lit('<a href="([^"]*)"'), F.lit(1))
@@ -29,10 +28,7 @@ def linked_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = table.select(
         "url", F.explode(F.transform(hrefs, lambda h: F.concat(origin, h))).alias("target")
     )
-    chosen = (
-        targets.filter(~F.rlike("target", F.lit("[.,]$")))
-        .groupBy("target").agg(F.min("url").alias("url"))
-    )
+    chosen = targets.groupBy("target").agg(F.min("url").alias("url"))
     copies = table.join(chosen, "url").select(F.col("target").alias("url"), "html")
     return stage(table.unionByName(copies), "snapshot")
 
@@ -156,7 +152,7 @@ snapshot AS (
   SELECT target AS url, html FROM (
     SELECT target, min(url) AS source FROM (
       SELECT {sql.ORIGIN} || unnest(list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1))) AS target, url FROM pages
-    ) WHERE NOT regexp_matches(target, '[.,]$') GROUP BY target
+    ) GROUP BY target
   ) JOIN pages ON pages.url = source
 ),
 idx AS (SELECT canonical, min(url) AS page_url FROM (SELECT url, {sql.canonical()} AS canonical FROM snapshot) GROUP BY canonical)"""

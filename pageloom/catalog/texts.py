@@ -90,8 +90,9 @@ def term_freq_conversations(spark, sf_dir):
 
 
 def page_totals_documents(spark, sf_dir):
-    counts = text.term_freq(documents(spark, sf_dir), ["doc_id"], "text", unique_keys=True)
-    return text.term_totals(counts, ["doc_id"], PREFIXES)
+    docs = documents(spark, sf_dir)
+    counts = text.term_freq(docs, ["doc_id"], "text", unique_keys=True)
+    return text.term_totals(counts, ["doc_id"], PREFIXES, every=docs)
 
 
 def _scores(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -145,12 +146,11 @@ def category_counts(spark, sf_dir):
 
 
 def topic_hits_from_table(spark, sf_dir):
-    counts = text.term_freq(documents(spark, sf_dir), ["doc_id"], "text", unique_keys=True)
+    docs = documents(spark, sf_dir)
+    counts = text.term_freq(docs, ["doc_id"], "text", unique_keys=True)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text")
-    vocabulary = items.select(F.explode(words.tokens(F.col("text"))).alias("w")).select(
-        F.left("w", F.lit(5)).alias("prefix")
-    )
-    return scoring.topic_hits_from_table(counts, ["doc_id"], vocabulary)
+    vocabulary = items.select(F.explode(words.tokens(F.col("text"))).alias("prefix"))
+    return scoring.topic_hits_from_table(counts, ["doc_id"], vocabulary, every=docs)
 
 
 def tf_idf_documents(spark, sf_dir):
@@ -174,12 +174,14 @@ def diagnostics(spark, sf_dir):
 
 
 def _dictionary(spark, sf_dir):
-    """Entries from the benchmark items: long words, and the first two words."""
+    """Entries from the benchmark items: all words, and all pairs of neighbouring words."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text").select(
         F.filter(words.split_words(F.col("text")), lambda w: w != "").alias("w")
     )
-    entries = items.select(F.explode("w").alias("text")).filter(F.octet_length("text") >= 6).unionByName(
-        items.filter(F.size("w") > 1).select(F.array_join(F.slice("w", 1, 2), " ").alias("text"))
+    pairs = F.transform(
+        F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.array_join(F.slice("w", i, F.lit(2)), " "))
+    entries = items.select(F.explode("w").alias("text")).unionByName(
+        items.filter(F.size("w") > 1).select(F.explode(pairs).alias("text"))
     )
     labels = F.array(*[F.lit(x) for x in vocab.ENTITY_LABELS])
     pick = F.pmod(F.octet_length("text"), F.lit(len(vocab.ENTITY_LABELS))).cast("int")
@@ -200,10 +202,9 @@ def first_entities(spark, sf_dir):
 
 
 def collected_entities(spark, sf_dir):
-    spans = entities.dictionary_spans(
-        documents(spark, sf_dir), ["doc_id"], "text", _dictionary(spark, sf_dir), max_words=2
-    )
-    lists = entities.collect_entities(spans, ["doc_id"])
+    docs = documents(spark, sf_dir)
+    spans = entities.dictionary_spans(docs, ["doc_id"], "text", _dictionary(spark, sf_dir), max_words=2)
+    lists = entities.collect_entities(spans, ["doc_id"], every=docs)
     return lists.select(
         "doc_id",
         F.array_join(
@@ -217,8 +218,8 @@ WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, {sql.WORD_BREA
 bw AS (SELECT list_filter(regexp_split_to_array(text, {sql.WORD_BREAK}), lambda x: x <> '') AS w FROM benchmark),
 dict AS (
   SELECT DISTINCT text, [{sql.quoted(vocab.ENTITY_LABELS)}][(strlen(text) % {len(vocab.ENTITY_LABELS)}) + 1] AS label
-  FROM (SELECT text FROM (SELECT unnest(w) AS text FROM bw) WHERE strlen(text) >= 6
-        UNION SELECT w[1] || ' ' || w[2] FROM bw WHERE len(w) > 1)
+  FROM (SELECT unnest(w) AS text FROM bw
+        UNION SELECT w[i] || ' ' || w[i + 1] FROM (SELECT w, unnest(range(1, len(w))) AS i FROM bw))
 ),
 places AS (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM w),
 grams AS (
@@ -262,8 +263,7 @@ ORACLES = {
         FROM (SELECT doc_id, {sql.tokens('text')} AS t FROM documents)""",
     "term_freq_documents": _DOC_TF,
     "term_freq_conversations": sql.term_freq("conversations", "conv_id, role", "text"),
-    "page_totals_documents": f"""SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n_tokens, count(*) AS unique_terms,
-        CAST(sum(tf * {sql.prefix_hits('term', PREFIXES)}) AS BIGINT) AS topic_hits FROM ({_DOC_TF}) GROUP BY doc_id""",
+    "page_totals_documents": f"SELECT doc_id, n_tokens, unique_terms, topic_hits FROM ({_DOC_SCORES})",
     "relevance_documents": _scores_sql("documents", "doc_id", PREFIXES),
     "relevance_default_topics": _scores_sql(english_sql(), "doc_id", vocab.TOPIC_TERMS),
     "relevance_conversations": _scores_sql("conversations", "conv_id", PREFIXES),
@@ -277,9 +277,12 @@ ORACLES = {
         FROM ({sql.scores(english_sql(), 'doc_id', 'text')}) GROUP BY category""",
     "topic_hits_from_table": f"""
         WITH tf AS ({_DOC_TF}),
-        v AS (SELECT DISTINCT left(w, 5) AS prefix FROM (SELECT unnest({sql.tokens('text')}) AS w FROM benchmark)),
-        p AS (SELECT term, count(*) AS n FROM (SELECT DISTINCT term FROM tf) JOIN v ON starts_with(term, prefix) GROUP BY term)
-        SELECT doc_id, CAST(sum(tf * coalesce(n, 0)) AS BIGINT) AS topic_hits FROM tf LEFT JOIN p USING (term) GROUP BY doc_id""",
+        v AS (SELECT DISTINCT unnest({sql.tokens('text')}) AS prefix FROM benchmark),
+        n AS (SELECT DISTINCT length(prefix) AS n FROM v),
+        p AS (SELECT term, count(*) AS n FROM (SELECT term, left(term, n) AS prefix
+              FROM (SELECT DISTINCT term FROM tf) JOIN n ON n <= length(term)) JOIN v USING (prefix) GROUP BY term)
+        SELECT doc_id, CAST(coalesce(sum(tf * coalesce(n, 0)), 0) AS BIGINT) AS topic_hits
+        FROM documents LEFT JOIN tf USING (doc_id) LEFT JOIN p USING (term) GROUP BY doc_id""",
     "tf_idf_documents": f"""
         WITH tf AS ({_DOC_TF}),
         d AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
@@ -294,6 +297,7 @@ ORACLES = {
         category AS inferred_category FROM ({sql.scores(english_sql(), 'doc_id', 'text')})""",
     "dictionary_spans": _SPANS_SQL + "SELECT doc_id, seq, text, label FROM spans",
     "first_entities": _SPANS_SQL + "SELECT doc_id, rank, text, kind FROM firsts",
-    "collected_entities": _SPANS_SQL + """SELECT doc_id,
-        array_to_string(list(text || '/' || kind ORDER BY rank), ',') AS entities FROM firsts GROUP BY doc_id""",
+    "collected_entities": _SPANS_SQL + """SELECT doc_id, coalesce(array_to_string(
+        list(entity || '/' || kind ORDER BY rank) FILTER (entity IS NOT NULL), ','), '') AS entities
+        FROM documents LEFT JOIN (SELECT doc_id, rank, text AS entity, kind FROM firsts) USING (doc_id) GROUP BY doc_id""",
 }

@@ -1,6 +1,6 @@
 """Pages -> node tables."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions import dom
@@ -23,6 +23,16 @@ def dom_select(parsed: DataFrame, keys: list[str], selector: dom.Selector) -> Da
     return parsed.select(*keys, F.inline(dom.select_nodes(F.col("nodes"), selector)))
 
 
+def dom_select_each(parsed: DataFrame, keys: list[str], selectors: dict[str, dom.Selector]) -> DataFrame:
+    """``keys, selector`` and the node of every element under each of several selectors."""
+    def found(name: str, selector: dom.Selector) -> Column:
+        return F.transform(dom.select_nodes(F.col("nodes"), selector), lambda node: F.struct(
+            F.lit(name).alias("selector"), node.alias("node")))
+
+    every = F.concat(*[found(*each) for each in selectors.items()])
+    return parsed.select(*keys, F.inline(every)).select(*keys, "selector", "node.*")
+
+
 def preprocess(pages: DataFrame, keys: list[str], html: str = "html") -> DataFrame:
     """``keys, term, tf`` of the visible text of each page."""
     parsed = parse_pages(pages, keys, html)

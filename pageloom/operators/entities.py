@@ -3,6 +3,7 @@
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import SparkContext, cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +13,7 @@ from pageloom.functions import words
 from pageloom.functions.expr import explode_structs, let
 from pageloom.functions.entities import ENTITY_LIST, entity_list, kind_of
 from pageloom.operators.joins import lookup_join
+from pageloom.operators.text import with_every_key
 
 # A recogniser maps (text, labels) to (span text, label) pairs in its own order.
 Recogniser = Callable[[str, list[str]], Iterable[tuple[str, str]]]
@@ -24,15 +26,24 @@ def span_detector(
 ) -> Callable[[Column], Column]:
     """Column function that runs a recogniser over texts in Arrow batches.
 
-    ``load`` runs on the executor, once per task; ship model files with
-    ``SparkContext.addFile`` and open them there.  A text the recogniser fails on
-    gets no spans, as does a null text.
+    ``load`` runs on the executor, once per Python worker, which keeps the recogniser
+    from task to task; ship model files with ``SparkContext.addFile`` and open them
+    there.  A recogniser that cannot be loaded finds nothing, and the job goes on; a
+    text it fails on gets no spans, as does a null text.
     """
     labels = list(labels)
+    # a worker reads a broadcast value once and keeps it, with what is added to it
+    kept = SparkContext.getOrCreate().broadcast({"load": cloudpickle.dumps(load)})
 
     def detect(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         arrow_type = pa.list_(pa.struct([("text", pa.string()), ("label", pa.string())]))
-        recognise = load()
+        held = kept.value
+        if "recogniser" not in held:
+            try:
+                held["recogniser"] = cloudpickle.loads(held["load"])()
+            except Exception:  # articles without entities are better than none
+                held["recogniser"] = lambda text, labels: []
+        recognise = held["recogniser"]
         for batch in batches:
             rows = []
             for value in batch:
@@ -69,6 +80,7 @@ def dictionary_spans(
     """``keys, seq, text, label``: first place of each dictionary entry in a text.
 
     Entries are matched as whole runs of up to ``max_words`` words, case-sensitive.
+    Runs that repeat inside a text are dropped in its row, before any join.
     The dictionary ``(text, label)`` is broadcast if its measured size allows,
     otherwise joined on salted n-grams.
     """
@@ -90,7 +102,10 @@ def dictionary_spans(
         ).otherwise(F.array())
 
     def all_grams(w: Column) -> Column:
-        return F.concat(*[grams_of(w, n) for n in range(1, max_words + 1)])
+        grams = F.concat(*[grams_of(w, n) for n in range(1, max_words + 1)])
+        by_text = F.transform(grams, lambda g: F.struct(g["text"].alias("text"), g["seq"].alias("seq")))
+        return let(F.sort_array(by_text), lambda s: F.filter(
+            s, lambda g, i: (i == 0) | (g["text"] != F.get(s, i - 1)["text"])))
 
     grams = explode_structs(df, keys, let(found_words, all_grams), "seq")
     entries = dictionary.groupBy("text").agg(F.min("label").alias("label"))
@@ -113,10 +128,15 @@ def first_entities(
     )
 
 
-def collect_entities(spans: DataFrame, keys: list[str], limit: int = vocab.ENTITIES_PER_PAGE) -> DataFrame:
-    """``keys, named_entities`` from span rows; lists hold at most ``limit``."""
-    listed = F.array_sort(F.collect_list(F.struct("rank", "text", "kind")))
-    return first_entities(spans, keys, limit).groupBy(*keys).agg(
+def collect_entities(
+    spans: DataFrame, keys: list[str], limit: int = vocab.ENTITIES_PER_PAGE, every: DataFrame | None = None
+) -> DataFrame:
+    """``keys, named_entities`` from span rows; lists hold at most ``limit``.
+
+    Keys of ``every`` without a span get an empty list.
+    """
+    listed = F.array_sort(F.collect_list(F.when(F.col("rank").isNotNull(), F.struct("rank", "text", "kind"))))
+    return with_every_key(first_entities(spans, keys, limit), keys, every).groupBy(*keys).agg(
         F.transform(listed, lambda e: F.struct(e["text"].alias("text"), e["kind"].alias("kind")))
         .cast(ENTITY_LIST)
         .alias("named_entities")

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 ROW_OVERHEAD_BYTES = 64
 SALTS = 32
-HOT_KEYS = 1000
+# Into how many parts of equal size the left rows are thought to be cut: a key with
+# more rows than one part is hot and gets a salt per part.
+PARTS = 1000
 
 
 def measured_bytes(table: DataFrame) -> int:
@@ -19,38 +21,41 @@ def measured_bytes(table: DataFrame) -> int:
 
 def salted_join(
     left: DataFrame, right: DataFrame, on: list[str], spread_by: list[str],
-    how: str = "inner", salts: int = SALTS, heat: str | None = None,
+    how: str = "inner", salts: int = SALTS, heat: str | None = None, parts: int = PARTS,
 ) -> DataFrame:
-    """Shuffle join that splits hot left keys over ``salts`` tasks; exact for any skew.
+    """Shuffle join that splits hot left keys over several tasks; exact for any skew.
 
-    ``right`` is unique per key.  If its column ``heat`` says how many left rows
-    each key has, only the ``HOT_KEYS`` hottest keys are salted and copied; any
-    other key then has at most 1/HOT_KEYS of the left rows.  ``right`` is read
-    three times in that case, so it should be a written table.  Without ``heat``
-    every key is salted and copied.
+    ``right`` is unique per key.  If its column ``heat`` says how many left rows each
+    key has, a key with more than 1/``parts`` of them is salted and copied as often as
+    its share asks for, so no (key, salt) has many more than 1/``parts`` of the left
+    rows.  Fewer than ``parts`` keys can be that hot, which bounds what is broadcast.
+    ``right`` is read four times in that case, so it should be a written table.
+    Without ``heat`` every key is spread over ``salts`` tasks.
 
     The hint keeps Catalyst from broadcasting a side whose size it underestimates.
     Both sides are sorted, which spills; a hashed side would have to fit in memory.
     """
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    mixed = F.xxhash64(*spread_by)
     if heat is None:
-        spread = left.withColumn("_salt", salt)
-        copies = right.withColumn("_salt", F.explode(every))
+        spread = left.withColumn("_salt", F.pmod(mixed, F.lit(salts)).cast("int"))
+        copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     else:
+        part = (right.agg(F.sum(heat)).first()[0] or 0) / parts
         # the list holds hashes, so its size does not depend on the length of the keys
         key = F.xxhash64(*on)
-        hottest = right.select(key.alias("_key"), F.col(heat).alias("_heat")).orderBy(F.desc("_heat"), "_key")
-        hot = F.broadcast(hottest.limit(HOT_KEYS).select("_key", F.lit(True).alias("_hot")).distinct())
+        shares = F.ceil(F.max(heat) / F.lit(max(part, 1.0))).cast("int").alias("_salts")
+        hot = F.broadcast(
+            right.filter(F.col(heat) > part).groupBy(key.alias("_key")).agg(shares))
+        own = F.coalesce("_salts", F.lit(1))
         spread = (
             left.withColumn("_key", key).join(hot, "_key", "left")
-            .withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0))
-            .drop("_hot", "_key")
+            .withColumn("_salt", F.pmod(mixed, own).cast("int"))
+            .drop("_salts", "_key")
         )
         copies = (
             right.withColumn("_key", key).join(hot, "_key", "left")
-            .withColumn("_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0)))))
-            .drop("_hot", "_key")
+            .withColumn("_salt", F.explode(F.sequence(F.lit(0), own - 1)))
+            .drop("_salts", "_key")
         )
     return spread.join(copies.hint("merge"), [*on, "_salt"], how).drop("_salt")
 

@@ -48,40 +48,41 @@ def score_groups(
 ) -> DataFrame:
     """Like ``score_texts`` when several rows share a key (turns of a conversation).
 
-    Keys without any token keep a row: no tokens, score 0, no keywords.
+    Keys without any token keep a row: no tokens, score 0, no keywords.  A null key is
+    a key like any other.
     """
     counts = text_ops.term_freq(df, keys, text, stop_words)
-    totals = text_ops.term_totals(counts, keys, topic_terms)
-    stats = (
-        df.select(*keys).distinct()
-        .join(totals, keys, "left")
-        .join(top_keywords(counts, keys, k), keys, "left")
-        .select(
-            *keys,
-            *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_tokens", "unique_terms", "topic_hits")],
-            F.coalesce("top_keywords", F.array().cast("array<string>")).alias("top_keywords"),
-        )
+    totals = text_ops.term_totals(counts, keys, topic_terms, every=df)
+    keywords = top_keywords(counts, keys, k)
+    same = [totals[key].eqNullSafe(keywords[key]) for key in keys]
+    stats = totals.join(keywords, same, "left").select(
+        *[totals[key] for key in keys], "n_tokens", "unique_terms", "topic_hits",
+        F.coalesce("top_keywords", F.array().cast("array<string>")).alias("top_keywords"),
     )
     return with_scores(stats, rules)
 
 
-def topic_hits_from_table(counts: DataFrame, keys: list[str], vocabulary: DataFrame) -> DataFrame:
+def topic_hits_from_table(
+    counts: DataFrame, keys: list[str], vocabulary: DataFrame, every: DataFrame | None = None
+) -> DataFrame:
     """``keys, topic_hits`` with the prefixes in a table column ``prefix``.
 
-    "Starts with" becomes an equi-join: each distinct term is expanded into its
-    own prefixes, up to the longest of the vocabulary, and looked up.  No theta
-    join, whatever the size of the vocabulary.
+    "Starts with" becomes an equi-join: each distinct term is expanded into its own
+    prefixes, one per length that occurs in the vocabulary, and looked up.  No theta join,
+    whatever the size of the vocabulary.  The list of lengths is the square root of the
+    vocabulary's bytes at most.  Keys of ``every`` without a term get 0.
     """
     prefixes = vocabulary.select("prefix").distinct()
-    longest = prefixes.agg(F.coalesce(F.max(F.char_length("prefix")), F.lit(0))).first()[0]
+    lengths = prefixes.agg(F.sort_array(F.collect_set(F.char_length("prefix")))).first()[0]
+    occurring = F.array(*map(F.lit, lengths)).cast("array<int>")
     terms = counts.groupBy("term").agg(F.count("*").alias("rows"))
     expanded = terms.select(
         "term",
         "rows",
         F.explode(
             F.transform(
-                F.sequence(F.lit(1), F.least(F.char_length("term"), F.lit(max(longest, 1)))),
-                lambda i: F.left(F.col("term"), i),
+                F.filter(occurring, lambda n: n <= F.char_length("term")),
+                lambda n: F.left(F.col("term"), n),
             )
         ).alias("prefix"),
     )
@@ -93,7 +94,8 @@ def topic_hits_from_table(counts: DataFrame, keys: list[str], vocabulary: DataFr
     )
     joined = salted_join(counts, found, ["term"], spread_by=keys, how="left", heat="rows")
     hits = F.col("tf") * F.coalesce("n_prefixes", F.lit(0))
-    return joined.groupBy(*keys).agg(F.sum(hits).alias("topic_hits"))
+    rows = text_ops.with_every_key(joined.select(*keys, hits.alias("hits")), keys, every)
+    return rows.groupBy(*keys).agg(F.coalesce(F.sum("hits"), F.lit(0)).alias("topic_hits"))
 
 
 def keep_relevant(scored: DataFrame, threshold: float = vocab.DEFAULT_THRESHOLD) -> DataFrame:

@@ -59,10 +59,27 @@ def document_freq(
     return terms.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def term_totals(counts: DataFrame, keys: list[str], topic_terms: list[str] = vocab.TOPIC_TERMS) -> DataFrame:
-    """``keys, n_tokens, unique_terms, topic_hits`` of a term frequency table."""
-    return counts.groupBy(*keys).agg(
-        F.sum("tf").alias("n_tokens"),
-        F.count("*").alias("unique_terms"),
-        F.sum(F.col("tf") * words.prefix_matches(F.col("term"), topic_terms)).alias("topic_hits"),
+def with_every_key(rows: DataFrame, keys: list[str], every: DataFrame | None) -> DataFrame:
+    """``rows`` plus one row with nulls per row of ``every``.
+
+    An aggregation by key then keeps keys without rows, null keys included, and
+    needs no join back.
+    """
+    if every is None:
+        return rows
+    return rows.unionByName(every.select(*keys), allowMissingColumns=True)
+
+
+def term_totals(
+    counts: DataFrame, keys: list[str], topic_terms: list[str] = vocab.TOPIC_TERMS, every: DataFrame | None = None
+) -> DataFrame:
+    """``keys, n_tokens, unique_terms, topic_hits`` of a term frequency table.
+
+    Keys of ``every`` without a term get zeros.
+    """
+    rows = with_every_key(counts.select(*keys, "term", "tf"), keys, every)
+    return rows.groupBy(*keys).agg(
+        F.coalesce(F.sum("tf"), F.lit(0)).alias("n_tokens"),
+        F.count("term").alias("unique_terms"),
+        F.coalesce(F.sum(F.col("tf") * words.prefix_matches(F.col("term"), topic_terms)), F.lit(0)).alias("topic_hits"),
     )
