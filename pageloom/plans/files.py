@@ -8,7 +8,7 @@ from pageloom.sources.html_files import read_html_files
 
 
 def run_files(
-    spark: SparkSession, paths: list[str], threshold: float = vocab.DEFAULT_THRESHOLD, **options
+    spark: SparkSession, paths: list[str] | DataFrame, threshold: float = vocab.DEFAULT_THRESHOLD, **options
 ) -> tuple[DataFrame, DataFrame]:
     """(articles that reach the threshold, quarantined files)."""
     pages, quarantine = read_html_files(spark, paths)

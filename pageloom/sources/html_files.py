@@ -1,13 +1,23 @@
 """HTML files as pages."""
 
+import re
+import sys
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pageloom.operators.validation import is_html_path
 from pageloom.plans.staging import stage
 
 # Fixed value: files with this extension in any letter case are watched.
 HTML_GLOB = "*.[hH][tT][mM][lL]"
+# Contents go from a task to Spark in batches of about so many bytes.
+_BATCH_BYTES = 32 * 1024 * 1024
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
@@ -18,41 +28,112 @@ def file_url(path: Column) -> Column:
 
 
 def split_readable(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pages ``url, html``, quarantine ``item, message``) of a binary file table."""
+    """(pages ``url, html``, quarantine ``item, message``) of a table ``path, content``.
+
+    A column ``message`` says why a file has no content.
+    """
     readable = F.is_valid_utf8("content")
     pages = files.filter(readable).select(
         file_url(F.col("path")).alias("url"), F.col("content").cast("string").alias("html")
     )
-    unreadable = files.filter(~readable).select(
-        F.col("path").alias("item"), F.lit("not valid UTF-8").alias("message")
-    )
+    message = F.lit("not valid UTF-8")
+    if "message" in files.columns:
+        message = F.coalesce("message", message)
+    unreadable = files.filter(~F.coalesce(readable, F.lit(False))).select(
+        F.col("path").alias("item"), message.alias("message"))
     return pages, unreadable
 
 
-def read_html_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """File system of a path and the path inside it; for use on executors."""
+    if re.match(r"(?!file:)[A-Za-z][A-Za-z0-9+.-]*:", path):
+        return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
+    return fs.LocalFileSystem(), re.sub("^file:(//)?", "", path)
+
+
+def _list_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Folders become the files below them; what is missing gets a message."""
+    for batch in batches:
+        for path in batch.column("path").to_pylist():
+            found, message = [path], None
+            try:
+                system, inside = opened(path)
+                info = system.get_file_info(inside)
+                if info.type == fs.FileType.NotFound:
+                    message = "file not found"
+                elif info.type == fs.FileType.Directory:
+                    prefix = path.rstrip("/")
+                    below = [f.path[len(info.path.rstrip("/")):] for f in system.get_file_info(
+                        fs.FileSelector(inside, recursive=True)) if f.is_file]
+                    found = [prefix + rest for rest in below if not re.search("/[._]", rest)]
+            except (OSError, ValueError) as error:
+                message = f"cannot be read: {type(error).__name__}"
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found, pa.string()), pa.array([message] * len(found), pa.string())], ["path", "refused"])
+
+
+def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds ``content`` and, where that is null, ``message``."""
+    for batch in batches:
+        refused = batch.column("refused").to_pylist() if "refused" in batch.schema.names else None
+        start, size, contents, messages = 0, 0, [], []
+
+        def rows(stop):
+            columns = batch.slice(start, stop - start).columns
+            return pa.RecordBatch.from_arrays(
+                [*columns, pa.array(contents, pa.binary()), pa.array(messages, pa.string())],
+                [*batch.schema.names, "content", "message"])
+
+        for i, path in enumerate(batch.column("path").to_pylist()):
+            content, message = None, refused[i] if refused else None
+            if message is None:
+                try:
+                    system, inside = opened(path)
+                    with system.open_input_stream(inside) as stream:
+                        content = stream.read()
+                except (OSError, ValueError) as error:
+                    message = f"cannot be read: {type(error).__name__}"
+            contents.append(content)
+            messages.append(message)
+            size += len(content or b"")
+            if size >= _BATCH_BYTES:
+                yield rows(i + 1)
+                start, size, contents, messages = i + 1, 0, [], []
+        if contents:
+            yield rows(batch.num_rows)
+
+
+def read_paths(paths: DataFrame) -> DataFrame:
+    """``paths`` plus ``content`` and ``message`` of the file named in column ``path``.
+
+    Files are opened on the executors; one that cannot be read gets a message instead
+    of failing the job.  Paths are dealt to tasks by hash, contents never move.
+    """
+    tasks = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = T.StructType([*paths.schema.fields]).add("content", T.BinaryType()).add("message", T.StringType())
+    return paths.repartition(tasks, "path").mapInArrow(_read_batches, schema)
+
+
+def read_html_files(spark: SparkSession, paths: list[str] | DataFrame) -> tuple[DataFrame, DataFrame]:
     """Whole files as pages, any extension; see ``split_readable``.
 
-    Missing files, and names Spark treats as hidden, become quarantine rows
-    instead of failing the job or vanishing.
+    ``paths`` is a list or a table with a column ``path``; a folder stands for the files
+    below it whose names, and whose folders' names, do not begin with ``_`` or ``.``; a
+    file that is named is read whatever its name.  Empty files are empty pages; missing
+    and unreadable ones become quarantine rows.
     """
-    filled, empty, refused = _sort_paths(spark, paths)
-    if filled:
-        files = spark.read.format("binaryFile").load(filled)
-    else:
-        files = spark.createDataFrame([], FILE_SCHEMA)
-    pages, unreadable = split_readable(files)
-    # Spark leaves files of length 0 out of every listing
-    blank = spark.createDataFrame([(p, "") for p in empty], "path string, html string").select(
-        file_url(F.col("path")).alias("url"), "html"
-    )
-    others = spark.createDataFrame(refused, "item string, message string")
-    return pages.unionByName(blank), unreadable.unionByName(others)
+    if not isinstance(paths, DataFrame):
+        paths = spark.createDataFrame([(path,) for path in paths], "path string")
+    listed = paths.select("path").mapInArrow(_list_batches, "path string, refused string")
+    return split_readable(read_paths(listed))
 
 
 def stream_html_files(spark: SparkSession, dirs: list[str], max_files: int = 10_000) -> DataFrame:
     """Stream of new HTML files below ``dirs`` as a binary file table.
 
-    Files of length 0 are not seen; they would score 0.
+    One source over all folders of a file system, so a restart may watch other folders
+    with the same checkpoint (a folder with pattern characters in its name is a source
+    of its own and must stay).  Files of length 0 are not seen; they would score 0.
     """
     streams = [
         spark.readStream.format("binaryFile")
@@ -60,8 +141,8 @@ def stream_html_files(spark: SparkSession, dirs: list[str], max_files: int = 10_
         .option("pathGlobFilter", HTML_GLOB)
         .option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", max_files)
-        .load(d)
-        for d in dirs
+        .load(glob)
+        for glob in _globs(spark, dirs)
     ]
     files = streams[0]
     for stream in streams[1:]:
@@ -69,15 +150,26 @@ def stream_html_files(spark: SparkSession, dirs: list[str], max_files: int = 10_
     return files
 
 
-def rescan_modified(
-    spark: SparkSession, dirs: list[str], ledger: DataFrame, since: str | None = None
-) -> DataFrame:
-    """Files whose ``(path, modificationTime)`` is not in the ledger.
+def _globs(spark: SparkSession, dirs: list[str]) -> list[str]:
+    """Patterns that match exactly ``dirs``: one per file system, and one per odd name."""
+    inside: dict[str, list[str]] = {}
+    odd = []
+    for path in dirs:
+        uri = _status(spark, path).getPath().toUri()
+        root, name = f"{uri.getScheme()}://{uri.getAuthority() or ''}/", uri.getPath().lstrip("/")
+        escaped = re.sub(r"([\\{}\[\]*?,])", r"\\\1", name)
+        if escaped == name:
+            inside.setdefault(root, []).append(name)
+        else:
+            odd.append(root + escaped)
+    return [root + "{" + ",".join(found) + "}" for root, found in sorted(inside.items())] + sorted(odd)
+
+
+def changed_files(spark: SparkSession, dirs: list[str], ledger: DataFrame, since: str | None = None) -> DataFrame:
+    """``path, modificationTime`` of the files that are not in the ledger like this.
 
-    A file stream reports each path once, so changed files need this batch pass.
-    The ledger is compared on the listing alone; contents are read only of files
-    as recent as the oldest new one.  ``since`` (a timestamp string) skips older
-    files while listing.
+    Compares listings only and writes the result down.  ``since`` (a timestamp
+    string) skips older files while listing.
     """
     reader = (
         spark.read.format("binaryFile")
@@ -88,19 +180,26 @@ def rescan_modified(
         reader = reader.option("modifiedAfter", since)
     files = reader.load(dirs).filter(is_html_path(F.col("path")))
     version = ["path", "modificationTime"]
-    listing = files.select(*version).join(ledger.select(*version), version, "left_anti")
-    changed = stage(listing, "changed-files")
-    oldest = changed.agg(F.min("modificationTime")).first()[0]
-    if oldest is None:
-        return files.filter(F.lit(False))
-    # this filter reaches the listing, so older files are not even opened
-    recent = files.filter(F.col("modificationTime") >= F.lit(oldest))
-    return recent.join(changed, version, "left_semi")
+    return stage(files.select(*version).join(ledger.select(*version), version, "left_anti"), "changed-files")
+
+
+def rescan_modified(
+    spark: SparkSession, dirs: list[str], ledger: DataFrame, since: str | None = None
+) -> DataFrame:
+    """Files whose ``(path, modificationTime)`` is not in the ledger, with their contents.
+
+    A file stream reports each path once, so changed files need this batch pass.  No
+    file is opened but those.
+    """
+    return read_paths(changed_files(spark, dirs, ledger, since))
 
 
 def existing_dirs(spark: SparkSession, dirs: list[str]) -> tuple[list[str], list[tuple[str, str]]]:
-    """(valid directories, (item, message) of the others)."""
-    valid, invalid = [], []
+    """(valid directories, (item, message) of the others).
+
+    Of folders inside each other the outer one stays, so no file is found twice.
+    """
+    found, invalid = {}, []
     for path in dirs:
         status = _status(spark, path)
         if status is None:
@@ -108,24 +207,13 @@ def existing_dirs(spark: SparkSession, dirs: list[str]) -> tuple[list[str], list
         elif not status.isDirectory():
             invalid.append((path, "not a directory"))
         else:
-            valid.append(path)
-    return valid, invalid
+            found.setdefault(status.getPath().toString().rstrip("/") + "/", path)
+    outer = [path for full, path in found.items() if not any(full != o and full.startswith(o) for o in found)]
+    return outer, invalid
 
 
-def _sort_paths(spark: SparkSession, paths: list[str]) -> tuple[list[str], list[str], list[tuple]]:
-    """(files with content and folders, empty files, (path, why) of the others)."""
-    filled, empty, refused = [], [], []
-    for path in paths:
-        status = _status(spark, path)
-        if status is None:
-            refused.append((path, "file not found"))
-        elif status.isFile() and status.getPath().getName()[0] in "._":
-            refused.append((path, "hidden file name"))  # Spark skips these silently
-        elif status.isFile() and status.getLen() == 0:
-            empty.append(path)
-        else:
-            filled.append(path)
-    return filled, empty, refused
+def exists(spark: SparkSession, path: str) -> bool:
+    return _status(spark, path) is not None
 
 
 def _status(spark: SparkSession, path: str):
@@ -134,3 +222,7 @@ def _status(spark: SparkSession, path: str):
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop_path.getFileSystem(conf)
     return fs.getFileStatus(hadoop_path) if fs.exists(hadoop_path) else None
+
+
+# Task code travels with the plan, so executors need nothing installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,9 +2,11 @@
 
 Extraction needs no state, so the batch operator runs unchanged on the stream and
 there is no watermark to keep.  Progress lives in the checkpoint: a restart goes
-on where the last run stopped and earlier results stay.
+on where the last run stopped and earlier results stay.  A file stream reports a path
+once; ``run_rescan`` finds the files that were modified since.
 """
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +14,9 @@ from pyspark.sql import functions as F
 
 from pageloom import vocab
 from pageloom.operators.articles import extract_articles
-from pageloom.sources.html_files import existing_dirs, split_readable, stream_html_files
+from pageloom.sources.html_files import (
+    changed_files, existing_dirs, exists, read_paths, split_readable, stream_html_files,
+)
 
 
 def stream_articles(
@@ -22,25 +26,34 @@ def stream_articles(
     return extract_articles(pages, threshold=threshold, **options)
 
 
-def handle_batch(
-    out: str, threshold: float, options: dict, quarantine: str | None, several: bool = True
-) -> Callable[[DataFrame, int], None]:
-    """Batch function of ``run_stream``: one article log partition per batch.
+def write_articles(
+    files: DataFrame, batch: int, out: str, threshold: float, quarantine: str | None, **options
+) -> None:
+    """Extract a table of files into one partition of the article log.
 
-    A batch that is retried after a failure overwrites its own folder, so files
-    are never appended twice.  ``several`` says that more than one folder is
-    watched: only then can one batch hold the same path twice.
+    A batch that is retried after a failure overwrites its own folder, so files are
+    never appended twice.
     """
+    pages, unreadable = split_readable(files)
+    articles = extract_articles(pages, threshold=threshold, **options)
+    articles.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{out}/batch={batch}")
+    if quarantine is not None:
+        unreadable.write.mode("overwrite").json(f"{quarantine}/batch={batch}")
+
+
+def _remember(files: DataFrame, ledger: str, batch: int) -> None:
+    with_ledger_columns(files).write.mode("overwrite").parquet(f"{ledger}/batch={batch}")
+
+
+def handle_batch(
+    out: str, threshold: float, options: dict, quarantine: str | None, ledger: str | None = None
+) -> Callable[[DataFrame, int], None]:
+    """Batch function of ``run_stream``: articles first, then the ledger."""
 
     def handle(files: DataFrame, batch_id: int) -> None:
-        unique = files.dropDuplicates(["path"]) if several else files
-        pages, unreadable = split_readable(unique)
-        articles = extract_articles(pages, threshold=threshold, **options)
-        articles.write.mode("overwrite").option("ignoreNullFields", "false").json(
-            f"{out}/batch={batch_id}"
-        )
-        if quarantine is not None:
-            unreadable.write.mode("overwrite").json(f"{quarantine}/batch={batch_id}")
+        write_articles(files, batch_id, out, threshold, quarantine, **options)
+        if ledger is not None:
+            _remember(files, ledger, batch_id)
 
     return handle
 
@@ -48,20 +61,22 @@ def handle_batch(
 def run_stream(
     spark: SparkSession, dirs: list[str], out: str, checkpoint: str,
     threshold: float = vocab.DEFAULT_THRESHOLD, quarantine: str | None = None,
-    trigger: dict | None = None, **options,
+    trigger: dict | None = None, ledger: str | None = None, **options,
 ):
-    """Watch the valid directories among ``dirs``.
+    """Watch the valid directories among ``dirs`` for new files.
 
     Returns (query or None when no directory is valid, invalid (item, message)).
     Stop it with ``query.stop()``.  ``trigger`` defaults to ``availableNow``; pass
-    ``{"processingTime": "10 seconds"}`` to keep watching.
+    ``{"processingTime": "10 seconds"}`` to keep watching.  A restart may name other
+    directories.  ``ledger`` is a folder that remembers what was processed, for
+    ``run_rescan``.
     """
     valid, invalid = existing_dirs(spark, dirs)
     if not valid:
         return None, invalid
     query = (
         stream_html_files(spark, valid)
-        .writeStream.foreachBatch(handle_batch(out, threshold, options, quarantine, len(valid) > 1))
+        .writeStream.foreachBatch(handle_batch(out, threshold, options, quarantine, ledger))
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
@@ -69,6 +84,37 @@ def run_stream(
     return query, invalid
 
 
+def run_rescan(
+    spark: SparkSession, dirs: list[str], out: str, ledger: str,
+    threshold: float = vocab.DEFAULT_THRESHOLD, quarantine: str | None = None, since: str | None = None, **options,
+) -> DataFrame | None:
+    """Append the articles of new and modified files to the log of ``run_stream``.
+
+    Reads the ledger, opens only files whose path and time it does not hold, and adds
+    them to it once their articles are written; after a failure in between they are
+    processed again, as a later batch.  Batches are numbered by the clock, so they come
+    after all batches of a stream: ``latest_per_url(read_log(...), "batch")`` is the
+    newest state.  Returns ``path, modificationTime`` of the files, None without a directory.
+    """
+    valid, _ = existing_dirs(spark, dirs)
+    if not valid:
+        return None
+    changed = changed_files(spark, valid, read_ledger(spark, ledger), since)
+    if not changed.isEmpty():
+        batch = time.time_ns() // 1_000_000
+        write_articles(read_paths(changed), batch, out, threshold, quarantine, **options)
+        _remember(changed, ledger, batch)
+    return changed
+
+
+def read_ledger(spark: SparkSession, ledger: str) -> DataFrame:
+    """``path, modificationTime, seen_at`` of all files processed; empty without a ledger."""
+    schema = "path string, modificationTime timestamp, seen_at timestamp"
+    if not exists(spark, ledger):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{ledger}/batch=*")
+
+
 def read_log(spark: SparkSession, out: str) -> DataFrame:
     """Article log of ``run_stream`` with the ``batch`` it was written in."""
     schema = (

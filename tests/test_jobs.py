@@ -150,14 +150,16 @@ def folder(tmp_path):
 def test_file_mode(spark, folder):
     paths = [str(folder / "in" / n) for n in ("a.html", "skip.htm", "bad.html", "missing.html", "thin.html", "_x.html")]
     kept, quarantine = run_files(spark, paths)
-    assert sorted(r.url for r in kept.collect()) == [f"file://{folder}/in/a.html", f"file://{folder}/in/skip.htm"]
+    assert sorted(r.url for r in kept.collect()) == [
+        f"file://{folder}/in/{name}" for name in ("_x.html", "a.html", "skip.htm")]
     messages = {r.item.rsplit("/", 1)[1]: r.message for r in quarantine.collect()}
-    assert messages == {"bad.html": "not valid UTF-8", "missing.html": "file not found",
-                        "_x.html": "hidden file name"}
+    assert messages == {"bad.html": "not valid UTF-8", "missing.html": "file not found"}
     everything, _ = run_files(spark, paths, threshold=0.0)
     assert [r.relevance_score for r in everything.collect() if r.url.endswith("thin.html")] == [0.0]
     pages, errors = read_html_files(spark, [paths[3]])
     assert pages.count() == 0 and errors.count() == 1
+    in_folder, _ = run_files(spark, [f"file:{folder}/in"], threshold=0.0)
+    assert sorted(r.url.rsplit("/", 1)[1] for r in in_folder.collect()) == ["B.HTML", "a.html", "skip.htm", "thin.html"]
 
 
 def test_json_sink_overwrites_and_keeps_nulls(spark, pages, tmp_path):
@@ -193,6 +195,49 @@ def test_watch_mode_and_restart(spark, folder):
     assert sorted(r.url.rsplit("/", 1)[1] for r in log.collect()) == ["B.HTML", "a.html", "new.html"]
 
 
+def test_folders_may_vanish_and_lie_inside_each_other(spark, folder):
+    for name in ("more", "odd {a}"):
+        (folder / name).mkdir()
+        (folder / name / "m.html").write_text(TEXT)
+    out, checkpoint = str(folder / "out"), str(folder / "checkpoint")
+
+    def names(*dirs):
+        query, _ = watch.run_stream(spark, [str(folder / d) for d in dirs], out, checkpoint)
+        query.awaitTermination()
+        return sorted(r.url.rsplit("/", 2)[-2] + "/" + r.url.rsplit("/", 1)[1] for r in watch.read_log(spark, out).collect())
+
+    seen = names("in", "in/sub", "more", "odd {a}")
+    assert seen == ["in/a.html", "more/m.html", "odd {a}/m.html", "sub/B.HTML"]
+    (folder / "more").rename(folder / "gone")
+    (folder / "in" / "n.html").write_text(TEXT)
+    assert names("in", "in/sub", "more", "odd {a}") == sorted([*seen, "in/n.html"])
+
+
+def test_watching_is_stopped(spark, folder):
+    query, _ = watch.run_stream(
+        spark, [str(folder / "in")], str(folder / "out"), str(folder / "checkpoint"),
+        trigger={"processingTime": "1 second"})
+    query.processAllAvailable()
+    query.stop()
+    assert not query.isActive and watch.read_log(spark, str(folder / "out")).count() == 2
+
+
+def test_rescan_appends_modified_files(spark, folder):
+    import os
+
+    out, ledger, dirs = str(folder / "out"), str(folder / "ledger"), [str(folder / "in")]
+    query, _ = watch.run_stream(spark, dirs, out, str(folder / "checkpoint"), ledger=ledger)
+    query.awaitTermination()
+    assert watch.run_rescan(spark, dirs, out, ledger).count() == 0
+    (folder / "in" / "a.html").write_text("<title>Second version</title>" + TEXT.replace("Election results", "No"))
+    os.utime(folder / "in" / "a.html", (2_000_000_000, 2_000_000_000))
+    assert [r.path.rsplit("/", 1)[1] for r in watch.run_rescan(spark, dirs, out, ledger).collect()] == ["a.html"]
+    assert watch.run_rescan(spark, dirs, out, ledger).count() == 0
+    newest = articles.latest_per_url(watch.read_log(spark, out), "batch").collect()
+    assert {r.url.rsplit("/", 1)[1]: r.title for r in newest} == {"a.html": "Second version", "B.HTML": "Election results"}
+    assert watch.run_rescan(spark, [str(folder / "nowhere")], out, ledger) is None
+
+
 def test_no_valid_directory_starts_nothing(spark, tmp_path):
     query, invalid = watch.run_stream(spark, [str(tmp_path / "x")], str(tmp_path / "o"), str(tmp_path / "c"))
     assert query is None and len(invalid) == 1
