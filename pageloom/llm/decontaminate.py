@@ -166,12 +166,12 @@ def index(docs: DataFrame, terms: DataFrame, width: int = WIDTH) -> DataFrame:
     bitmap = spark.sparkContext.broadcast(_bitmap(terms))
     rows = _keyed(docs).mapInArrow(
         _posting_batch(bitmap, width),
-        "doc_id long, h int, term string, at long, around string, before int, n_words long")
+        "doc_id long, h long, term string, at long, around string, before int, n_words long")
     return stage(rows, "postings")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), text_hash(F.col("text")).alias("h"), "text")
+    return docs.select(F.col("doc_id").cast("long"), text_hash(F.col("doc_id"), F.col("text")).alias("h"), "text")
 
 
 def frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -268,7 +268,7 @@ def clean_rows(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> Dat
     exact, _ = occurrences(docs, benchmark, width)
     hit = stage(exact.select("doc_id", "h").distinct(), "hit")
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
-                       text_hash(F.col("text")).alias("h"))
+                       text_hash(F.col("doc_id"), F.col("text")).alias("h"))
     return rows.join(hit, _same(rows, hit), "left_anti").select("row.*")
 
 

@@ -76,8 +76,8 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """
     with open(tokenizer, "rb") as file:
         vocabulary = docs.sparkSession.sparkContext.broadcast({"file": file.read()})
-    rows = docs.select(F.col("doc_id").cast("long"), text_hash(F.col("text")).alias("h"), "text")
-    return rows.mapInArrow(_length_batch(vocabulary), "doc_id long, h int, n_tokens long")
+    rows = docs.select(F.col("doc_id").cast("long"), text_hash(F.col("doc_id"), F.col("text")).alias("h"), "text")
+    return rows.mapInArrow(_length_batch(vocabulary), "doc_id long, h long, n_tokens long")
 
 
 def grid(length: Column) -> Column:

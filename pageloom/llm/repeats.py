@@ -184,7 +184,7 @@ def _split(docs: DataFrame, bitmap: DataFrame) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), text_hash(F.col("text")).alias("h"), "text")
+    return docs.select(F.col("doc_id").cast("long"), text_hash(F.col("doc_id"), F.col("text")).alias("h"), "text")
 
 
 def _on_document(left: DataFrame, right: DataFrame) -> Column:
@@ -198,7 +198,7 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
     """
     rows = _keyed(docs)
     found = rows.mapInArrow(
-        _run_batch(), "doc_id long, h int, at long, more int, all_more int, times int, gram long, span long")
+        _run_batch(), "doc_id long, h long, at long, more int, all_more int, times int, gram long, span long")
     by_gram = Window.partitionBy("gram")
     by_span = Window.partitionBy("gram", "span")
     grouped = stage(
@@ -219,7 +219,7 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
     texts = _split(rows, _named_by(mixed)).filter("named").dropDuplicates(["doc_id", "h"])
     texts = texts.join(mixed, _on_document(texts, mixed)).select(texts.doc_id, texts.h, "text", "runs")
     strings = texts.mapInArrow(
-        per_batch(_string_batch), "doc_id long, h int, at long, gram long, shared boolean, string long")
+        per_batch(_string_batch), "doc_id long, h long, at long, gram long, shared boolean, string long")
     single = (
         strings.withColumn("n", F.count("*").over(Window.partitionBy("gram", "string")))
         .filter("n > 1 and not shared")

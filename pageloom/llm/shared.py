@@ -43,9 +43,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_hash(text: Column) -> Column:
-    """32 bits of a text: tells rows apart that share a doc_id (see ``row_key``)."""
-    return F.hash(text)
+def text_hash(doc_id: Column, text: Column) -> Column:
+    """A long that tells rows apart that share a doc_id.
+
+    Any number of rows may have no doc_id, so there it has 64 bits; 32, which take half
+    the room in shuffles, are enough among the few rows that repeat an id.
+    """
+    return F.when(doc_id.isNull(), F.xxhash64(text)).otherwise(F.hash(text))
 
 
 def same_row(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:

@@ -73,8 +73,8 @@ def _fingerprint_batch(words: int, seed: int):
 
 def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
     """``doc_id``, a text hash ``h`` and the fingerprint ``fp`` (a signed long) of every row."""
-    return docs.select(F.col("doc_id").cast("long"), text_hash(F.col("text")).alias("h"), "text").mapInArrow(
-        _fingerprint_batch(words, seed), "doc_id long, h int, fp long"
+    return docs.select(F.col("doc_id").cast("long"), text_hash(F.col("doc_id"), F.col("text")).alias("h"), "text").mapInArrow(
+        _fingerprint_batch(words, seed), "doc_id long, h long, fp long"
     )
 
 
@@ -223,7 +223,7 @@ def one_per_group(docs: DataFrame) -> DataFrame:
     kept = stage(
         near_duplicates(docs).groupBy("root").agg(first).select("first.doc_id", "first.h"), "kept"
     )
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), text_hash(F.col("text")).alias("key"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), text_hash(F.col("doc_id"), F.col("text")).alias("key"))
     order = Window.partitionBy("id", "key").orderBy("id")
     return (
         rows.join(kept, rows.id.eqNullSafe(kept.doc_id) & (rows.key == kept.h), "left_semi")

@@ -386,3 +386,16 @@ def test_long_text_is_read_whole(spark):
     rows = [(1, LONG * 5 + tail)]
     assert secret_scan.scan(documents(spark, rows)).first().n_assign == 1
     assert pii.detect(documents(spark, rows)).first().spans[0].value == "z@long.example"
+
+
+def test_rows_without_id_are_told_apart(spark):
+    """Two texts with one 32-bit hash, one of them with a benchmark passage."""
+    tail = F.concat(F.lit(SHARED + " "), F.col("id").cast("string"))
+    clean = F.concat(F.lit(prose(31, 60) + " "), F.col("id").cast("string"))
+    numbers = spark.range(200_000)
+    pair = numbers.select(tail.alias("a"), F.hash(tail).alias("h")).join(
+        numbers.select(clean.alias("b"), F.hash(clean).alias("h")), "h").first()
+    docs = spark.createDataFrame([(None, pair.a), (None, pair.b)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, SHARED)], "item_id long, text string")
+    assert [row.text for row in decontaminate.clean_rows(docs, bench).collect()] == [pair.b]
+    assert sorted(row.n_hit for row in decontaminate.contamination(docs, bench).collect()) == [0, 60]
