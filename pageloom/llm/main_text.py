@@ -36,6 +36,11 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 LISTS = frozenset("ul ol dl table thead tbody tfoot tr div section".split())
 IMPLIED = {"li": "li", "dd": "dd dt", "dt": "dd dt", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 SCOPES = frozenset("ul ol dl table td th tr article section main body button div blockquote".split())
+FLOW = PARAGRAPHS | HEADINGS | frozenset("ul ol dl table section figure".split())
+FRAME = frozenset("nav header footer aside menu".split())
+FRAME_NAMES = re.compile(
+    r"(?:^|[\s_-])(?:sidebar|side|aside|nav|navbar|navigation|menu\w*|breadcrumbs?|footer|foot|header|masthead|topbar|"
+    r"comments?|commentlist|disqus\w*|respond|replies|related|recommend\w*|pagination|pager)(?:$|[\s_-])", re.I)
 NEVER_LEFT_OUT = frozenset(("html", "body", "article", "main"))
 UNWANTED = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|sidebar|side|aside|nav|navbar|navigation|menu\w*|"
@@ -55,6 +60,8 @@ _ATTR = re.compile(r"([^\s/=>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)
 _LEVELS = 5
 _SIBLING_SHARE = 0.2
 _LINKED = 0.5
+# About one paragraph of running text.
+_WORTH = 2.0
 
 
 class _Page:
@@ -62,6 +69,8 @@ class _Page:
 
     def __init__(self):
         self.parent, self.tag, self.out, self.bonus = [-1], ["body"], [False], [0.0]
+        self.frame: set[int] = set()  # left-out elements that stand around articles, not in them
+        self.whole: set[int] = set()  # elements marked as the article or main part
         self.stack = [0]
         self.open: dict[str, int] = {}
         self.links = 0
@@ -87,7 +96,7 @@ class _Page:
         out = self.out[above]
         bonus = 0.0
         if not out:
-            out, bonus = self._judge(tag, attrs)
+            out, bonus = self._judge(tag, attrs, len(self.tag))
         self.parent.append(above)
         self.tag.append(tag)
         self.out.append(out)
@@ -96,10 +105,14 @@ class _Page:
         self.open[tag] = self.open.get(tag, 0) + 1
         self.links += tag == "a"
 
-    def _judge(self, tag: str, attrs: str) -> tuple[bool, float]:
+    def _judge(self, tag: str, attrs: str, number: int) -> tuple[bool, float]:
         """Whether the element is left out, and its head start."""
         bonus = 25.0 if tag in ("article", "main") else 0.0
+        if bonus:
+            self.whole.add(number)
         if tag in LEFT_OUT or tag == "header" and not (self.open.get("article") or self.open.get("main")):
+            if tag in FRAME:
+                self.frame.add(number)
             return True, 0.0
         if not attrs or "=" not in attrs and "hidden" not in attrs.lower():
             return False, bonus
@@ -112,13 +125,17 @@ class _Page:
             if "hidden" in found or found.get("aria-hidden") == "true":
                 return True, 0.0
             if found.get("role", "").lower() in UNWANTED_ROLES:
+                self.frame.add(number)
                 return True, 0.0
             if "display:none" in found.get("style", "").replace(" ", "").lower():
                 return True, 0.0
             if tag not in HEADINGS and (ALWAYS_UNWANTED.search(name) or not wanted and UNWANTED.search(name)):
+                if FRAME_NAMES.search(name):
+                    self.frame.add(number)
                 return True, 0.0
         if found.get("itemprop") == "articleBody" or found.get("role") == "main":
             bonus += 25.0
+            self.whole.add(number)
         return False, bonus + 10.0 * wanted
 
     def _shielded(self, tag: str) -> bool:
@@ -249,14 +266,15 @@ def main_text(html: str) -> str:
             density = min(1.0, linked[element] / max(1, length[element]))
             score[element] = (points[element] + page.bonus[element]) * (1 - density)
     best = max(range(n), key=lambda e: (score[e], -e))
-    kept = {best}
+    top = _article(page, best, length, linked)
+    kept = {top}
     limit = max(10.0, _SIBLING_SHARE * score[best])
     for element in range(1, n):
-        if page.parent[element] == page.parent[best] and element != best and not page.out[element]:
-            density = linked[element] / max(1, length[element])
-            if score[element] >= limit or page.tag[element] == "h1" and element < best or (
-                page.tag[element] == "p" and density < 0.25 and length[element] >= 80
-            ):
+        if page.parent[element] == page.parent[top] and element != top and not page.out[element]:
+            tag, density = page.tag[element], linked[element] / max(1, length[element])
+            if score[element] >= limit or tag == "h1" and element < top or (
+                tag == "p" and density < 0.25 and length[element] >= 80
+            ) or top not in page.whole and density <= _LINKED and (tag in FLOW or points[element] >= _WORTH):
                 kept.add(element)
     inside = [False] * n
     for element in range(n):
@@ -266,6 +284,37 @@ def main_text(html: str) -> str:
     return " ".join(text for element, text, _ in blocks if inside[element])
 
 
+def _article(page: _Page, best: int, length: list[int], linked: list[int]) -> int:
+    """The element that holds the whole article of which ``best`` is the best container.
+
+    It is the outermost article around ``best`` inside the nearest main element, else
+    that main element or another one marked as main part.  From an unmarked element,
+    and from an article inside main, it goes on to the parent as long as nothing
+    beside it is link-dense or part of the page's frame.
+    """
+    chain = [best]
+    while page.parent[chain[-1]] >= 0:
+        chain.append(page.parent[chain[-1]])
+    on_chain = set(chain)
+    blocked = set()
+    for element in range(1, len(page.tag)):
+        above = page.parent[element]
+        if above in on_chain and element not in on_chain and (
+            element in page.frame or length[element] and linked[element] > _LINKED * length[element]
+        ):
+            blocked.add(above)
+    main = next((at for at, element in enumerate(chain) if page.tag[element] == "main"), None)
+    marked = [at for at, element in enumerate(chain) if element in page.whole and (main is None or at < main)]
+    articles = [at for at in marked if page.tag[chain[at]] == "article"]
+    at, last = 0, len(chain) - 1
+    if marked or main is not None:
+        at = (articles or marked[-1:] or [main])[-1]
+        last = at if main is None else main
+    while at < last and chain[at + 1] not in blocked:
+        at += 1
+    return chain[at]
+
+
 def _holds(tag: str) -> bool:
     """Whether an element can be the container of an article."""
     return tag not in PARAGRAPHS and tag not in HEADINGS and tag not in ("ul", "ol", "dl", "tr", "tbody", "thead", "tfoot")

@@ -41,6 +41,25 @@ def test_nesting_is_linear(unit):
     assert time.process_time() - start < 6
 
 
+LONG, SHORT = f"<section><h2>Long</h2>{f'<p>{PARAGRAPH}</p>' * 30}</section>", f"<section><h2>End</h2><p>{PARAGRAPH}</p><p>Yes.</p></section>"
+PARTS = f"<h1>Title</h1><p>Lead.</p>{LONG}<h3>Points</h3><ul><li>One<li>Two</ul><blockquote>Quote</blockquote>{SHORT}<table><tr><td>Cell</table>"
+PARTS_TEXT = f"Title Lead. Long {' '.join([PARAGRAPH] * 30)} Points One Two Quote End {PARAGRAPH} Yes. Cell"
+
+
+@pytest.mark.parametrize("page", [
+    "<nav>Menu</nav><article>{}</article><footer>f</footer>", "<nav>Menu</nav><main>{}</main><div>Beside</div>",
+    "<nav>Menu</nav><div><div>{}</div></div><footer>f</footer>", "<nav>Menu</nav>{}<footer>f</footer>", "<div>{}</div>",
+    "<main><div>{}</div></main>", "<main><article><div>{}</div></article></main><div>Beside</div>",
+])
+def test_article_in_sections(page):
+    assert main_text.main_text(page.format(PARTS)) == PARTS_TEXT
+
+
+def test_parts_in_unmarked_boxes():
+    parts = PARTS.replace("section>", "div>")
+    assert main_text.main_text(f"<div class=menu>Menu</div>{parts}<div>(c) me</div><footer>f</footer>") == PARTS_TEXT
+
+
 def test_extraction_of_odd_rows(spark):
     rows = [(1, "u", None), (1, "u", None), (2, None, ""), (None, "v", PAGE), (3, "w", "<p>" + "word, " * 50_000)]
     df = spark.createDataFrame([(*r, "t", 1) for r in rows], "page_id long, url string, html string, text string, n_chars int")
