@@ -4,7 +4,8 @@ Every paragraph gives points for its length and its commas to the containers abo
 it, less with distance; a container's sum is discounted by the share of its text that
 stands in links.  The best container is kept, with siblings that score well enough.
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments are left out by their element, role, class or id before scoring.
+comments are left out by their element, role, class or id before scoring.  A class or
+id alone leaves nothing out that holds the page's article or main part.
 
 A page is parsed in one pass; the work is linear in its length, whatever its nesting.
 
@@ -25,15 +26,16 @@ from pageloom.llm.shared import per_batch
 
 # Element names and the words of classes, ids and roles.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript iframe noembed noframes xmp template svg math object canvas video audio select".split())
-LEFT_OUT = frozenset("head nav footer aside form button fieldset menu dialog figcaption label option optgroup datalist applet map".split())
+RAW = frozenset("script style title textarea noscript iframe noembed noframes xmp template svg object canvas video audio select".split())
+LEFT_OUT = frozenset("head nav footer aside form button fieldset menu dialog label option optgroup datalist applet map annotation annotation-xml".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark meter nobr output progress q rb rp rt rtc "
-    "ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math semantics mrow mi mn mo ms mtext mspace mstyle mfrac msqrt mroot msup msub msubsup mover munder munderover annotation annotation-xml".split()
 )
-PARAGRAPHS = frozenset("p pre li dd dt blockquote td th caption summary address".split())
+PARAGRAPHS = frozenset("p pre li dd dt blockquote td th caption figcaption summary address".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
-LISTS = frozenset("ul ol dl table thead tbody tfoot tr div section".split())
+LISTS = frozenset("ul ol dl table div section".split())
 IMPLIED = {"li": "li", "dd": "dd dt", "dt": "dd dt", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 SCOPES = frozenset("ul ol dl table td th tr article section main body button div blockquote".split())
 FLOW = PARAGRAPHS | HEADINGS | frozenset("ul ol dl table section figure".split())
@@ -51,6 +53,10 @@ WANTED = re.compile(r"(?:^|[\s_-])(?:article|articlebody|content|main|post|entry
 ALWAYS_UNWANTED = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|comments?|commentlist|disqus\w*|cookies?|sidebar|navbar|menu|footer|"
     r"newsletter|related|share|social|breadcrumbs?)(?:$|[\s_-])", re.I)
+READERS = re.compile(
+    r"(?:^|[\s_-])(?:comments?|commentlist|disqus\w*|respond|replies|reply|related|recommend\w*)(?:$|[\s_-])", re.I)
+LAYOUT = re.compile(r"(?:no|has|with|without)[_-]", re.I)
+WRAP = re.compile(r"[_-]wrap(?:per)?$", re.I)
 UNWANTED_ROLES = frozenset(
     "navigation banner complementary contentinfo search alert alertdialog dialog menu menubar toolbar form status note".split()
 )
@@ -60,6 +66,8 @@ _ATTR = re.compile(r"([^\s/=>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)
 _LEVELS = 5
 _SIBLING_SHARE = 0.2
 _LINKED = 0.5
+# A menu: this share of its text in links, of so few characters on average.
+_MENU, _LABEL = 0.9, 25
 # About one paragraph of running text.
 _WORTH = 2.0
 
@@ -71,6 +79,7 @@ class _Page:
         self.parent, self.tag, self.out, self.bonus = [-1], ["body"], [False], [0.0]
         self.frame: set[int] = set()  # left-out elements that stand around articles, not in them
         self.whole: set[int] = set()  # elements marked as the article or main part
+        self.loose: dict[int, bool] = {}  # left out by class or id unless they hold the article; True: readers' part
         self.stack = [0]
         self.open: dict[str, int] = {}
         self.links = 0
@@ -110,7 +119,9 @@ class _Page:
         bonus = 25.0 if tag in ("article", "main") else 0.0
         if bonus:
             self.whole.add(number)
-        if tag in LEFT_OUT or tag == "header" and not (self.open.get("article") or self.open.get("main")):
+        if tag in LEFT_OUT and not (
+            tag == "dialog" and re.search(r"\sopen\b", attrs, re.I) and (self.open.get("article") or self.open.get("main"))
+        ) or tag == "header" and not (self.open.get("article") or self.open.get("main")):
             if tag in FRAME:
                 self.frame.add(number)
             return True, 0.0
@@ -129,10 +140,14 @@ class _Page:
                 return True, 0.0
             if "display:none" in found.get("style", "").replace(" ", "").lower():
                 return True, 0.0
-            if tag not in HEADINGS and (ALWAYS_UNWANTED.search(name) or not wanted and UNWANTED.search(name)):
-                if FRAME_NAMES.search(name):
-                    self.frame.add(number)
-                return True, 0.0
+            if tag not in HEADINGS and UNWANTED.search(name):
+                readers = _unwanted(name)
+                if readers is not None:
+                    if FRAME_NAMES.search(name):
+                        self.frame.add(number)
+                    if tag in INLINE:
+                        return True, 0.0
+                    self.loose[number] = readers
         if found.get("itemprop") == "articleBody" or found.get("role") == "main":
             bonus += 25.0
             self.whole.add(number)
@@ -174,6 +189,18 @@ class _Page:
             self.chunks.append((self.block, element, self.links > 0, text))
 
 
+def _unwanted(name: str) -> bool | None:
+    """None if classes and id do not speak against an element, else whether they name its readers' part."""
+    words = [
+        word for word in name.split()
+        if not LAYOUT.match(word) and not (WRAP.search(word) and WANTED.search(word) and not READERS.search(word))
+    ]
+    left = " ".join(words)
+    if not ALWAYS_UNWANTED.search(left) and (WANTED.search(left) or not UNWANTED.search(left)):
+        return None
+    return READERS.search(left) is not None and not any(WANTED.search(w) and not UNWANTED.search(w) for w in words)
+
+
 def parse(html: str) -> _Page:
     page, pos, size = _Page(), 0, len(html)
     while pos < size:
@@ -243,14 +270,17 @@ def main_text(html: str) -> str:
     if not blocks:
         return ""
     n = len(page.tag)
+    gains = [_gain(page.tag[element], text, in_links) for element, text, in_links in blocks]
+    if page.loose:
+        _settle(page, blocks, gains)
+        gains = [gain for gain, (element, _, _) in zip(gains, blocks) if not page.out[element]]
+        blocks = [block for block in blocks if not page.out[block[0]]]
     points, length, linked = [0.0] * n, [0] * n, [0] * n
-    for element, text, in_links in blocks:
+    for (element, text, in_links), gain in zip(blocks, gains):
         length[element] += len(text)
         linked[element] += in_links
-        if page.tag[element] in HEADINGS:
+        if not gain:
             continue
-        gain = min(1.0, len(text) / 25) + text.count(",") + min(3.0, len(text) / 100)
-        gain *= 1 - min(1.0, in_links / len(text))
         holder, level = element, 0
         while holder >= 0 and level < _LEVELS:
             if _holds(page.tag[holder]):
@@ -276,14 +306,67 @@ def main_text(html: str) -> str:
                 tag == "p" and density < 0.25 and length[element] >= 80
             ) or top not in page.whole and density <= _LINKED and (tag in FLOW or points[element] >= _WORTH):
                 kept.add(element)
+    menus = _menus(page, top, length, linked)
     inside = [False] * n
     for element in range(n):
         above = page.parent[element]
-        inside[element] = element in kept or above >= 0 and inside[above] and not _link_list(
-            page.tag[element], length[element], linked[element])
+        inside[element] = element in kept or above >= 0 and inside[above] and element not in menus
     return " ".join(text for element, text, _ in blocks if inside[element])
 
 
+def _gain(tag: str, text: str, in_links: int) -> float:
+    """Points of a block: its length and commas, less what stands in links; none for headings."""
+    if tag in HEADINGS:
+        return 0.0
+    gain = min(1.0, len(text) / 25) + text.count(",") + min(3.0, len(text) / 100)
+    return gain * (1 - min(1.0, in_links / len(text)))
+
+
+def _settle(page: _Page, blocks: list[tuple[int, str, int]], gains: list[float]) -> None:
+    """Leave out what its class or id speaks against, unless it holds the article.
+
+    It does if it contains a main part, the page's largest article, or, where no such
+    element stands elsewhere, most of the points of paragraphs.  Of the readers' part
+    (comments, related pages) only the first counts.
+    """
+    n = len(page.tag)
+    size, every, own = [0] * n, [0.0] * n, [0.0] * n
+    for (element, text, _), gain in zip(blocks, gains):
+        size[element] += len(text)
+        every[element] += gain
+        own[element] += gain if page.tag[element] in PARAGRAPHS else 0.0
+    readers, loose = [False] * n, [False] * n
+    for element in range(1, n):
+        above = page.parent[element]
+        readers[element] = readers[above] or page.loose.get(element, False)
+        loose[element] = loose[above] or element in page.loose
+    total = sum(gain for gain, out in zip(every, readers) if not out)
+    paragraphs = sum(gain for gain, out in zip(own, readers) if not out)
+    below, main = own[:], [False] * n
+    for element in range(n - 1, 0, -1):
+        above = page.parent[element]
+        size[above] += size[element]
+        every[above] += every[element]
+        below[above] += below[element]
+        main[above] |= main[element] or element in page.whole and page.tag[element] != "article" and size[element] > 0
+    marked = [e for e in page.whole if size[e] and not readers[e] and not page.out[e]]
+    elsewhere = any(not loose[e] for e in marked)
+    article = max((e for e in marked if page.tag[e] == "article"), key=lambda e: (size[e], -e), default=0)
+    around = set()
+    if article and every[article] >= _SIBLING_SHARE * total:
+        while article > 0:
+            around.add(article)
+            article = page.parent[article]
+    for element in range(1, n):
+        if page.out[page.parent[element]]:
+            page.out[element] = True
+        elif element in page.loose:
+            page.out[element] = not (main[element] or not readers[element] and (
+                element in around or not elsewhere and 2 * (below[element] - own[element]) > paragraphs))
+            if not page.out[element]:
+                page.frame.discard(element)
+
+
 def _article(page: _Page, best: int, length: list[int], linked: list[int]) -> int:
     """The element that holds the whole article of which ``best`` is the best container.
 
@@ -320,9 +403,28 @@ def _holds(tag: str) -> bool:
     return tag not in PARAGRAPHS and tag not in HEADINGS and tag not in ("ul", "ol", "dl", "tr", "tbody", "thead", "tfoot")
 
 
-def _link_list(tag: str, length: int, linked: int) -> bool:
-    """A list or box inside the article that consists of links."""
-    return tag in LISTS and length > 0 and linked > _LINKED * length
+def _menus(page: _Page, top: int, length: list[int], linked: list[int]) -> set[int]:
+    """Lists and boxes of short links; none inside a marked article and none right after a heading."""
+    above = top
+    while above >= 0:
+        if page.bonus[above] and page.tag[above] not in ("html", "body"):
+            return set()
+        above = page.parent[above]
+    n = len(page.tag)
+    links, before, menus = [0] * n, [0] * n, set()
+    for element in range(n - 1, 0, -1):
+        links[element] += page.tag[element] == "a"
+        links[page.parent[element]] += links[element]
+    for element in range(1, n):
+        above = page.parent[element]
+        if not length[element] or page.tag[element] in INLINE:
+            continue
+        if page.tag[element] in LISTS and linked[element] >= _MENU * length[element] and (
+            linked[element] < _LABEL * links[element] and page.tag[before[above]] not in HEADINGS
+        ):
+            menus.add(element)
+        before[above] = element
+    return menus
 
 
 def _extract(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -60,6 +60,38 @@ def test_parts_in_unmarked_boxes():
     assert main_text.main_text(f"<div class=menu>Menu</div>{parts}<div>(c) me</div><footer>f</footer>") == PARTS_TEXT
 
 
+COMMENTS = f"<div id=comments>{f'<article><p>Comment. {PARAGRAPH}</p></article>' * 20}</div>"
+
+
+@pytest.mark.parametrize("page", [
+    '<div class="content-sidebar-wrap"><article>{}</article></div>', '<div id=page class="no-sidebar">{}</div>',
+    '<div class="post share-post">{}</div>', '<div class=sidebar-wrap><main>{}</main></div>',
+    '<div class=related><div itemprop=articleBody>{}</div></div>', '<div class="post comments-open">{}</div>' + COMMENTS,
+    '<div class="sidebar"><article>Teaser</article></div><article>{}</article>' + COMMENTS,
+    '<div class=ad><p>' + "Buy, now, " * 90 + '</div><article>{}</article>', '<div class="ad social"><div>{}</div></div>',
+])
+def test_names_do_not_drop_the_article(page):
+    body = f"<h1>T</h1><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p><div class=share><p>Share, this</p></div>"
+    assert main_text.main_text(page.format(body)) == f"T {PARAGRAPH} {PARAGRAPH}"
+
+
+@pytest.mark.parametrize(("html", "want"), [
+    ("<figure><img><figcaption>Caption</figcaption></figure>", "Caption"),
+    ("<h2>References</h2><ul><li><a>One</a><li><a>Two</a></ul>", "References One Two"),
+    ("<table><tr><td><a>Term</a><td>x</table>", "Term x"), ("<dialog open>Said</dialog>", "Said"), ("<dialog>Closed</dialog>", ""),
+    ("<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x</annotation></math>.</p>", "So x=1."),
+])
+def test_pieces_of_the_article_stay(html, want):
+    got = main_text.main_text(f"<nav>Menu</nav><article><p>{PARAGRAPH}</p>{html}</article>")
+    assert got == f"{PARAGRAPH} {want}".strip()
+
+
+def test_lists_of_links_beside_unmarked_text():
+    menu = "<ul><li><a>Home</a><li><a>News</a></ul>"
+    page = f"<body>{menu}<p>{PARAGRAPH}</p><h2>References</h2>{menu}</body>"
+    assert main_text.main_text(page) == f"{PARAGRAPH} References Home News"
+
+
 def test_extraction_of_odd_rows(spark):
     rows = [(1, "u", None), (1, "u", None), (2, None, ""), (None, "v", PAGE), (3, "w", "<p>" + "word, " * 50_000)]
     df = spark.createDataFrame([(*r, "t", 1) for r in rows], "page_id long, url string, html string, text string, n_chars int")
