@@ -26,8 +26,9 @@ from pageloom.llm.shared import per_batch
 
 # Element names and the words of classes, ids and roles.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript iframe noembed noframes xmp template svg object canvas video audio select".split())
-LEFT_OUT = frozenset("head nav footer aside form button fieldset menu dialog label option optgroup datalist applet map annotation annotation-xml".split())
+RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
+LEFT_OUT = frozenset("head nav footer aside form button fieldset menu dialog label option optgroup datalist applet map annotation annotation-xml "
+    "noscript template svg object canvas video audio select".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark meter nobr output progress q rb rp rt rtc "
     "ruby s samp small span strike strong sub sup time tt u var wbr "
@@ -43,6 +44,9 @@ FRAME = frozenset("nav header footer aside menu".split())
 FRAME_NAMES = re.compile(
     r"(?:^|[\s_-])(?:sidebar|side|aside|nav|navbar|navigation|menu\w*|breadcrumbs?|footer|foot|header|masthead|topbar|"
     r"comments?|commentlist|disqus\w*|respond|replies|related|recommend\w*|pagination|pager)(?:$|[\s_-])", re.I)
+# Start tags that end an svg element that was left open.
+BREAKS_SVG = FLOW - frozenset("caption td th".split()) | frozenset(
+    "article main div body br center em embed head hr i img menu nobr s small span strike strong sub sup tt u b big code var".split())
 NEVER_LEFT_OUT = frozenset(("html", "body", "article", "main"))
 UNWANTED = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|sidebar|side|aside|nav|navbar|navigation|menu\w*|"
@@ -62,6 +66,7 @@ UNWANTED_ROLES = frozenset(
 )
 _TAG = re.compile(
     r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^>\s]*+))*+)>")
+_LETTER = re.compile("[a-zA-Z]")
 _ATTR = re.compile(r"([^\s/=>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _LEVELS = 5
 _SIBLING_SHARE = 0.2
@@ -87,6 +92,11 @@ class _Page:
         self.block = 0
 
     def start(self, tag: str, attrs: str) -> None:
+        if self.open.get("svg") and not self.open.get("foreignobject"):
+            if tag in BREAKS_SVG:
+                self.end("svg")
+            elif attrs.endswith("/"):
+                return
         if tag not in INLINE:
             self.block += 1
             if self.open.get("p") and not self._shielded("p"):
@@ -213,7 +223,7 @@ def parse(html: str) -> _Page:
         following = html[at + 1:at + 2]
         if following == "!" or following == "?":
             if html.startswith("<!--", at):
-                closing = html.find("-->", at + 4)
+                closing = html.find("-->", at + 2)  # <!--> is a whole comment
                 pos = size if closing < 0 else closing + 3
             else:
                 closing = html.find(">", at)
@@ -221,7 +231,12 @@ def parse(html: str) -> _Page:
             continue
         match = _TAG.match(html, at)
         if match is None:
-            if following.isalpha() or following == "/":
+            letter = html[at + 2:at + 3] if following == "/" else following
+            if following == "/" and not _LETTER.match(letter):
+                closing = html.find(">", at + 2)  # what no end tag can be is a comment
+                pos = size if closing < 0 else closing + 1
+                continue
+            if _LETTER.match(letter):
                 break  # the page ends inside a tag
             page.text("<")
             pos = at + 1

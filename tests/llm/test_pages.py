@@ -92,6 +92,25 @@ def test_lists_of_links_beside_unmarked_text():
     assert main_text.main_text(page) == f"{PARAGRAPH} References Home News"
 
 
+@pytest.mark.parametrize(("html", "want"), [
+    ("x" + "<" + "/>y", "xy"),
+    ("<p>a</><p>b", "a b"), ("<p>a</ div><p>b", "a b"), ("<p>a</3 c><p>b", "a b"), ("<p>a</3", "a"), ("<p>a</p", "a"), ("<p>a<é b", "a<é b"),
+    ("<div><select><option>x</div><p>b", "b"), ("<div><video>x</div><p>b", "b"), ("<div><svg><text>x</div><p>b", "b"),
+    ("<svg><path d=a /><text>x<p>b", "b"), ("<svg><foreignObject><p>x</p></foreignObject></svg><p>b", "b"),
+    ("<div><noscript>x</div><p>b", "b"), ("<div><object>x<p>y</div><p>b", "b"), ("<p>a<canvas>x</canvas>b", "a b"),
+    ("<p>a<audio>x</audio><p>b<script>x", "a b"), ("<p>a<!--><p>b", "a b"),
+])
+def test_broken_markup_keeps_the_rest(html, want):
+    assert main_text.main_text(html) == want
+
+
+@pytest.mark.parametrize("unit", ["</3", "</>", "<svg><path/>", "<select>", "<video><p>", "<svg><p>"])
+def test_broken_markup_is_linear(unit):
+    start = time.process_time()
+    main_text.main_text(unit * 100_000 + "text")
+    assert time.process_time() - start < 6
+
+
 def test_extraction_of_odd_rows(spark):
     rows = [(1, "u", None), (1, "u", None), (2, None, ""), (None, "v", PAGE), (3, "w", "<p>" + "word, " * 50_000)]
     df = spark.createDataFrame([(*r, "t", 1) for r in rows], "page_id long, url string, html string, text string, n_chars int")
