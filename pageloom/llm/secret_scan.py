@@ -2,7 +2,9 @@
 
 Base patterns find assignments, access keys and long hexadecimal strings.  The method
 adds strings that look random: a first-order Markov model of random strings and one
-of ordinary identifiers give every long token a log-likelihood ratio.  Both are trained
+of ordinary identifiers give every long token a log-likelihood ratio.  Base spans are
+cut out of a token and its other pieces judged; what does not pass as a whole is judged
+again between slashes and equals signs.  Both are trained
 on the corpus, on samples that the base patterns label: the values that they find are
 random strings, all other text but long tokens with digits is ordinary.  Training counts cover all rows and are
 summed by Spark into a table of fixed size (2 classes x 68 x 68 characters).
@@ -37,6 +39,8 @@ KINDS = ("assign", "access", "hex", "random")
 MIN_VALUE, MIN_ACCESS, MIN_HEX = 12, 18, 16
 # A token to be judged; every access key and hexadecimal match lies inside one.
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+SEGMENT = re.compile(r"[^/=]{16,}")
+MIN_TOKEN = 16
 _DIGIT = re.compile(r"[0-9]")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-"
 # A token counts as random from this log-likelihood ratio (1 in 20,000 tokens is a
@@ -132,19 +136,39 @@ def randomness(token: str, ratio: np.ndarray) -> float:
     return min(value, score(token.lower())) if token.upper() == token else value
 
 
+def _is_random(token: str, ratio: np.ndarray) -> bool:
+    return len(set(token)) >= DISTINCT and randomness(token, ratio) >= max(THRESHOLD, PER_CHARACTER * len(token))
+
+
 def secret_spans(text: str, ratio: np.ndarray) -> tuple[list, list]:
     """Base spans, and all spans, by start and then by kind."""
     base = base_spans(text)
+    covered = []  # base spans, overlapping ones as one
+    for _, start, end in base:
+        if covered and start < covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], end)
+        else:
+            covered.append([start, end])
     added, at = [], 0
     for token in TOKEN.finditer(text):
         start, end = token.span()
-        while at < len(base) and base[at][2] <= start:
+        while at < len(covered) and covered[at][1] <= start:
             at += 1
-        if any(b[1] < end and start < b[2] for b in base[at:at + 3]):
-            continue
-        value = randomness(token[0], ratio)
-        if value >= max(THRESHOLD, PER_CHARACTER * (end - start)) and len(set(token[0])) >= DISTINCT:
-            added.append(("random", start, end))
+        pieces, cut = [], at
+        while cut < len(covered) and covered[cut][0] < end:
+            pieces.append((start, covered[cut][0]))
+            start, cut = covered[cut][1], cut + 1
+        for a, b in [*pieces, (start, end)]:
+            if cut > at:  # the signs between a base span and a piece belong to neither
+                a = b - len(text[a:b].lstrip("/=")) if b > a else a
+                b = a + len(text[a:b].rstrip("/=")) if b < end else b
+            if b - a < MIN_TOKEN:
+                continue
+            if _is_random(text[a:b], ratio):
+                added.append(("random", a, b))
+            else:
+                added += [("random", m.start(), m.end()) for m in SEGMENT.finditer(text, a, b)
+                          if m.end() - m.start() < b - a and _is_random(m[0], ratio)]
     order = {kind: i for i, kind in enumerate(KINDS)}
     return base, sorted(base + added, key=lambda s: (s[1], order[s[0]], s[2]))
 
