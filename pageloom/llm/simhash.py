@@ -214,14 +214,14 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, s
     return marked.join(groups, "fp").select("doc_id", "h", "fp", "root", "component_id")
 
 
-def one_per_group(docs: DataFrame) -> DataFrame:
+def one_per_group(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` with one row of each group of near duplicates.
 
-    The row with the smallest doc_id stays; among rows that repeat it, one of them.
+    ``groups`` has ``doc_id``, ``h`` and ``root`` of every row.  The row with the smallest doc_id stays; among rows that repeat it, one of them.
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("first")
     kept = stage(
-        near_duplicates(docs).groupBy("root").agg(first).select("first.doc_id", "first.h"), "kept"
+        (near_duplicates(docs) if groups is None else groups).groupBy("root").agg(first).select("first.doc_id", "first.h"), "kept"
     )
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), text_hash(F.col("doc_id"), F.col("text")).alias("key"))
     order = Window.partitionBy("id", "key").orderBy("id")
