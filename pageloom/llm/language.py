@@ -8,8 +8,9 @@ with the blanks around it, so equal words cost the same and are parsed once per
 of work instead of once per occurrence.
 
 The automata are fitted to a bounded sample: per language ``SAMPLE_DOCS`` labelled
-documents in the order of a hash, ``SAMPLE_CHARS`` characters of each, and never more
-than ``SAMPLE_TOTAL`` characters for all languages together.  Whole texts are predicted.
+documents with distinct beginnings in the order of a hash of these, ``SAMPLE_CHARS``
+characters of each, and never more than ``SAMPLE_TOTAL`` characters for all languages
+together; to stay below, every document is cut to an equal share.  Whole texts are predicted.
 
 Edge cases: null text and text without a letter give ``und`` with score 0, as does a
 table without any labelled row; ties go to the first language by name; repeated rows
@@ -180,21 +181,30 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
 
 
+def _equal_cut(texts: list[str], total: int) -> list[str]:
+    """The texts that are not empty, none longer than an equal share; what short ones leave goes to the others."""
+    texts = [text for text in texts if text]
+    left, lengths = total - max(0, len(texts) - 1), [0] * len(texts)
+    for done, at in enumerate(sorted(range(len(texts)), key=lambda i: len(texts[i]))):
+        lengths[at] = max(0, min(len(texts[at]), left // (len(texts) - done)))
+        left -= lengths[at]
+    return [text[:length] for text, length in zip(texts, lengths) if length]
+
+
 def samples(docs: DataFrame) -> dict[str, str]:
     """Language -> its training text, of bounded length."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "piece"), "piece")
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("piece"), "piece")
     rows = (
         docs.filter(~held_out() & F.col("lang").isNotNull() & (F.col("text") != ""))
-        .select("lang", "doc_id", F.left("text", F.lit(SAMPLE_CHARS)).alias("piece"))
+        .select("lang", F.left("text", F.lit(SAMPLE_CHARS)).alias("piece")).distinct()
         .withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= SAMPLE_DOCS)
-        .groupBy("lang").agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
+        .groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("nth", "piece"))).alias("pieces"))
     )
-    found = {row["lang"]: row["pieces"] for row in rows.collect()}
+    found = {row["lang"]: [piece["piece"] for piece in row["pieces"]] for row in rows.collect()}
     share = SAMPLE_TOTAL // max(1, len(found))
     texts = {}
     for language, pieces in sorted(found.items()):
-        words = [word for piece in pieces for word in letter_words(piece)]
-        texts[language] = f" {' '.join(words)} "[:share]
+        texts[language] = f" {' '.join(_equal_cut([' '.join(letter_words(piece)) for piece in pieces], share - 2))} "
     return {language: text for language, text in texts.items() if text.strip()}
 
 

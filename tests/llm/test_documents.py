@@ -293,6 +293,20 @@ def test_language_parser_against_plain_search():
         assert parser.costs[parser.places[word]].tolist() == [phrases(f" {word} "), len(word.encode()) + 1]
 
 
+def test_language_sample_has_a_share_of_every_distinct_piece(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_TOTAL", 2 * 1000)
+    starts = "abcdefghijklmnopqrst"
+    texts = [start * 4 + " " + prose(50 + i, 200) for i, start in enumerate(starts)]
+    rows = [(4 * i, t, lang) for lang in ("en", "xx") for i, t in enumerate(texts)]
+    rows += [(4 * i + 1, texts[3], "en") for i in range(300)]  # a group of copies
+    df = spark.createDataFrame([(i, t, lang) for i, t, lang in rows], "doc_id long, text string, lang string")
+    df = df.filter(~language.held_out())
+    kept = {lang: {r.text for r in df.filter(F.col("lang") == lang).collect()} for lang in ("en", "xx")}
+    for lang, text in language.samples(df).items():
+        assert len(text) <= 1000 and len(kept[lang]) > 12
+        assert all(text.count(f" {t[:4]} ") == 1 for t in kept[lang])
+
+
 def test_language_without_labels(spark):
     d = spark.createDataFrame([(1, "words here", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score) for r in language.identify(d).collect()] == [("und", 0.0)]
