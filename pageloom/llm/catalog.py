@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.llm import (
-    decontaminate, language, main_text, packing, pii, quality, repeats, secret_scan, simhash, warc,
+    bpe, decontaminate, language, main_text, manifest, packing, pii, quality, repeats, resampling, secret_scan,
+    simhash, warc,
 )
 
 
@@ -92,15 +93,56 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots, proof and verification of every document."""
+    return manifest.manifest(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "leaf", "subroot", "root", _sha256(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document, drawn towards the benchmark texts."""
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the token ids of every document and of what they decode to."""
+    vocabulary = bpe.load(spark)
+    tokens = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    listed = tokens.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), _sha256(F.array_join("ids", ",")).alias("ids_sha256"), "ids")
+    return bpe.decode(listed, vocabulary).select("doc_id", "n_tokens", "ids_sha256", _sha256(F.col("text")).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_main_text, op2_secrets, op3_simhash, op4_quality, op5_decontaminate, op6_language,
-              op7_repeats, op8_pii, op9_warc, op10_packing)
+              op7_repeats, op8_pii, op9_warc, op10_packing, op11_manifest, op12_resampling, op13_bpe)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+# CRC-32 of a string as SQL: the table of the 256 byte steps, then one step per byte.
+_CRC_TABLE = """crc AS (SELECT list(step ORDER BY i) AS tab FROM (
+  SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS step
+  FROM range(256) AS t(i)))"""
+
+
+def _crc32(text: str) -> str:
+    """SQL for the unsigned CRC-32 of the UTF-8 bytes of ``text``; needs ``crc`` in FROM."""
+    byte = f"CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT)"
+    return (f"xor(list_reduce([4294967295] || [{byte} FOR i IN range(strlen({text}))], "
+            "lambda c, b: xor(c >> 8, tab[CAST(1 + (xor(c, b) & 255) AS INTEGER)])), 4294967295)")
+
+
+def _field(name: str) -> str:
+    return f"coalesce(strlen(CAST({name} AS VARCHAR)) || ':' || CAST({name} AS VARCHAR), '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+
+
 ORACLES: dict[str, str] = {
     "op5_decontaminate": f"""
 WITH doc AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
@@ -133,4 +175,60 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN page_id IS NOT DISTINCT FROM first_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id IS NOT DISTINCT FROM first_id THEN NULL ELSE first_id END AS refers_to
 FROM b JOIN f USING (payload_digest)""",
+    "op11_manifest": f"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS (SELECT *, row_number() OVER () AS r, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+    count(*) OVER (PARTITION BY source) AS n
+  FROM (SELECT doc_id, source, {_leaf('text')} AS leaf,
+      CASE WHEN {_crc32('CAST(doc_id AS VARCHAR)')} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf('text')} END AS changed
+    FROM documents, crc)),
+lower_tree AS (
+  SELECT source, 0 AS k, pos, n, leaf AS h FROM d
+  UNION ALL
+  SELECT source, k + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos))
+  FROM lower_tree WHERE n > 1 GROUP BY source, k, n, pos // 3),
+s AS (SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM lower_tree WHERE n = 1),
+upper_tree AS (
+  SELECT 0 AS k, pos, n, h FROM s
+  UNION ALL
+  SELECT k + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM upper_tree WHERE n > 1 GROUP BY k, n, pos // 3),
+lower_runs AS (SELECT source, k, pos // 3 AS run, list(h ORDER BY pos) AS hs FROM lower_tree WHERE n > 1 GROUP BY source, k, pos // 3),
+upper_runs AS (SELECT k, pos // 3 AS run, list(h ORDER BY pos) AS hs FROM upper_tree WHERE n > 1 GROUP BY k, pos // 3),
+steps AS (SELECT r, row_number() OVER (PARTITION BY r ORDER BY half, k) AS i, idx, hs FROM (
+  SELECT r, 0 AS half, k, hs, CAST((pos // CAST(pow(3, k) AS BIGINT)) % 3 AS INTEGER) AS idx
+  FROM d JOIN lower_runs ON d.source IS NOT DISTINCT FROM lower_runs.source AND run = pos // CAST(pow(3, k + 1) AS BIGINT)
+  UNION ALL
+  SELECT r, 1, k, hs, CAST((s.pos // CAST(pow(3, k) AS BIGINT)) % 3 AS INTEGER)
+  FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source JOIN upper_runs ON run = s.pos // CAST(pow(3, k + 1) AS BIGINT))),
+fold AS (
+  SELECT r, CAST(1 AS BIGINT) AS i, changed AS h FROM d
+  UNION ALL
+  SELECT r, i + 1, sha256(array_to_string(list_concat(hs[:idx], [h], hs[idx + 2:]), '')) FROM fold JOIN steps USING (r, i)),
+ends AS (SELECT r, arg_max(h, i) AS folded_root FROM fold GROUP BY r),
+proofs AS (SELECT r, string_agg(array_to_string(list_concat(hs[:idx], hs[idx + 2:]), ''), '' ORDER BY i) AS proof FROM steps GROUP BY r),
+apex AS (SELECT h AS root FROM upper_tree WHERE n = 1)
+SELECT doc_id, leaf, s.h AS subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source JOIN ends USING (r) LEFT JOIN proofs USING (r), apex""",
+    "op12_resampling": f"""
+WITH {_CRC_TABLE},
+doc AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+own AS (SELECT r, unnest(w) AS word FROM doc),
+theirs AS (SELECT unnest({_WORDS}) AS word FROM benchmark),
+hashed AS (SELECT word, {_crc32('word')} % 10000 AS bucket FROM (SELECT word FROM own UNION SELECT word FROM theirs), crc),
+s AS (SELECT bucket, count(*) AS s FROM own JOIN hashed USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM theirs JOIN hashed USING (word) GROUP BY bucket),
+gain AS (
+  SELECT bucket, CAST(floor(1000 * ln((CAST(coalesce(t, 0) AS DOUBLE) + 1) * ((SELECT coalesce(sum(s), 0) FROM s)::DOUBLE + 10000)
+    / ((s::DOUBLE + 1) * ((SELECT coalesce(sum(t), 0) FROM t)::DOUBLE + 10000)))) AS BIGINT) AS g
+  FROM s LEFT JOIN t USING (bucket)),
+mean AS (SELECT r, count(*) AS n_features, CAST(sum(g) AS BIGINT) AS total FROM own JOIN hashed USING (word) JOIN gain USING (bucket) GROUP BY r),
+weights AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features,
+    CASE WHEN n_features IS NULL THEN 0 ELSE (total - ((total % n_features) + n_features) % n_features) // n_features END AS weight,
+    (CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE AS u
+  FROM doc LEFT JOIN mean USING (r)),
+scored AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln(u))) AS BIGINT) AS score FROM weights),
+able AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM able
+UNION ALL SELECT doc_id, n_features, weight, score, NULL FROM scored WHERE n_features < 20""",
 }
