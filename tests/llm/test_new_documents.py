@@ -211,7 +211,7 @@ def test_the_head_holds_the_frequent_features(spark):
 def test_resampling_prefers_the_target(spark):
     near = [(i, " ".join(random.Random(i).choices(["alpha", "beta", "gamma", "delta"], k=40))) for i in range(100)]
     far = [(100 + i, prose(1000 + i, 40)) for i in range(300)]
-    target = spark.createDataFrame([("alpha beta gamma delta " * 20,)], "text string")
+    target = spark.createDataFrame([("alpha beta gamma delta " * 20_000,)], "text string")
     drawn = resampling.resample(documents(spark, near + far), target, 25).filter("rank IS NOT NULL").collect()
     assert len(drawn) == 100 and sum(row.doc_id < 100 for row in drawn) >= 95
 
