@@ -7,7 +7,7 @@ ranks the leftmost; an entry whose symbols have merged since is stale and skippe
 takes O(n log n) for a word of n bytes, so one endless word holds no task.  Decoding
 concatenates the byte strings of the ids.
 
-Words are encoded once and remembered (at most ``_MEMO`` of them), which changes no id, as no
+Words are encoded once and remembered (at most twice ``_MEMO`` of them), which changes no id, as no
 merge crosses words.  Characters that Unicode has not assigned may be letters to one library
 version and not to the next, so texts with one are cut into words by the vocabulary's own
 pre-tokenizer.
@@ -22,6 +22,7 @@ import json
 import sys
 import unicodedata
 from collections.abc import Iterator
+from functools import cached_property
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
@@ -37,7 +38,7 @@ from pyspark.sql import types as T
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 # Fixed value: how the vocabulary cuts a text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_MEMO = 400_000
+_MEMO = 150_000
 # Ids that go to Spark in one batch.
 _BATCH_IDS = 1 << 20
 
@@ -76,11 +77,7 @@ class Vocabulary:
         self.of_byte = [0] * 256
         for character, byte in alphabet.items():
             self.of_byte[byte] = ids[character]
-        # (left id, right id) -> (rank, id of the merged token)
-        self.merges = {}
-        for rank, merge in enumerate(model["merges"]):
-            left, right = merge if isinstance(merge, list) else merge.split(" ")
-            self.merges[ids[left], ids[right]] = rank, ids[left + right]
+        self.pairs, self.tokens = model["merges"], ids
         self.special = {token["content"]: token["id"] for token in content["added_tokens"]}
         self.bytes_of = {
             id_: bytes(map(alphabet.__getitem__, token)) if all(c in alphabet for c in token) else token.encode()
@@ -91,31 +88,51 @@ class Vocabulary:
         self.words = regex.compile(PATTERN)
         self.known: dict[str, tuple[int, ...]] = _Known(self)
 
+    @cached_property
+    def merges(self) -> tuple[list[dict[int, int]], list[int]]:
+        """Of each id, the ranks of its pairs by the id to its right; and the id that each rank makes."""
+        ids, none = self.tokens, {}
+        ranks, made = [none] * (max(ids.values()) + 1), []
+        for rank, merge in enumerate(self.pairs):
+            left, right = merge if isinstance(merge, list) else merge.split(" ")
+            if ranks[ids[left]] is none:
+                ranks[ids[left]] = {}
+            ranks[ids[left]][ids[right]] = rank
+            made.append(ids[left + right])
+        return ranks, made
+
     def merge(self, word: bytes) -> tuple[int, ...]:
         """Ids of a word."""
         ids = [self.of_byte[byte] for byte in word]
-        size, merges = len(ids), self.merges
-        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
-        queue = [(found[0], i) for i in range(size - 1) if (found := merges.get((ids[i], ids[i + 1])))]
+        size = len(ids)
+        if size == 1:
+            return (ids[0],)
+        ranks, made = self.merges
+        # a queue entry is rank and place in one number
+        queue = [
+            rank * size + i for i in range(size - 1) if (rank := ranks[ids[i]].get(ids[i + 1])) is not None
+        ]
         heapify(queue)
+        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
         while queue:
-            rank, i = heappop(queue)
-            j = after[i]
-            if ids[i] < 0 or j >= size:
-                continue
-            found = merges.get((ids[i], ids[j]))
-            if found is None or found[0] != rank:
+            entry = heappop(queue)
+            rank = entry // size
+            i = entry - rank * size
+            left, j = ids[i], after[i]
+            # stale: the symbol is gone, or has merged since, or its neighbour has
+            if left < 0 or j >= size or ranks[left].get(ids[j]) != rank:
                 continue
-            ids[i], ids[j] = found[1], -1
+            merged = ids[i] = made[rank]
+            ids[j] = -1
             after[i] = k = after[j]
             if k < size:
                 before[k] = i
-                if right := merges.get((ids[i], ids[k])):
-                    heappush(queue, (right[0], i))
+                if (rank := ranks[merged].get(ids[k])) is not None:
+                    heappush(queue, rank * size + i)
             h = before[i]
-            if h >= 0 and (left := merges.get((ids[h], ids[i]))):
-                heappush(queue, (left[0], h))
-        return tuple(id_ for id_ in ids if id_ >= 0)
+            if h >= 0 and (rank := ranks[ids[h]].get(merged)) is not None:
+                heappush(queue, rank * size + h)
+        return tuple([id_ for id_ in ids if id_ >= 0])
 
     def _pieces(self, text: str) -> list[int]:
         try:
@@ -147,19 +164,22 @@ def _pre_tokenizer(file: str):
 
 
 class _Known(dict):
-    """Ids of words seen before."""
+    """Ids of words seen lately: a full memory becomes the old one, where a word is found again."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.old = vocabulary, {}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if not word.isascii() and any(unicodedata.category(c) == "Cn" for c in word):
-            raise _Unassigned
-        if len(self) >= _MEMO:
-            self.clear()
-        ids = self.vocabulary.merge(word.encode())
+        ids = self.old.get(word)
+        if ids is None:
+            if not word.isascii() and any(unicodedata.category(c) == "Cn" for c in word):
+                raise _Unassigned
+            ids = self.vocabulary.merge(word.encode())
         if len(word) <= 64:  # endless words are not worth their room
+            if len(self) >= _MEMO:
+                self.old = dict(self)
+                self.clear()
             self[word] = ids
         return ids
 
