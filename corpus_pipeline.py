@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pageloom.llm import decontaminate, near_copies, packing, quality, secret_scan, simhash
+from pageloom.llm import decontaminate, packing, quality, secret_scan, simhash
 from pageloom.llm.shared import stage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -16,8 +16,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near copies, that with the smallest doc_id."""
-    return simhash.one_per_group(docs, near_copies.near_copies(docs))
+    """One document of every group of linked fingerprints, that with the smallest doc_id."""
+    return simhash.one_per_group(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
