@@ -25,7 +25,9 @@ def shared_folder(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if master.startswith("local") and not master.startswith("local-cluster"):
         app = spark.sparkContext.applicationId
-        return _LOCAL_FOLDERS.setdefault(app, tempfile.mkdtemp(prefix="pageloom-llm-"))
+        if app not in _LOCAL_FOLDERS:
+            _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="pageloom-llm-")
+        return _LOCAL_FOLDERS[app]
     raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 

