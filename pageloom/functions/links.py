@@ -20,7 +20,16 @@ def anchors(nodes: Column) -> Column:
     )
 
 
-def same_host_links(page_url: Column, anchor_array: Column) -> Column:
+def odd_hosts(page_url: Column, nodes: Column) -> Column:
+    """Hosts of a page and its links that need ``hosts.host_forms``; mostly none."""
+    links = F.transform(
+        F.filter(nodes, dom.has_attr("href", tag="a")), lambda a: urls.odd_host(F.element_at(a["attrs"], "href"))
+    )
+    written = F.concat(F.array(urls.odd_host(page_url)), F.coalesce(links, F.array().cast("array<string>")))
+    return F.array_distinct(F.array_compact(written))
+
+
+def same_host_links(page_url: Column, anchor_array: Column, hosts: Column) -> Column:
     """Canonical same-host links, first occurrence of each, by url.
 
     Sorting by (url, pos) puts repeats next to each other, so the first one is
@@ -30,7 +39,7 @@ def same_host_links(page_url: Column, anchor_array: Column) -> Column:
     def resolve(base: Column) -> Column:
         def one(link: Column) -> Column:
             return let(
-                urls.join_parts(base, link["href"]),
+                urls.join_parts(base, link["href"], hosts),
                 lambda parts: F.when(
                     urls.host_of(parts) == urls.host_of(base),
                     F.struct(
@@ -49,18 +58,19 @@ def same_host_links(page_url: Column, anchor_array: Column) -> Column:
             ),
         )
 
-    return let(urls.url_parts(page_url), resolve)
+    return let(urls.url_parts(page_url, hosts), resolve)
 
 
 def ranked_links(
-    page_url: Column, anchor_array: Column, limit: int | None = vocab.LINKS_PER_PAGE, **signals
+    page_url: Column, anchor_array: Column, hosts: Column,
+    limit: int | None = vocab.LINKS_PER_PAGE, **signals,
 ) -> Column:
     """``array<struct<pos, url, anchor, priority, depth, rank>>``, best first.
 
     Priority descending, ties in document order; ``limit=None`` keeps all.
     """
     scored = F.transform(
-        same_host_links(page_url, anchor_array),
+        same_host_links(page_url, anchor_array, hosts),
         lambda link: F.struct(
             (-urls.link_score(link["url"], link["anchor"], **signals)).alias("order"),
             link["pos"].alias("pos"),
@@ -86,19 +96,19 @@ def ranked_links(
 
 @built_once
 def page_ranking(
-    page_url: str, nodes: str, limit: int | None,
+    page_url: str, nodes: str, hosts: str, limit: int | None,
     article_signals: tuple = tuple(vocab.ARTICLE_SIGNALS),
     noise_signals: tuple = tuple(vocab.NOISE_SIGNALS),
 ) -> Column:
     """``ranked_links`` of a table with these column names."""
     return ranked_links(
-        F.col(page_url), anchors(F.col(nodes)), limit,
+        F.col(page_url), anchors(F.col(nodes)), F.col(hosts), limit,
         article_signals=article_signals, noise_signals=noise_signals,
     )
 
 
 @built_once
-def seed_visits(page_url: str, nodes: str, limit: int) -> Column:
+def seed_visits(page_url: str, nodes: str, hosts: str, limit: int) -> Column:
     """The page itself as rank 0, then its best links."""
     own = F.struct(
         F.lit(-1).alias("pos"),
@@ -108,5 +118,5 @@ def seed_visits(page_url: str, nodes: str, limit: int) -> Column:
         F.lit(0).alias("depth"),
         F.lit(0).alias("rank"),
     )
-    best = F.coalesce(page_ranking(page_url, nodes, limit), F.array())
+    best = F.coalesce(page_ranking(page_url, nodes, hosts, limit), F.array())
     return F.concat(F.array(own), best)

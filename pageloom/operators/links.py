@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pageloom import vocab
 from pageloom.functions import links
 from pageloom.functions.expr import explode_structs
+from pageloom.functions.hosts import host_forms
 from pageloom.operators.dom import parse_pages
 
 
@@ -17,6 +18,11 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     )
 
 
+def with_hosts(parsed: DataFrame, page_url: str) -> DataFrame:
+    """Parsed pages plus the map ``hosts``: normal forms of the odd hosts of each page."""
+    return parsed.withColumn("hosts", host_forms(links.odd_hosts(F.col(page_url), F.col("nodes"))))
+
+
 def ranked_links(
     pages: DataFrame, url: str = "url", html: str = "html",
     limit: int | None = vocab.LINKS_PER_PAGE, **signals,
@@ -26,9 +32,9 @@ def ranked_links(
     Resolving, the same-host filter, de-duplication, scoring and the cut all
     happen in the page's row, so only the kept links leave it.
     """
-    parsed = parse_pages(pages, [url], html).withColumnRenamed(url, "page_url")
+    parsed = with_hosts(parse_pages(pages, [url], html).withColumnRenamed(url, "page_url"), "page_url")
     ranked = links.page_ranking(
-        "page_url", "nodes", limit, **{name: tuple(words) for name, words in signals.items()}
+        "page_url", "nodes", "hosts", limit, **{name: tuple(words) for name, words in signals.items()}
     )
     return explode_structs(parsed, ["page_url"], ranked, "pos")
 

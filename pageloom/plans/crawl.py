@@ -14,6 +14,7 @@ from pageloom.functions.urls import canonical_url
 from pageloom.operators.articles import ARTICLE_FIELDS, extract_articles
 from pageloom.operators.dom import parse_pages
 from pageloom.operators.joins import on_demand_join
+from pageloom.operators.links import with_hosts
 from pageloom.plans.staging import stage
 
 
@@ -47,9 +48,9 @@ def expand_frontier(
     a seed counts once; without it ``copies`` says how often the seed is listed.
     """
     limit = min(page_budget, links_per_page)
-    parsed = parse_pages(load_seeds(seeds, pages), ["url"]).withColumnRenamed("url", "seed_url")
+    parsed = with_hosts(parse_pages(load_seeds(seeds, pages), ["url"]).withColumnRenamed("url", "seed_url"), "seed_url")
     visits = stage(
-        explode_structs(parsed, ["seed_url"], seed_visits("seed_url", "nodes", limit), "rank"),
+        explode_structs(parsed, ["seed_url"], seed_visits("seed_url", "nodes", "hosts", limit), "rank"),
         "visits",
     ).select("seed_url", "rank", "url", "priority", "depth")
     own = visits.filter(F.col("rank") == 0).withColumn("page_url", F.col("url"))

@@ -32,6 +32,14 @@ RESOLVED = {
     "/100%25+1": "http://ex.com/100%25+1",
     "http://[::1]:80/x": "http://[::1]/x",
     "http://ex.com:0080/x": "http://ex.com/x",
+    "http://B\u00fccher.de/x": "http://xn--bcher-kva.de/x",
+    "//stra\u00dfe.de/": "http://xn--strae-oqa.de/",
+    "http://%65x.com/": "http://ex.com/",
+    "http://\uff25\uff38\u3002com/": "http://ex.com/",
+    "https://u@0x7f.1:8080/": "https://u@127.0.0.1:8080/",
+    "http://[2001:DB8:0:0:0::1]:80/": "http://[2001:db8::1]/",
+    "http://ex.com%00/": None,
+    "http://1.2.3.400/": None,
     "http://ex.com:99999/": None,
     "http://bad host/": None,
     "http://": None,
@@ -111,3 +119,21 @@ def test_default_cut_and_summary(spark, pages):
     assert links.ranked_links(table, limit=None).count() == 200
     rows = {r.seed_url: (r.n_links, r.best_priority) for r in links.frontier_summary(seeds(table), ranked).collect()}
     assert rows == {"http://ex.com/": (30, 0.4), "http://ex.com/none": (0, 0.0)}
+
+
+def test_url_functions_follow_each_other(spark):
+    df = spark.createDataFrame([("http://bücher.de/a/", "../x?y"), ("http://0x7f.1/", "//%42.de")], "b string, h string")
+    resolved = df.select("b", urls.resolve_url(F.col("b"), F.col("h")).alias("u")).select(
+        urls.canonical_url(F.col("u")).alias("c"), urls.host(F.col("u")).alias("h"))
+    rows = resolved.select("c", "h", urls.path_depth(F.col("c")).alias("d"), urls.link_priority(F.col("c"), F.lit("x")).alias("p")).collect()
+    assert [(r.c, r.h, r.d) for r in rows] == [("http://xn--bcher-kva.de/x", "xn--bcher-kva.de", 1), ("http://b.de/", "b.de", 0)]
+
+
+def test_links_to_other_spellings_of_the_host_are_kept(spark, pages):
+    html = "".join(f'<a href="{h}/{i}">l{i}</a>' for i, h in enumerate([
+        "http://BÜCHER.example", "http://xn--bcher-kva.example", "http://b%C3%BCcher.example:8080", "//bücher.example", "http://buecher.example", "http://xn--a"]))
+    table = pages({"http://bücher.example/": html, "http://10.0.0.1/": '<a href="http://0xa.1/x">x</a><a href="http://167772161/y">y</a>'})
+    got = {(r.page_url, r.url) for r in links.ranked_links(table).collect()}
+    host = "xn--bcher-kva.example"
+    assert got == {("http://bücher.example/", f"http://{host}/{i}") for i in (0, 1, 3)} | {
+        ("http://bücher.example/", f"http://{host}:8080/2")} | {("http://10.0.0.1/", f"http://10.0.0.1/{p}") for p in "xy"}
