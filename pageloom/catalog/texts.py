@@ -153,6 +153,15 @@ def topic_hits_from_table(spark, sf_dir):
     return scoring.topic_hits_from_table(counts, ["doc_id"], vocabulary, every=docs)
 
 
+def topic_hits_with_repeats(spark, sf_dir):
+    """The vocabulary as it is listed: a prefix counts as often as it stands there."""
+    docs = documents(spark, sf_dir)
+    counts = text.term_freq(docs, ["doc_id"], "text", unique_keys=True)
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text")
+    vocabulary = items.select(F.explode(words.tokens(F.col("text"))).alias("prefix"))
+    return scoring.topic_hits_from_table(counts, ["doc_id"], vocabulary, every=docs, repeats=True)
+
+
 def tf_idf_documents(spark, sf_dir):
     docs = documents(spark, sf_dir)
     counts = text.term_freq_with_total(docs, ["doc_id"], "text")
@@ -173,7 +182,7 @@ def diagnostics(spark, sf_dir):
     )
 
 
-def _dictionary(spark, sf_dir):
+def benchmark_dictionary(spark, sf_dir):
     """Entries from the benchmark items: all words, and all pairs of neighbouring words."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text").select(
         F.filter(words.split_words(F.col("text")), lambda w: w != "").alias("w")
@@ -190,20 +199,20 @@ def _dictionary(spark, sf_dir):
 
 def dictionary_spans(spark, sf_dir):
     return entities.dictionary_spans(
-        documents(spark, sf_dir), ["doc_id"], "text", _dictionary(spark, sf_dir), max_words=2
+        documents(spark, sf_dir), ["doc_id"], "text", benchmark_dictionary(spark, sf_dir), max_words=2
     ).select("doc_id", F.col("seq").cast("bigint").alias("seq"), "text", "label")
 
 
 def first_entities(spark, sf_dir):
     spans = entities.dictionary_spans(
-        documents(spark, sf_dir), ["doc_id"], "text", _dictionary(spark, sf_dir), max_words=2
+        documents(spark, sf_dir), ["doc_id"], "text", benchmark_dictionary(spark, sf_dir), max_words=2
     )
     return entities.first_entities(spans, ["doc_id"]).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def collected_entities(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    spans = entities.dictionary_spans(docs, ["doc_id"], "text", _dictionary(spark, sf_dir), max_words=2)
+    spans = entities.dictionary_spans(docs, ["doc_id"], "text", benchmark_dictionary(spark, sf_dir), max_words=2)
     lists = entities.collect_entities(spans, ["doc_id"], every=docs)
     return lists.select(
         "doc_id",
@@ -213,30 +222,35 @@ def collected_entities(spark, sf_dir):
     )
 
 
-_SPANS_SQL = f"""
-WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, {sql.WORD_BREAK}), lambda x: x <> '') AS w FROM documents),
+def spans_sql(table: str, key: str, text: str) -> str:
+    """CTEs ``spans`` and ``firsts``: places of the benchmark dictionary in a table's texts."""
+    return f"""
+WITH w AS (SELECT {key}, list_filter(regexp_split_to_array({text}, {sql.WORD_BREAK}), lambda x: x <> '') AS w FROM {table}),
 bw AS (SELECT list_filter(regexp_split_to_array(text, {sql.WORD_BREAK}), lambda x: x <> '') AS w FROM benchmark),
 dict AS (
   SELECT DISTINCT text, [{sql.quoted(vocab.ENTITY_LABELS)}][(strlen(text) % {len(vocab.ENTITY_LABELS)}) + 1] AS label
   FROM (SELECT unnest(w) AS text FROM bw
         UNION SELECT w[i] || ' ' || w[i + 1] FROM (SELECT w, unnest(range(1, len(w))) AS i FROM bw))
 ),
-places AS (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM w),
+places AS (SELECT {key}, w, unnest(range(0, len(w))) AS i FROM w),
 grams AS (
-  SELECT doc_id, i * 2 AS seq, w[i + 1] AS text FROM places
-  UNION ALL SELECT doc_id, i * 2 + 1, w[i + 1] || ' ' || w[i + 2] FROM places WHERE i + 1 < len(w)
+  SELECT {key}, i * 2 AS seq, w[i + 1] AS text FROM places
+  UNION ALL SELECT {key}, i * 2 + 1, w[i + 1] || ' ' || w[i + 2] FROM places WHERE i + 1 < len(w)
 ),
 spans AS (
-  SELECT doc_id, CAST(min(seq) AS BIGINT) AS seq, text, min(label) AS label
-  FROM grams JOIN dict USING (text) GROUP BY doc_id, text
+  SELECT {key}, CAST(min(seq) AS BIGINT) AS seq, text, min(label) AS label
+  FROM grams JOIN dict USING (text) GROUP BY {key}, text
 ),
 firsts AS (
-  SELECT doc_id, rank, text, replace(upper(label), ' ', '_') AS kind FROM (
-    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq, text) AS rank FROM spans
+  SELECT {key}, rank, text, replace(upper(label), ' ', '_') AS kind FROM (
+    SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY seq, text) AS rank FROM spans
   ) WHERE rank <= {vocab.ENTITIES_PER_PAGE}
 )
 """
 
+
+_SPANS_SQL = spans_sql("documents", "doc_id", "text")
+
 _RAW_WORDS = f"(SELECT unnest(regexp_split_to_array(text, {sql.WORD_BREAK})) AS w FROM documents)"
 _DOC_TF = sql.term_freq("documents", "doc_id", "text")
 _DOC_SCORES = sql.scores("documents", "doc_id", "text", PREFIXES)
@@ -247,7 +261,7 @@ QUERIES = {
         split_words, lemmatise, stop_word_counts, tokens_of_documents, term_freq_documents,
         term_freq_conversations, page_totals_documents, relevance_documents,
         relevance_default_topics, relevance_conversations, score_components,
-        threshold_documents, category_counts, topic_hits_from_table, tf_idf_documents,
+        threshold_documents, category_counts, topic_hits_from_table, topic_hits_with_repeats, tf_idf_documents,
         run_metrics, diagnostics, dictionary_spans, first_entities, collected_entities,
     )
 }
@@ -283,6 +297,14 @@ ORACLES = {
               FROM (SELECT DISTINCT term FROM tf) JOIN n ON n <= length(term)) JOIN v USING (prefix) GROUP BY term)
         SELECT doc_id, CAST(coalesce(sum(tf * coalesce(n, 0)), 0) AS BIGINT) AS topic_hits
         FROM documents LEFT JOIN tf USING (doc_id) LEFT JOIN p USING (term) GROUP BY doc_id""",
+    "topic_hits_with_repeats": f"""
+        WITH tf AS ({_DOC_TF}),
+        v AS (SELECT unnest({sql.tokens('text')}) AS prefix FROM benchmark),
+        n AS (SELECT DISTINCT length(prefix) AS n FROM v),
+        p AS (SELECT term, count(*) AS n FROM (SELECT term, left(term, n) AS prefix
+              FROM (SELECT DISTINCT term FROM tf) JOIN n ON n <= length(term)) JOIN v USING (prefix) GROUP BY term)
+        SELECT doc_id, CAST(coalesce(sum(tf * coalesce(n, 0)), 0) AS BIGINT) AS topic_hits
+        FROM documents LEFT JOIN tf USING (doc_id) LEFT JOIN p USING (term) GROUP BY doc_id""",
     "tf_idf_documents": f"""
         WITH tf AS ({_DOC_TF}),
         d AS (SELECT term, count(*) AS df FROM tf GROUP BY term),

@@ -14,6 +14,14 @@ def kind_of(label: Column) -> Column:
     return F.translate(F.upper(label), " ", "_")
 
 
+def merge_entities(first: Column, second: Column, limit: int = vocab.ENTITIES_PER_PAGE) -> Column:
+    """Entities of two lists, the first entity of each text, at most ``limit``."""
+    both = F.concat(first, F.coalesce(second, F.array().cast(ENTITY_LIST)))
+    texts = F.transform(both, lambda e: e["text"])
+    return let(F.struct(both.alias("both"), texts.alias("texts")), lambda it: F.slice(
+        F.filter(it["both"], lambda e, i: F.array_position(it["texts"], e["text"]) == i + 1), 1, limit)).cast(ENTITY_LIST)
+
+
 def entity_list(spans: Column, limit: int = vocab.ENTITIES_PER_PAGE) -> Column:
     """First span of each text in span order, at most ``limit``; null -> empty."""
     numbered = F.transform(

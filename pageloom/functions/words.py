@@ -5,6 +5,8 @@ row: sort the tokens, count the runs, score the counts.  No shuffle is needed
 until texts that share a key meet (see ``operators.text``).
 """
 
+from collections import Counter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,11 @@ def split_words(text: Column) -> Column:
     return F.split(text, NOT_ALPHANUMERIC)
 
 
+def word_list(text: Column) -> Column:
+    """The words of a text as they stand in it."""
+    return F.filter(split_words(text), lambda w: w != "")
+
+
 def keep_word(word: Column, stop_words: list[str]) -> Column:
     """At least 3 bytes, not a stop word, still alphanumeric in lower case.
 
@@ -88,19 +95,19 @@ def term_counts(token_array: Column) -> Column:
     return let(F.sort_array(token_array), count_runs)
 
 
-def prefix_matches(term: Column, prefixes: list[str]) -> Column:
-    """How many of ``prefixes`` the term starts with.
+def prefix_matches(term: Column, prefixes: list[str], repeats: bool = False) -> Column:
+    """How many of ``prefixes`` the term starts with; with ``repeats``, one listed twice counts twice.
 
-    One hash lookup per distinct prefix length, however long the list is.
+    One hash lookup per distinct prefix length and multiplicity, however long the list is.
     """
-    by_length: dict[int, list[str]] = {}
-    for prefix in sorted(set(prefixes)):
-        by_length.setdefault(len(prefix), []).append(prefix)
-    if not by_length:
+    groups: dict[tuple[int, int], list[str]] = {}
+    for prefix, times in sorted(Counter(prefixes if repeats else set(prefixes)).items()):
+        groups.setdefault((len(prefix), times), []).append(prefix)
+    if not groups:
         return F.lit(0)
     total = F.lit(0)
-    for length, group in sorted(by_length.items()):
-        total = total + F.left(term, F.lit(length)).isin(group).cast("int")
+    for (length, times), group in sorted(groups.items()):
+        total = total + F.left(term, F.lit(length)).isin(group).cast("int") * times
     # most terms share no beginning with any prefix: settle those with one lookup
     return F.when(may_match(term, prefixes), total).otherwise(F.lit(0))
 
@@ -111,7 +118,7 @@ def may_match(term: Column, prefixes: list[str]) -> Column:
     return F.left(term, F.lit(shortest)).isin(sorted({p[:shortest] for p in prefixes}))
 
 
-def topic_hits(token_array: Column, prefixes: list[str]) -> Column:
+def topic_hits(token_array: Column, prefixes: list[str], repeats: bool = False) -> Column:
     """Sum over all tokens of the number of prefixes they start with.
 
     The same as the sum of tf over (term, prefix) pairs, without needing the counts.
@@ -121,7 +128,7 @@ def topic_hits(token_array: Column, prefixes: list[str]) -> Column:
     return F.aggregate(
         F.filter(token_array, lambda t: may_match(t, prefixes)),
         F.lit(0).cast("bigint"),
-        lambda total, t: total + prefix_matches(t, prefixes),
+        lambda total, t: total + prefix_matches(t, prefixes, repeats),
     )
 
 

@@ -3,6 +3,7 @@
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkContext, cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,66 +13,173 @@ from pageloom import vocab
 from pageloom.functions import words
 from pageloom.functions.expr import explode_structs, let
 from pageloom.functions.entities import ENTITY_LIST, entity_list, kind_of
-from pageloom.operators.joins import lookup_join
+from pageloom.operators import joins
+from pageloom.operators.joins import measured_bytes, salted_join
 from pageloom.operators.text import with_every_key
+from pageloom.plans.staging import stage
 
-# A recogniser maps (text, labels) to (span text, label) pairs in its own order.
+# A recogniser maps (text, labels) to (span text, label) pairs in its own order.  If it has a
+# method ``batch``, that gets a list of texts instead and returns a list of such results.
 Recogniser = Callable[[str, list[str]], Iterable[tuple[str, str]]]
 
 SPANS = T.ArrayType(T.StructType().add("text", T.StringType()).add("label", T.StringType()))
+FOUND = T.StructType().add("spans", SPANS).add("status", T.StringType())
+# What became of a text: recognised; null; the recogniser could not be loaded; it failed on this text.
+OK, NO_TEXT, NOT_LOADED, FAILED = "ok", "no text", "not loaded", "failed"
+# Texts in one call of a recogniser's ``batch``.
+BATCH_TEXTS = 64
+
+
+def _recognise_all(recogniser, texts: list[str], labels: list[str]) -> list[tuple[list | None, str]]:
+    """(spans, status) of each text; a batch that fails is done again text by text."""
+    found = []
+    for start in range(0, len(texts), BATCH_TEXTS):
+        part = texts[start:start + BATCH_TEXTS]
+        batch = getattr(recogniser, "batch", None)
+        if batch is not None:
+            try:
+                results = [[(t, label) for t, label in spans] for spans in batch(part, labels)]
+                if len(results) == len(part):
+                    found += [(spans, OK) for spans in results]
+                    continue
+            except Exception:  # one of them is bad: find out which
+                pass
+        for text in part:
+            try:
+                spans = batch([text], labels)[0] if batch is not None else recogniser(text, labels)
+                found.append(([(t, label) for t, label in spans], OK))
+            except Exception:  # one bad page must not stop the job
+                found.append(([], FAILED))
+    return found
 
 
 def span_detector(
     load: Callable[[], Recogniser], labels: list[str] = vocab.ENTITY_LABELS
 ) -> Callable[[Column], Column]:
-    """Column function that runs a recogniser over texts in Arrow batches.
+    """Column function that runs a recogniser over texts in Arrow batches: ``spans, status``.
 
     ``load`` runs on the executor, once per Python worker, which keeps the recogniser
     from task to task; ship model files with ``SparkContext.addFile`` and open them
     there.  A recogniser that cannot be loaded finds nothing, and the job goes on; a
-    text it fails on gets no spans, as does a null text.
+    text it fails on gets no spans, as does a null text.  ``status`` says which.
     """
     labels = list(labels)
     # a worker reads a broadcast value once and keeps it, with what is added to it
     kept = SparkContext.getOrCreate().broadcast({"load": cloudpickle.dumps(load)})
 
     def detect(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        arrow_type = pa.list_(pa.struct([("text", pa.string()), ("label", pa.string())]))
+        span = pa.struct([("text", pa.string()), ("label", pa.string())])
+        kind = pa.struct([("spans", pa.list_(span)), ("status", pa.string())])
         held = kept.value
         if "recogniser" not in held:
             try:
                 held["recogniser"] = cloudpickle.loads(held["load"])()
             except Exception:  # articles without entities are better than none
-                held["recogniser"] = lambda text, labels: []
-        recognise = held["recogniser"]
+                held["recogniser"] = None
+        recogniser = held["recogniser"]
         for batch in batches:
-            rows = []
-            for value in batch:
-                text = value.as_py()
-                try:
-                    spans = [] if text is None else recognise(text, labels)
-                    rows.append([{"text": t, "label": label} for t, label in spans])
-                except Exception:  # one bad page must not stop the job
-                    rows.append([])
-            yield pa.array(rows, arrow_type)
+            texts = batch.to_pylist()
+            rows = [([], NO_TEXT if text is None else NOT_LOADED) for text in texts]
+            if recogniser is not None:
+                given = [i for i, text in enumerate(texts) if text is not None]
+                for i, found in zip(given, _recognise_all(recogniser, [texts[i] for i in given], labels)):
+                    rows[i] = found
+            yield pa.array(
+                [{"spans": [{"text": t, "label": label} for t, label in spans], "status": status} for spans, status in rows], kind)
 
     detect.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(detect, SPANS)
+    return F.arrow_udf(detect, FOUND)
 
 
 def detect_entities(
     df: DataFrame, body: str, load: Callable[[], Recogniser] | None,
-    labels: list[str] = vocab.ENTITY_LABELS, limit: int = vocab.ENTITIES_PER_PAGE,
+    labels: list[str] = vocab.ENTITY_LABELS, limit: int = vocab.ENTITIES_PER_PAGE, status: str | None = None,
+    lookup: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    """Add ``named_entities``; without a recogniser every list is empty.
+    """Add ``named_entities``; without a recogniser and a dictionary every list is empty.
 
-    Pages without an extractable body are not sent to the recogniser.
+    Pages without an extractable body are not sent to the recogniser.  ``status`` names a
+    column for what became of each page.  ``lookup`` (``dictionary_detector``) adds entries
+    of a dictionary after what the recogniser found.
     """
-    if load is None:
-        return df.withColumn("named_entities", F.array().cast(ENTITY_LIST))
     text = F.nullif(F.col(body), F.lit(vocab.NO_BODY))
-    spans = df.withColumn("_spans", span_detector(load, labels)(text))
-    return spans.withColumn("named_entities", entity_list(F.col("_spans"), limit)).drop("_spans")
+    spans = F.array().cast(SPANS)
+    if load is not None:
+        df = df.withColumn("_found", span_detector(load, labels)(text))
+        spans = F.col("_found")["spans"]
+    if lookup is not None:
+        df = df.withColumn("_entries", lookup(words.word_list(text)))
+        entries = F.transform("_entries", lambda e: F.struct(e["text"].alias("text"), e["label"].alias("label")))
+        spans = F.concat(spans, F.coalesce(entries, F.array().cast(SPANS)))
+    if load is None and lookup is None:
+        found = df.withColumn("named_entities", F.array().cast(ENTITY_LIST))
+    else:
+        found = df.withColumn("named_entities", entity_list(spans, limit))
+    if status is not None:
+        found = found.withColumn(status, F.lit(NOT_LOADED) if load is None else F.col("_found")["status"])
+    return found.drop("_found", "_entries")
+
+
+ENTRY_SPANS = T.ArrayType(
+    T.StructType().add("seq", T.IntegerType()).add("text", T.StringType()).add("label", T.StringType()))
+
+
+def dictionary_entries(dictionary: DataFrame) -> DataFrame:
+    """``text, label`` with one label per text, written once."""
+    return stage(dictionary.groupBy("text").agg(F.min("label").alias("label")), "dictionary")
+
+
+def fits_broadcast(entries: DataFrame) -> bool:
+    """Whether a dictionary's measured size allows a copy per worker."""
+    return measured_bytes(entries) <= joins.BROADCAST_LIMIT_BYTES
+
+
+def dictionary_detector(entries: DataFrame, max_words: int = 3) -> Callable[[Column], Column]:
+    """Column function: word list of a text -> ``array<struct<seq, text, label>>``.
+
+    For each entry found as a run of up to ``max_words`` words its first place, in the order
+    of the text.  The dictionary goes to every worker as a hash table, so measure it first
+    (``fits_broadcast``).  Words that begin no entry are settled for a whole batch at once.
+    """
+    listed = [(row["text"], row["label"]) for row in entries.collect()]
+    kept = SparkContext.getOrCreate().broadcast({"entries": listed})
+
+    def table(held: dict) -> tuple[pa.Array, dict[str, list[int]], dict[str, str]]:
+        if "table" not in held:
+            labels, sizes = {}, {}
+            for text, label in held["entries"]:
+                size = 0 if text is None else text.count(" ") + 1
+                if 0 < size <= max_words:
+                    labels[text] = label
+                    sizes.setdefault(text.split(" ", 1)[0], set()).add(size)
+            held["table"] = pa.array(sizes, pa.string()), {w: sorted(found) for w, found in sizes.items()}, labels
+        return held["table"]
+
+    def detect(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.struct([("seq", pa.int32()), ("text", pa.string()), ("label", pa.string())]))
+        beginnings, sizes, labels = table(kept.value)
+        for batch in batches:
+            words_, ends = batch.values, batch.offsets.to_pylist()
+            begins = pc.is_in(words_, beginnings).to_numpy(zero_copy_only=False).nonzero()[0].tolist()
+            flat = words_.to_pylist() if begins else []
+            rows, at = [], 0
+            for row in range(len(batch)):
+                start, stop, found = ends[row], ends[row + 1], {}
+                while at < len(begins) and begins[at] < start:
+                    at += 1
+                while at < len(begins) and begins[at] < stop:
+                    i = begins[at]
+                    for size in sizes[flat[i]]:
+                        run = flat[i] if size == 1 else " ".join(flat[i:i + size]) if i + size <= stop else None
+                        if run in labels and run not in found:
+                            found[run] = (i - start) * max_words + size - 1
+                    at += 1
+                rows.append(None if not batch[row].is_valid else [
+                    {"seq": seq, "text": text, "label": labels[text]} for text, seq in found.items()])
+            yield pa.array(rows, kind)
+
+    detect.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(detect, ENTRY_SPANS)
 
 
 def dictionary_spans(
@@ -79,13 +187,24 @@ def dictionary_spans(
 ) -> DataFrame:
     """``keys, seq, text, label``: first place of each dictionary entry in a text.
 
-    Entries are matched as whole runs of up to ``max_words`` words, case-sensitive.
-    Runs that repeat inside a text are dropped in its row, before any join.
-    The dictionary ``(text, label)`` is broadcast if its measured size allows,
-    otherwise joined on salted n-grams.
+    Entries are matched as whole runs of up to ``max_words`` words, case-sensitive.  A
+    dictionary whose measured size allows it is looked up in each text's row, so only
+    found entries leave the row.  Beyond that, runs, each once per text, are joined with
+    the dictionary on salted keys.
     """
     text = F.col(text) if isinstance(text, str) else text
-    found_words = F.filter(words.split_words(text), lambda w: w != "")
+    entries = dictionary_entries(dictionary)
+    if fits_broadcast(entries):
+        found = dictionary_detector(entries, max_words)(words.word_list(text))
+        hits = explode_structs(df, keys, found, "seq")
+    else:
+        grams = explode_structs(df, keys, let(words.word_list(text), _grams(max_words)), "seq")
+        hits = salted_join(grams, entries, ["text"], spread_by=[*keys, "seq"])
+    return hits.groupBy(*keys, "text", "label").agg(F.min("seq").alias("seq"))
+
+
+def _grams(max_words: int) -> Callable[[Column], Column]:
+    """Function of a word list: its distinct runs with their first place."""
 
     def grams_of(w: Column, n: int) -> Column:
         if n == 1:
@@ -107,10 +226,7 @@ def dictionary_spans(
         return let(F.sort_array(by_text), lambda s: F.filter(
             s, lambda g, i: (i == 0) | (g["text"] != F.get(s, i - 1)["text"])))
 
-    grams = explode_structs(df, keys, let(found_words, all_grams), "seq")
-    entries = dictionary.groupBy("text").agg(F.min("label").alias("label"))
-    hits = lookup_join(grams, entries, ["text"], spread_by=[*keys, "seq"])
-    return hits.groupBy(*keys, "text", "label").agg(F.min("seq").alias("seq"))
+    return all_grams
 
 
 def first_entities(

@@ -63,16 +63,19 @@ def score_groups(
 
 
 def topic_hits_from_table(
-    counts: DataFrame, keys: list[str], vocabulary: DataFrame, every: DataFrame | None = None
+    counts: DataFrame, keys: list[str], vocabulary: DataFrame, every: DataFrame | None = None,
+    repeats: bool = False,
 ) -> DataFrame:
     """``keys, topic_hits`` with the prefixes in a table column ``prefix``.
 
     "Starts with" becomes an equi-join: each distinct term is expanded into its own
     prefixes, one per length that occurs in the vocabulary, and looked up.  No theta join,
     whatever the size of the vocabulary.  The list of lengths is the square root of the
-    vocabulary's bytes at most.  Keys of ``every`` without a term get 0.
+    vocabulary's bytes at most.  With ``repeats`` a prefix listed twice counts twice.
+    Keys of ``every`` without a term get 0.
     """
-    prefixes = vocabulary.select("prefix").distinct()
+    times = F.count("*") if repeats else F.lit(1).cast("bigint")
+    prefixes = vocabulary.groupBy("prefix").agg(times.alias("times"))
     lengths = prefixes.agg(F.sort_array(F.collect_set(F.char_length("prefix")))).first()[0]
     occurring = F.array(*map(F.lit, lengths)).cast("array<int>")
     terms = counts.groupBy("term").agg(F.count("*").alias("rows"))
@@ -89,7 +92,7 @@ def topic_hits_from_table(
     found = stage(
         lookup_join(expanded, prefixes, ["prefix"], spread_by=["term"])
         .groupBy("term")
-        .agg(F.count("*").alias("n_prefixes"), F.max("rows").alias("rows")),
+        .agg(F.sum("times").alias("n_prefixes"), F.max("rows").alias("rows")),
         "prefix-matches",
     )
     joined = salted_join(counts, found, ["term"], spread_by=keys, how="left", heat="rows")
@@ -124,16 +127,22 @@ def tf_idf(
     )
 
 
+def run_figures(threshold: float | None) -> list[Column]:
+    """Aggregates ``pages_in, discarded, kept`` of a scored table."""
+    kept = F.lit(True) if threshold is None else F.col("relevance_score") >= F.lit(threshold)
+    return [
+        F.count(F.lit(1)).alias("pages_in"), F.count_if(~kept).alias("discarded"), F.count_if(kept).alias("kept")]
+
+
 def run_metrics(scored: DataFrame, read_errors: DataFrame | None = None,
                 threshold: float = vocab.DEFAULT_THRESHOLD) -> DataFrame:
-    """One row: pages_in, read_errors, discarded, kept."""
-    kept = F.col("relevance_score") >= F.lit(threshold)
+    """One row: pages_in, read_errors, discarded, kept.
+
+    For tables that are there already; a job takes the same figures from its own run
+    (``plans.files.write_run``), without another scan.
+    """
     n_errors = F.lit(0) if read_errors is None else read_errors.agg(F.count("*")).scalar()
-    return scored.agg(
-        F.count("*").alias("pages_in"),
-        F.count_if(~kept).alias("discarded"),
-        F.count_if(kept).alias("kept"),
-    ).withColumn("read_errors", n_errors.cast("bigint"))
+    return scored.agg(*run_figures(threshold)).withColumn("read_errors", n_errors.cast("bigint"))
 
 
 def diagnostics(scored: DataFrame, keys: list[str]) -> DataFrame:

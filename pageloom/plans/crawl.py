@@ -1,7 +1,9 @@
 """Crawl mode over a page snapshot: seeds -> frontier -> articles.
 
-A "fetch" is a join with the snapshot table ``pages(url, html)``, which holds one
-row per raw url.
+A "fetch" picks rows of the snapshot table ``pages(url, html)``, which holds one row per
+raw url.  HTML is never shuffled, however many urls are wanted: a bitmap of the wanted urls
+is broadcast (its size has a bound) and lets few other pages pass; pages are parsed where
+they are read, and only what is taken from them - links, articles - is joined exactly.
 """
 
 from pyspark.sql import DataFrame
@@ -13,14 +15,15 @@ from pageloom.functions.links import seed_visits
 from pageloom.functions.urls import canonical_url
 from pageloom.operators.articles import ARTICLE_FIELDS, extract_articles
 from pageloom.operators.dom import parse_pages
-from pageloom.operators.joins import on_demand_join
+from pageloom.operators.joins import keep_wanted, key_bitmaps, on_demand_join
 from pageloom.operators.links import with_hosts
 from pageloom.plans.staging import stage
 
 
-def load_seeds(seeds: DataFrame, pages: DataFrame) -> DataFrame:
-    """``url, html`` of the seeds that have a page; each seed once."""
-    return pages.select("url", "html").join(seeds.select("url").distinct(), "url")
+def fetch(pages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``url, html`` of the pages whose url may be in ``wanted`` (column ``url``), without a shuffle."""
+    bitmaps, bits = key_bitmaps(wanted, "url")
+    return keep_wanted(pages.select("url", "html"), "url", bitmaps, bits)
 
 
 def page_index(pages: DataFrame) -> DataFrame:
@@ -42,27 +45,25 @@ def expand_frontier(
 
     The seed comes first (rank 0), then its best ``page_budget`` links; targets
     without a page are skipped but keep their place in the budget.  The cut is
-    made in each seed's row, so the join sees at most ``page_budget`` narrow rows
+    made in each seed's row, so the joins see at most ``page_budget`` narrow rows
     per seed.  A home page many seeds link to is a hot key: the join copies its
-    index row on demand.  With ``dedupe`` a link back to the seed is dropped and
+    index row as its share asks for.  With ``dedupe`` a link back to the seed is dropped and
     a seed counts once; without it ``copies`` says how often the seed is listed.
     """
     limit = min(page_budget, links_per_page)
-    parsed = with_hosts(parse_pages(load_seeds(seeds, pages), ["url"]).withColumnRenamed("url", "seed_url"), "seed_url")
+    wanted = stage(seeds.groupBy(F.col("url").alias("seed_url")).agg(F.count("*").alias("copies")), "seeds")
+    loaded = fetch(pages, wanted.withColumnRenamed("seed_url", "url"))
+    parsed = with_hosts(parse_pages(loaded, ["url"]).withColumnRenamed("url", "seed_url"), "seed_url")
+    links_of = explode_structs(parsed, ["seed_url"], seed_visits("seed_url", "nodes", "hosts", limit), "rank")
     visits = stage(
-        explode_structs(parsed, ["seed_url"], seed_visits("seed_url", "nodes", "hosts", limit), "rank"),
-        "visits",
-    ).select("seed_url", "rank", "url", "priority", "depth")
+        links_of.select("seed_url", "rank", "url", "priority", "depth").join(wanted, "seed_url"), "visits")
     own = visits.filter(F.col("rank") == 0).withColumn("page_url", F.col("url"))
     links = visits.filter(F.col("rank") > 0)
     fetched = on_demand_join(links, page_index(pages), ["url"], spread_by=["seed_url"])
     if dedupe:
         fetched = fetched.filter(F.col("page_url") != F.col("seed_url"))
     frontier = own.unionByName(fetched)
-    if dedupe:
-        return frontier.withColumn("copies", F.lit(1).cast("bigint"))
-    listed = seeds.groupBy(F.col("url").alias("seed_url")).agg(F.count("*").alias("copies"))
-    return frontier.join(listed, "seed_url")
+    return frontier.withColumn("copies", F.lit(1).cast("bigint")) if dedupe else frontier
 
 
 def run_crawl(
@@ -72,11 +73,11 @@ def run_crawl(
     """``seed_url, rank, article fields`` of all reached pages above the threshold.
 
     Each reached page is extracted once, however many seeds reach it, and only
-    article rows (never HTML) meet the frontier again.
+    article rows (never HTML) meet the frontier again; that join also drops the few
+    pages that passed the bitmap without being reached.
     """
     frontier = stage(expand_frontier(seeds, pages, page_budget, dedupe), "frontier")
-    needed = frontier.select(F.col("page_url").alias("url")).distinct()
-    reached = pages.select("url", "html").join(needed, "url", "left_semi")
+    reached = fetch(pages, frontier.select(F.col("page_url").alias("url")))
     articles = stage(
         extract_articles(reached, threshold=threshold, **options).withColumnRenamed("url", "page_url"),
         "articles",

@@ -51,25 +51,76 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), re.sub("^file:(//)?", "", path)
 
 
-def _list_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Folders become the files below them; what is missing gets a message."""
+_LISTED = "path string, refused string, is_folder boolean"
+
+
+def _listed(rows: list[tuple]) -> pa.RecordBatch:
+    paths, refused, folders = zip(*rows) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(paths, pa.string()), pa.array(refused, pa.string()), pa.array(folders, pa.bool_())],
+        ["path", "refused", "is_folder"])
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What was named: files, folders, and a message for what is missing."""
     for batch in batches:
+        rows = []
         for path in batch.column("path").to_pylist():
-            found, message = [path], None
             try:
                 system, inside = opened(path)
-                info = system.get_file_info(inside)
-                if info.type == fs.FileType.NotFound:
-                    message = "file not found"
-                elif info.type == fs.FileType.Directory:
-                    prefix = path.rstrip("/")
-                    below = [f.path[len(info.path.rstrip("/")):] for f in system.get_file_info(
-                        fs.FileSelector(inside, recursive=True)) if f.is_file]
-                    found = [prefix + rest for rest in below if not re.search("/[._]", rest)]
+                kind = system.get_file_info(inside).type
+                message = "file not found" if kind == fs.FileType.NotFound else None
+                rows.append((path, message, kind == fs.FileType.Directory))
             except (OSError, ValueError) as error:
-                message = f"cannot be read: {type(error).__name__}"
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found, pa.string()), pa.array([message] * len(found), pa.string())], ["path", "refused"])
+                rows.append((path, f"cannot be read: {type(error).__name__}", False))
+        yield _listed(rows)
+
+
+def _children(hidden: bool):
+    """Files and folders directly below each folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                try:
+                    system, inside = opened(path)
+                    found = system.get_file_info(fs.FileSelector(inside))
+                    prefix = path.rstrip("/")
+                    yield _listed([
+                        (f"{prefix}/{info.base_name}", None, info.type == fs.FileType.Directory)
+                        for info in found if hidden or info.base_name[0] not in "._"])
+                except (OSError, ValueError) as error:
+                    yield _listed([(path, f"cannot be read: {type(error).__name__}", False)])
+
+    return run
+
+
+def listed_files(spark: SparkSession, paths: list[str] | DataFrame, hidden: bool = False) -> DataFrame:
+    """``path, refused`` of the files named by ``paths`` or below the folders named there.
+
+    Folders are listed level by level: each level's folders are rows, dealt anew to all
+    tasks, so a tree of folders is listed by many tasks and no list passes the driver.
+    Inside folders, names that begin with ``_`` or ``.`` count with ``hidden`` only.
+    """
+    if not isinstance(paths, DataFrame):
+        paths = spark.createDataFrame([(path,) for path in paths], "path string")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    level = stage(paths.select("path").mapInArrow(_named, _LISTED), "listed")
+    files = level.filter("NOT is_folder")
+    while not (folders := level.filter("is_folder")).isEmpty():
+        level = stage(
+            folders.select("path").repartition(tasks, "path").mapInArrow(_children(hidden), _LISTED), "listed")
+        files = files.unionByName(level.filter("NOT is_folder"))
+    return files.select("path", "refused")
+
+
+def read_file(system: fs.FileSystem, inside: str) -> tuple[bytes | None, str | None]:
+    """(content, None) of a file, or (None, why it cannot be read)."""
+    try:
+        with system.open_input_stream(inside) as stream:
+            return stream.read(), None
+    except OSError as error:
+        return None, f"cannot be read: {type(error).__name__}"
 
 
 def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,9 +139,7 @@ def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             content, message = None, refused[i] if refused else None
             if message is None:
                 try:
-                    system, inside = opened(path)
-                    with system.open_input_stream(inside) as stream:
-                        content = stream.read()
+                    content, message = read_file(*opened(path))
                 except (OSError, ValueError) as error:
                     message = f"cannot be read: {type(error).__name__}"
             contents.append(content)
@@ -122,10 +171,7 @@ def read_html_files(spark: SparkSession, paths: list[str] | DataFrame) -> tuple[
     file that is named is read whatever its name.  Empty files are empty pages; missing
     and unreadable ones become quarantine rows.
     """
-    if not isinstance(paths, DataFrame):
-        paths = spark.createDataFrame([(path,) for path in paths], "path string")
-    listed = paths.select("path").mapInArrow(_list_batches, "path string, refused string")
-    return split_readable(read_paths(listed))
+    return split_readable(read_paths(listed_files(spark, paths)))
 
 
 def stream_html_files(spark: SparkSession, dirs: list[str], max_files: int = 10_000) -> DataFrame:
