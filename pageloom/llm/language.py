@@ -42,8 +42,9 @@ _ROWS = 500
 
 
 def letter_words(text: str) -> list[str]:
-    """Runs of letters, in small letters."""
-    return _LETTERS.findall(text.lower())
+    """Runs of letters, in small letters; numerals like ² and Ⅷ alone are no word."""
+    found = _LETTERS.findall(text.lower())
+    return [word for word in found if word.isalpha() or any(map(str.isalpha, word))]
 
 
 def suffix_automaton(text: bytes) -> list[dict[int, int]]:

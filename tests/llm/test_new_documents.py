@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pageloom.llm import bpe, catalog, manifest, ordinals, resampling
+from pageloom.llm import bpe, catalog, language, manifest, ordinals, resampling
 
 from odd_rows import LONG, ROWS, SHARED, documents, prose
 
@@ -281,3 +281,8 @@ def test_encode_keeps_other_columns_and_refuses_clashes(spark):
 def test_a_file_with_other_steps_is_refused():
     with open("/opt/tokenizers/word_bpe_49k.json", encoding="utf-8") as file, pytest.raises(ValueError):
         bpe.Vocabulary(file.read())
+
+
+def test_numerals_are_no_letters():
+    assert language.letter_words("½ ² ① Ⅷ 12 _ ٣") == []
+    assert language.letter_words("Größe x² née") == ["größe", "x²", "née"]
