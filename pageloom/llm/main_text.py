@@ -27,18 +27,20 @@ from pageloom.llm.shared import per_batch
 # Element names and the words of classes, ids and roles.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
-LEFT_OUT = frozenset("head nav footer aside form button fieldset menu dialog label option optgroup datalist applet map annotation annotation-xml "
-    "noscript template svg object canvas video audio select".split())
+LEFT_OUT = frozenset("head nav footer aside form button fieldset menu dialog option optgroup datalist applet annotation annotation-xml "
+    "noscript template svg canvas video audio select".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark meter nobr output progress q rb rp rt rtc "
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label map mark meter nobr object output progress q rb rp rt rtc "
     "ruby s samp small span strike strong sub sup time tt u var wbr "
     "math semantics mrow mi mn mo ms mtext mspace mstyle mfrac msqrt mroot msup msub msubsup mover munder munderover annotation annotation-xml".split()
 )
 PARAGRAPHS = frozenset("p pre li dd dt blockquote td th caption figcaption summary address".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 LISTS = frozenset("ul ol dl table div section".split())
-IMPLIED = {"li": "li", "dd": "dd dt", "dt": "dd dt", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
-SCOPES = frozenset("ul ol dl table td th tr article section main body button div blockquote".split())
+IMPLIED = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
+    "option": ("option",)}
+SCOPES = tuple("ul ol dl table td th tr article section main body button div blockquote".split())
+CELLS = ("td", "th", "button", "caption")
 FLOW = PARAGRAPHS | HEADINGS | frozenset("ul ol dl table section figure".split())
 FRAME = frozenset("nav header footer aside menu".split())
 FRAME_NAMES = re.compile(
@@ -68,7 +70,8 @@ _TAG = re.compile(
     r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^>\s]*+))*+)>")
 _LETTER = re.compile("[a-zA-Z]")
 _ATTR = re.compile(r"([^\s/=>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_LEVELS = 5
+# What a container gets of a paragraph inside it: the whole, a half, and so on upwards.
+_SHARES = (1, 2, 6, 9, 12)
 _SIBLING_SHARE = 0.2
 _LINKED = 0.5
 # A menu: this share of its text in links, of so few characters on average.
@@ -85,8 +88,10 @@ class _Page:
         self.frame: set[int] = set()  # left-out elements that stand around articles, not in them
         self.whole: set[int] = set()  # elements marked as the article or main part
         self.loose: dict[int, bool] = {}  # left out by class or id unless they hold the article; True: readers' part
+        self.owner, self.holder = [0], [0]  # nearest block, and nearest possible container, at or above
         self.stack = [0]
-        self.open: dict[str, int] = {}
+        self.open: dict[str, list[int]] = {}  # places in the stack of the open elements of a name
+        self.blocks = [0]  # places in the stack of what is no inline element
         self.links = 0
         self.chunks: list[tuple[int, int, bool, str]] = []  # block, element, in a link, text
         self.block = 0
@@ -99,16 +104,11 @@ class _Page:
                 return
         if tag not in INLINE:
             self.block += 1
-            if self.open.get("p") and not self._shielded("p"):
+            if self.open.get("p") and self.open["p"][-1] > self._innermost(CELLS):
                 self.end("p")
         if tag in IMPLIED:
-            closes = IMPLIED[tag].split()
-            for depth in range(len(self.stack) - 1, max(0, len(self.stack) - 9), -1):
-                name = self.tag[self.stack[depth]]
-                if name in closes:
-                    self._pop_to(depth)
-                elif name in SCOPES:
-                    break
+            while (depth := self._innermost(IMPLIED[tag])) and depth >= self._innermost(SCOPES):
+                self._pop_to(depth)
         if tag in VOID:
             return
         above = self.stack[-1]
@@ -120,8 +120,13 @@ class _Page:
         self.tag.append(tag)
         self.out.append(out)
         self.bonus.append(bonus)
-        self.stack.append(len(self.tag) - 1)
-        self.open[tag] = self.open.get(tag, 0) + 1
+        number, depth = len(self.tag) - 1, len(self.stack)
+        self.owner.append(self.owner[above] if tag in INLINE else number)
+        self.holder.append(number if _holds(tag) else self.holder[above])
+        self.stack.append(number)
+        self.open.setdefault(tag, []).append(depth)
+        if tag not in INLINE:
+            self.blocks.append(depth)
         self.links += tag == "a"
 
     def _judge(self, tag: str, attrs: str, number: int) -> tuple[bool, float]:
@@ -163,33 +168,26 @@ class _Page:
             self.whole.add(number)
         return False, bonus + 10.0 * wanted
 
-    def _shielded(self, tag: str) -> bool:
-        """Whether a table cell or button stands between here and the open ``tag``."""
-        for element in reversed(self.stack):
-            name = self.tag[element]
-            if name == tag:
-                return False
-            if name in ("td", "th", "button", "caption"):
-                return True
-        return True
+    def _innermost(self, names: tuple[str, ...]) -> int:
+        """Place in the stack of the innermost open element with one of the names, 0 if there is none."""
+        return max([self.open[name][-1] for name in names if self.open.get(name)], default=0)
 
     def _pop_to(self, depth: int) -> None:
         for element in self.stack[depth:]:
             name = self.tag[element]
-            self.open[name] -= 1
+            self.open[name].pop()
             self.links -= name == "a"
         del self.stack[depth:]
+        while self.blocks[-1] >= depth:
+            self.blocks.pop()
 
     def end(self, tag: str) -> None:
         if tag not in INLINE:
             self.block += 1
         if not self.open.get(tag):
             return
-        # everything popped on the way was open: over the page this stays linear
-        depth = len(self.stack) - 1
-        while self.tag[self.stack[depth]] != tag or depth == 0:
-            depth -= 1
-        if tag in INLINE and any(self.tag[e] not in INLINE for e in self.stack[depth + 1:depth + 9]):
+        depth = self.open[tag][-1]
+        if tag in INLINE and self.blocks[-1] > depth:
             return  # an inline end tag does not close the blocks inside it
         self._pop_to(depth)
 
@@ -271,10 +269,7 @@ def _blocks(page: _Page) -> list[tuple[int, str, int]]:
             at += 1
         text = " ".join("".join(parts).split())
         if text:
-            owner = first
-            while page.tag[owner] in INLINE:
-                owner = page.parent[owner]
-            blocks.append((owner, text, linked))
+            blocks.append((page.owner[first], text, linked))
     return blocks
 
 
@@ -296,12 +291,12 @@ def main_text(html: str) -> str:
         linked[element] += in_links
         if not gain:
             continue
-        holder, level = element, 0
-        while holder >= 0 and level < _LEVELS:
-            if _holds(page.tag[holder]):
-                points[holder] += gain / (1, 2, 6, 9, 12)[level]
-                level += 1
-            holder = page.parent[holder]
+        holder = page.holder[element]
+        for share in _SHARES:
+            points[holder] += gain / share
+            if holder == 0:
+                break
+            holder = page.holder[page.parent[holder]]
     for element in range(n - 1, 0, -1):
         length[page.parent[element]] += length[element]
         linked[page.parent[element]] += linked[element]

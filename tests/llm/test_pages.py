@@ -2,6 +2,8 @@
 
 import base64
 import hashlib
+import html.parser
+import pathlib
 import time
 
 import pytest
@@ -34,13 +36,69 @@ def test_small_pages(html, want):
     assert main_text.main_text(html) == want
 
 
-@pytest.mark.parametrize("unit", ["<div>", "<ul><li>", "<b><p>", "<table><tr><td>", "<a>", "</div>", "<", "<p class='x"])
+@pytest.mark.parametrize("unit", ["<div>", "<ul><li>", "<b><p>", "<table><tr><td>", "<a>", "</div>", "<", "<p class='x",
+                                  "<ul><li>x", "<b>x<p></p>", "<p><b>x<td>", "<dl><dt><i>x", "<label>x<div>"])
 def test_nesting_is_linear(unit):
     start = time.process_time()
     main_text.main_text(unit * 100_000 + "text")
     assert time.process_time() - start < 6
 
 
+@pytest.mark.parametrize(("before", "after"), [("<b>", "</b>"), ("<p><td>", "<div>"), ("<li>", "<li>"), ("<b>", "x<div></b>")])
+def test_end_tags_over_deep_nesting_are_linear(before, after):
+    start = time.process_time()
+    main_text.main_text(before + "<div>" * 100_000 + after * 100_000 + "text")
+    main_text.main_text(before + "<i>" * 100_000 + after * 100_000 + "text")
+    assert time.process_time() - start < 12
+
+
+@pytest.mark.parametrize("depth", [1, 8, 9, 300])
+def test_no_depth_changes_the_tree(depth):
+    inline = "<i>" * depth
+    assert main_text.main_text(f"<ul><li>a{inline}b<li>c</ul><p>d") == "ab c d"
+    blocks = "<div>" * depth
+    assert main_text.main_text(f"<div><b>a{blocks}b</b>c{'</div>' * depth}</div><p>d") == "a bc d"
+
+
+def test_texts_of_labels_objects_and_maps_stay():
+    page = "<article><p>One <label>two</label><object>three</object><map>four</map></p><form><label>Name</label></form></article>"
+    assert main_text.main_text(page) == "One twothreefour"
+
+
+class _Reader(html.parser.HTMLParser):
+    """The words inside ``article``, without what is marked as an advert."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.advert, self.words = 0, 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        if self.advert or "ad" in (dict(attrs).get("class") or "").split():
+            self.advert += tag not in main_text.VOID
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        self.advert -= self.advert > 0
+
+    def handle_data(self, data):
+        if self.inside and not self.advert:
+            self.words += data.split()
+
+
+def test_pages_of_the_table_against_a_plain_reader(spark):
+    folder = "/root/testdata/sf0.01"
+    if not pathlib.Path(folder).exists():
+        pytest.skip("needs the test tables")
+    pages = {row.page_id: row.html for row in spark.read.parquet(f"{folder}/pages.parquet").collect()}
+    found = catalog.QUERIES["op1_main_text"](spark, folder).collect()
+    assert len(found) == len(pages)
+    for row in found:
+        reader = _Reader()
+        reader.feed(pages[row.page_id] or "")
+        assert row.text.split() == reader.words and row.n_chars == len(row.text)
+
+
 LONG, SHORT = f"<section><h2>Long</h2>{f'<p>{PARAGRAPH}</p>' * 30}</section>", f"<section><h2>End</h2><p>{PARAGRAPH}</p><p>Yes.</p></section>"
 PARTS = f"<h1>Title</h1><p>Lead.</p>{LONG}<h3>Points</h3><ul><li>One<li>Two</ul><blockquote>Quote</blockquote>{SHORT}<table><tr><td>Cell</table>"
 PARTS_TEXT = f"Title Lead. Long {' '.join([PARAGRAPH] * 30)} Points One Two Quote End {PARAGRAPH} Yes. Cell"
@@ -97,7 +155,7 @@ def test_lists_of_links_beside_unmarked_text():
     ("<p>a</><p>b", "a b"), ("<p>a</ div><p>b", "a b"), ("<p>a</3 c><p>b", "a b"), ("<p>a</3", "a"), ("<p>a</p", "a"), ("<p>a<é b", "a<é b"),
     ("<div><select><option>x</div><p>b", "b"), ("<div><video>x</div><p>b", "b"), ("<div><svg><text>x</div><p>b", "b"),
     ("<svg><path d=a /><text>x<p>b", "b"), ("<svg><foreignObject><p>x</p></foreignObject></svg><p>b", "b"),
-    ("<div><noscript>x</div><p>b", "b"), ("<div><object>x<p>y</div><p>b", "b"), ("<p>a<canvas>x</canvas>b", "a b"),
+    ("<div><noscript>x</div><p>b", "b"), ("<div><object>x<p>y</div><p>b", "x y b"), ("<p>a<canvas>x</canvas>b", "a b"),
     ("<p>a<audio>x</audio><p>b<script>x", "a b"), ("<p>a<!--><p>b", "a b"),
 ])
 def test_broken_markup_keeps_the_rest(html, want):
