@@ -5,11 +5,12 @@ method looks at wider candidates as well (numbers written without a plus sign,
 account and social security numbers, written-out addresses, titled names).  Regex,
 gazetteer and context labelers vote on every candidate or abstain;
 expectation-maximisation over the counts of vote patterns estimates what each vote
-is worth, and the final classifier is fitted to its posteriors: the log odds of the
-votes and of the kind of span.  A candidate that the classifier accepts becomes a
-span; base spans stay whatever it says.
+is worth.  Its posteriors train the final classifier, a logistic regression over the
+votes, the kind, and features of the span and of what stands before it.  A candidate
+that the classifier accepts becomes a span; base spans stay whatever it says.
 
-Positions are code points, the end is exclusive.
+Positions are code points, the end is exclusive.  The work per candidate does not
+depend on the length of the text or on the number of its candidates.
 
 Edge cases: a null or empty text has no spans; repeated rows are judged one by
 one; an empty table gives an empty result; input columns travel in a struct, so
@@ -17,7 +18,9 @@ clashing names do no harm.
 """
 
 import math
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,19 +58,34 @@ CARD_STARTS = ["4", "51", "52", "53", "54", "55", "34", "37", "60", "65", "35",
 CUES = r"(?i)(?:e-?mail|mail|contact|kontakt|phone|tel|call|fax|mobile|handy|card|visa|karte|tarjeta|carte|iban|account|konto|compte|cuenta|ssn|social|security|address|ip|host|client|name|signed|reach)\W{0,3}(?:\w+\W{1,2}){0,2}$"
 ANTI_CUES = r"(?i)(?:version|isbn|issn|order|invoice|build|release|chapter|section|figure|page|article|id|sku|serial)\W{0,3}(?:no\W{0,2}|number\W{0,2})?$"
 CONTEXT = 40
-_BLOCK = 512
+# Elements of a block of running totals, as a power of two, and characters of a piece of text.
+_BLOCK_BITS = 6
+_PIECE_BITS = 10
+# Weight that pulls the classifier's coefficients to zero, and its rounds.
+_RIDGE, _ROUNDS = 0.1, 30
 
 
-def _prefix_sums(values: Column) -> Column:
-    """Running totals of an integer array, with work per element bounded by a block."""
-    total = lambda part: F.aggregate(part, F.lit(0), lambda acc, x: acc + x)
+def _running(values: Column, merge: Callable[[Column, Column], Column], zero: Column, levels: int = 2) -> Column:
+    """Running totals of an array of integers that has elements and is bound by ``let``.
+
+    A total is that of the blocks before plus some elements of its own block; totals of
+    blocks come about in the same way, so the work is about half a block per element.
+    """
+    def fold(part: Column) -> Column:
+        return F.aggregate(part, zero, lambda total, x: merge(total, x))
+
+    if levels == 0:
+        return F.transform(values, lambda _, i: fold(F.slice(values, F.lit(1), i + 1)))
+    size = 1 << _BLOCK_BITS
     blocks = F.transform(
-        F.sequence(F.lit(0), F.floor(F.size(values) / _BLOCK).cast("int")),
-        lambda b: total(F.slice(values, F.lit(1), b * _BLOCK)),
-    )
-    return let(blocks, lambda before: F.transform(values, lambda _, i: let(
-        F.floor(i / _BLOCK).cast("int"),
-        lambda b: F.get(before, b) + total(F.slice(values, b * _BLOCK + 1, i - b * _BLOCK + 1)))))
+        F.sequence(F.lit(0), F.shiftright(F.size(values) - 1, _BLOCK_BITS)),
+        lambda b: fold(F.slice(values, b * size + 1, F.lit(size))))
+
+    def total(before: Column, i: Column, b: Column) -> Column:
+        return merge(F.coalesce(F.get(before, b - 1), zero), fold(F.slice(values, b * size + 1, i - b * size + 1)))
+
+    return let(blocks, lambda own: let(_running(own, merge, zero, levels - 1), lambda before: F.transform(
+        values, lambda _, i: total(before, i, F.shiftright(i, _BLOCK_BITS)))))
 
 
 def find_spans(text: Column, kind: str, pattern: str, gate: str) -> Column:
@@ -78,7 +96,8 @@ def find_spans(text: Column, kind: str, pattern: str, gate: str) -> Column:
     """
     def located(pieces: Column, values: Column) -> Column:
         steps = F.transform(values, lambda v, i: F.length(v) + F.length(F.get(pieces, i)))
-        return let(_prefix_sums(steps), lambda ends: F.transform(values, lambda v, i: F.struct(
+        sums = let(steps, lambda bound: _running(bound, lambda a, b: a + b, F.lit(0)))
+        return let(sums, lambda ends: F.transform(values, lambda v, i: F.struct(
             F.lit(kind).alias("kind"),
             (F.get(ends, i) - F.length(v)).alias("start"),
             F.get(ends, i).alias("end"),
@@ -113,13 +132,13 @@ def small_parts(value: Column) -> Column:
     return F.forall(F.split(value, r"\."), small)
 
 
-def valid(kind: Column, value: Column) -> Column:
-    """Whether a base match passes the check of its kind."""
-    n = F.length(_digits(value))
+def valid(kind: Column, value: Column, digits: Column) -> Column:
+    """Whether a base match, whose digits are ``digits``, passes the check of its kind."""
+    n = F.length(digits)
     return (
         F.when(kind == "email", F.lit(True))
         .when(kind == "ip", small_parts(value))
-        .when(kind == "card", F.when((n >= 13) & (n <= 19), luhn_ok(_digits(value))).otherwise(False))
+        .when(kind == "card", F.when((n >= 13) & (n <= 19), luhn_ok(digits)).otherwise(False))
         .when(kind == "phone", (n >= 9) & (n <= 15))
         .otherwise(False)
     )
@@ -129,10 +148,10 @@ def valid(kind: Column, value: Column) -> Column:
 LABELERS = ["regex", "gazetteer", "context", "counter_context", "shape"]
 
 
-def votes(kind: Column, value: Column, before: Column, is_base: Column) -> dict[str, Column]:
+def votes(kind: Column, value: Column, digits: Column, before: Column, is_base: Column) -> dict[str, Column]:
     """Labeler -> 1 (personal), 0 (not), -1 (abstain) for one candidate."""
-    n = F.length(_digits(value))
-    repeated = F.length(F.regexp_replace(_digits(value), r"^(.)\1*", "")) == 0
+    n = F.length(digits)
+    repeated = F.length(F.replace(digits, F.left(digits, F.lit(1)), F.lit(""))) == 0
     last_label = F.lower(F.element_at(F.split(value, r"[.\s\])]+"), -1))
     regex = (
         F.when(is_base, F.lit(1))
@@ -169,6 +188,24 @@ def votes(kind: Column, value: Column, before: Column, is_base: Column) -> dict[
     }
 
 
+# Fixed order of the features; each has few values, so their patterns are bounded.
+FEATURES = ["n_digits", "separators", "left"]
+
+
+def features(value: Column, digits: Column, before: Column) -> dict[str, Column]:
+    """Small numbers that describe a candidate and the character before it."""
+    n = F.length(digits)
+    return {
+        "n_digits": F.when(n == 0, 0).when(n < 7, 1).when(n < 10, 2).when(n < 13, 3).when(n < 17, 4).otherwise(5),
+        "separators": (
+            F.when(~value.rlike(r"[ .()-]"), 0).when(~value.rlike(r"[ .()]"), 1)
+            .when(~value.rlike(r"[ ()-]"), 2).when(~value.rlike(r"[.()-]"), 3).otherwise(4)),
+        "left": (
+            F.when(before.rlike(r"[:=]\s*$"), 1).when(before.rlike(r"(?:^|\s)$"), 0)
+            .when(before.rlike(r"[A-Za-z0-9]$"), 2).otherwise(3)),
+    }
+
+
 def candidates(text: Column) -> Column:
     """All candidates of a text with their votes, base kinds first, then by position."""
     found = F.concat(
@@ -177,23 +214,65 @@ def candidates(text: Column) -> Column:
             *[find_spans(text, kind, pattern, ".") for kind, pattern in WIDE.items()]
         )).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")),
     )
-
-    def labelled(span: Column) -> Column:
-        from_ = F.greatest(span["start"] - CONTEXT, F.lit(0))
-        around = F.struct(
-            F.substring(text, from_ + 1, span["start"] - from_).alias("before"),
-            valid(span["kind"], span["value"]).alias("is_base"),
-        )
-        return let(around, lambda a: F.struct(
+    size = 1 << _PIECE_BITS
+
+    def before(pieces: Column, start: Column, piece: Column) -> Column:
+        """The characters before a place, from its piece of the text and the piece before."""
+        near = F.concat(
+            F.coalesce(F.substring(F.get(pieces, piece - 1), -CONTEXT, CONTEXT), F.lit("")),
+            F.substring(F.get(pieces, piece), F.lit(1), start - piece * size))
+        return F.substring(near, -CONTEXT, CONTEXT)
+
+    def judged(span: Column, digits: Column, before: Column, is_base: Column) -> Column:
+        voted = votes(span["kind"], span["value"], digits, before, is_base)
+        described = features(span["value"], digits, before)
+        return F.struct(
             span["kind"].alias("kind"), span["start"].alias("start"), span["end"].alias("end"),
-            span["value"].alias("value"), a["is_base"].alias("is_base"),
-            F.struct(*[
-                vote.cast("tinyint").alias(name)
-                for name, vote in votes(span["kind"], span["value"], a["before"], a["is_base"]).items()
-            ]).alias("votes"),
-        ))
+            span["value"].alias("value"), is_base.alias("is_base"),
+            F.struct(*[voted[name].cast("tinyint").alias(name) for name in LABELERS]).alias("votes"),
+            F.struct(*[described[name].cast("tinyint").alias(name) for name in FEATURES]).alias("features"),
+        )
 
-    return let(found, lambda spans: F.when(F.size(spans) > 0, F.transform(spans, labelled)))
+    def labelled(pieces: Column, span: Column) -> Column:
+        return let(_digits(span["value"]), lambda digits: let(
+            F.struct(
+                before(pieces, span["start"], F.shiftright(span["start"], _PIECE_BITS)).alias("before"),
+                valid(span["kind"], span["value"], digits).alias("is_base")),
+            lambda around: judged(span, digits, around["before"], around["is_base"])))
+
+    def all_labelled(spans: Column) -> Column:
+        pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+        return let(pieces, lambda bound: F.transform(spans, lambda span: labelled(bound, span)))
+
+    return let(found, lambda spans: F.when(F.size(spans) > 0, all_labelled(spans)))
+
+
+def _beside(spans: Column, base: Column) -> Column:
+    """Those of ``spans`` (bound, with elements) that overlap none of the base spans.
+
+    In the order of their starts a span is free if no base span that starts before it, or
+    with it, reaches into it and the next base span starts at its end or later.
+    """
+    far = F.lit(2**31 - 1)
+    ordered = F.array_sort(F.concat(
+        F.transform(base, lambda b: F.struct(
+            b["start"].alias("start"), F.lit(-1).alias("nth"), b["end"].alias("end"))),
+        F.transform(spans, lambda c, i: F.struct(
+            c["start"].alias("start"), i.alias("nth"), c["end"].alias("end")))))
+
+    def flags(places: Column, reach: Column, following: Column) -> Column:
+        marked = F.transform(places, lambda c, i: F.struct(c["nth"].alias("nth"), (
+            (F.get(reach, i) <= c["start"]) & (F.get(following, F.size(places) - 1 - i) >= c["end"])).alias("free")))
+        return F.filter(marked, lambda c: c["nth"] >= 0)
+
+    def settled(places: Column) -> Column:
+        ends = F.transform(places, lambda c: F.when(c["nth"] < 0, c["end"]).otherwise(F.lit(0)))
+        starts = F.reverse(F.transform(places, lambda c: F.when(c["nth"] < 0, c["start"]).otherwise(far)))
+        return let(ends, lambda e: let(starts, lambda s: let(
+            F.struct(_running(e, F.greatest, F.lit(0)).alias("reach"), _running(s, F.least, far).alias("following")),
+            lambda run: F.array_sort(flags(places, run["reach"], run["following"])))))
+
+    return let(let(ordered, settled), lambda free: F.filter(spans, lambda _, i: F.get(free, i)["free"]))
 
 
 def detect(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
@@ -208,58 +287,104 @@ def detect(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
         "candidates",
     )
     seen = (
-        marked.select(F.explode("found").alias("c")).groupBy("c.kind", "c.is_base", "c.votes")
+        marked.select(F.explode("found").alias("c")).groupBy("c.kind", "c.is_base", "c.votes", "c.features")
         .agg(F.count("*").alias("n")).collect()
     )
     score = classifier([
-        (row["kind"], row["is_base"], tuple(row["votes"][name] for name in LABELERS), row["n"]) for row in seen
+        (row["kind"], row["is_base"], tuple(row["votes"][name] for name in LABELERS),
+         tuple(row["features"][name] for name in FEATURES), row["n"]) for row in seen
     ])
     scored = F.transform(F.col("found"), lambda c: F.struct(
         c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"),
         c["is_base"].alias("is_base"), score(c).alias("p")))
-    accepted = let(scored, lambda all_: let(
-        F.filter(all_, lambda c: c["is_base"]),
-        lambda base: F.concat(base, F.filter(all_, lambda c: ~c["is_base"] & (c["p"] >= 0.5) & ~F.exists(
-            base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))))))
+
+    def accepted(all_: Column) -> Column:
+        return let(
+            F.struct(F.filter(all_, lambda c: c["is_base"]).alias("base"),
+                     F.filter(all_, lambda c: ~c["is_base"] & (c["p"] >= 0.5)).alias("added")),
+            lambda parts: F.when((F.size(parts["base"]) == 0) | (F.size(parts["added"]) == 0), F.concat(parts["base"], parts["added"]))
+            .otherwise(F.concat(parts["base"], let(parts["added"], lambda added: _beside(added, parts["base"])))))
+
     kind_of = "array<struct<kind:string,start:int,end:int,value:string,is_base:boolean,p:double>>"
-    return marked.select("row", F.coalesce(accepted, F.array().cast(kind_of)).alias("spans"))
+    return marked.select("row", F.coalesce(let(scored, accepted), F.array().cast(kind_of)).alias("spans"))
 
 
-def classifier(counts: list[tuple[str, bool, tuple[int, ...], int]]):
+def classifier(counts: list[tuple[str, bool, tuple[int, ...], tuple[int, ...], int]]):
     """A column function giving the probability that a candidate is personal data.
 
-    ``counts`` has a row per kind, base check and vote pattern, so it is bounded by the
-    number of kinds times 3 to the number of labelers.  The labelers' weights come from
-    expectation-maximisation over all kinds, with base spans known to be personal; the
-    share of personal data within each kind is then fitted to the posteriors.
+    ``counts`` has a row per kind, base check, votes and features, so it is bounded by
+    the number of kinds times 3 to the number of labelers times the values of the features.
+    The labelers' weights come from expectation-maximisation over all kinds, with base spans known
+    to be personal; a logistic regression over kind, votes and features is fitted to the posteriors.
     """
     patterns: dict[tuple[tuple[int, ...], bool], int] = {}
-    for _, is_base, vote, n in counts:
+    for _, is_base, vote, _, n in counts:
         patterns[vote, is_base] = patterns.get((vote, is_base), 0) + n
     ordered = sorted(patterns.items())
     prior, steps = weak_labels.fit(
         [(vote, n) for (vote, _), n in ordered], len(LABELERS), start=(-0.5, 1.0, -1.5),
         known=[is_base for (_, is_base), _ in ordered])
-    mass: dict[str, list[float]] = {}
-    for kind, is_base, vote, n in counts:
-        odds = max(-500.0, min(500.0, weak_labels.log_odds(vote, prior, steps)))
-        p = 1.0 if is_base else 1 / (1 + math.exp(-odds))
-        held = mass.setdefault(kind, [1.0, 1.0])
-        held[0] += n * p
-        held[1] += n * (1 - p)
+    targets = [
+        1.0 if is_base else 1 / (1 + math.exp(-max(-500.0, min(500.0, weak_labels.log_odds(vote, prior, steps)))))
+        for _, is_base, vote, _, _ in counts
+    ]
+    names = [
+        [("kind", kind), *zip(LABELERS, vote), *zip(FEATURES, described)] for kind, _, vote, described, _ in counts
+    ]
+    weights = _logistic(names, targets, [n for *_, n in counts])
+
+    def worth(name: str, value: Column) -> Column:
+        """The coefficient of a value; one that was not seen adds nothing."""
+        found = F.lit(0.0)
+        for (owner, seen), weight in sorted(weights.items(), key=str):
+            if owner == name:
+                found = F.when(value == F.lit(seen), F.lit(weight)).otherwise(found)
+        return found
 
     def score(candidate: Column) -> Column:
-        odds = F.lit(0.0)
-        for kind, (yes, no) in sorted(mass.items()):
-            odds = odds + F.when(candidate["kind"] == kind, F.lit(math.log(yes / no))).otherwise(F.lit(0.0))
-        for name, step in zip(LABELERS, steps):
-            vote = candidate["votes"][name]
-            odds = odds + F.when(vote == 1, step[1]).when(vote == 0, step[0]).otherwise(step[-1])
+        odds = F.lit(weights.get(("", ""), 0.0)) + worth("kind", candidate["kind"])
+        for name in LABELERS:
+            odds = odds + worth(name, candidate["votes"][name])
+        for name in FEATURES:
+            odds = odds + worth(name, candidate["features"][name])
         return 1 / (1 + F.exp(-odds))
 
     return score
 
 
+def _logistic(names: list[list[tuple]], targets: list[float], counts: list[int]) -> dict[tuple, float]:
+    """Coefficient per (feature, value), and ("", "") for the constant, by Newton steps.
+
+    ``targets`` are probabilities; a row counts as often as ``counts`` says.
+    """
+    if not names:
+        return {}
+    columns = {name: at for at, name in enumerate(sorted({name for row in names for name in row} | {("", "")}, key=str))}
+    shown = np.zeros((len(names), len(columns)))
+    shown[:, columns["", ""]] = 1.0
+    for row, found in enumerate(names):
+        shown[row, [columns[name] for name in found]] = 1.0
+    target, count = np.array(targets), np.array(counts, float)
+    pull = np.full(len(columns), _RIDGE)
+    weights = np.zeros(len(columns))
+
+    def loss(at: np.ndarray) -> float:
+        odds = shown @ at
+        return float((count * (np.logaddexp(0, odds) - target * odds)).sum() + (pull * at * at).sum() / 2)
+
+    for _ in range(_ROUNDS):
+        p = 1 / (1 + np.exp(-np.clip(shown @ weights, -500, 500)))
+        slope = shown.T @ (count * (p - target)) + pull * weights
+        step = np.linalg.solve((shown * (count * p * (1 - p))[:, None]).T @ shown + np.diag(pull), slope)
+        size = 1.0
+        while size > 1e-6 and loss(weights - size * step) > loss(weights):
+            size /= 2
+        weights = weights - size * step
+        if np.abs(size * step).max() < 1e-8:
+            break
+    return {name: float(weights[at]) for name, at in columns.items()}
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with every span replaced by its kind in angle brackets."""
     found = detect(docs)

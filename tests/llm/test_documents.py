@@ -2,8 +2,11 @@
 
 import base64
 import hashlib
+import itertools
 import math
+import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -11,6 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from pageloom.functions import expr
 from pageloom.llm import (
     catalog, decontaminate, language, packing, pii, quality, repeats, secret_scan, shared, simhash, weak_labels,
 )
@@ -373,6 +377,68 @@ def test_pii(spark, sf_dir):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_pii_in_dense_texts(spark):
+    rows = [(1, "1.2.3.4 " * 20_000), (2, "tel 212-555-1234, mail a@b.com; " * 5_000), (3, "é" * 1_023 + "1.2.3.4" + "x" * 1_030 + "5.6.7.8")]
+    start = time.monotonic()
+    found = {r.row.doc_id: r for r in pii.detect(documents(spark, rows), carry=["doc_id", "text"]).collect()}
+    assert time.monotonic() - start < 60
+    for doc_id, text in rows:
+        spans = [(s.kind, s.start, s.end) for s in found[doc_id].spans if s.is_base]
+        assert spans == plain_pii(text)
+        assert all(text[s.start:s.end] == s.value for s in found[doc_id].spans)
+
+
+def test_added_spans_never_touch_base_spans(spark):
+    """Overlaps by running maxima against every pair, on random intervals of one text."""
+    rng = random.Random(5)
+    for size in (1, 3, 70, 5_000):
+        def some():
+            starts = [rng.randrange(size * 8) for _ in range(size)]
+            return [{"start": start, "end": start + rng.randrange(1, 9)} for start in starts]
+        added, base = some(), some()
+        kind = "array<struct<start:int,end:int>>"
+        row = spark.createDataFrame([(added, base)], f"added {kind}, base {kind}").select(
+            expr.let(F.col("added"), lambda a: pii._beside(a, F.col("base"))).alias("free")).first()
+        want = [a for a in added if not any(b["start"] < a["end"] and a["start"] < b["end"] for b in base)]
+        assert [s.asDict() for s in row.free] == want
+
+
+def test_running_totals(spark):
+    for size in (1, 63, 64, 65, 4_097):
+        values = [(k * 37) % 101 for k in range(size)]
+        row = spark.createDataFrame([(values,)], "v array<int>").select(
+            expr.let(F.col("v"), lambda v: pii._running(v, lambda a, b: a + b, F.lit(0))).alias("sums")).first()
+        assert row.sums == list(itertools.accumulate(values))
+
+
+def test_pii_finds_planted_wide_spans(spark):
+    """Precision and recall of added spans: numbers and names in personal phrases against look-alikes."""
+    rng = random.Random(3)
+    digits = lambda n: "".join(rng.choice("23456789") for _ in range(n))
+    personal = [
+        lambda: ("My social security number is ", f"{rng.randrange(100, 665)}-{digits(2)}-{digits(4)}"),
+        lambda: ("SSN: ", f"{rng.randrange(100, 665)}-{digits(2)}-{digits(4)}"),
+        lambda: ("please call ", f"{digits(3)}-{digits(3)}-{digits(4)}"), lambda: ("Phone: ", f"({digits(3)}) {digits(3)}-{digits(4)}"),
+        lambda: ("IBAN ", f"DE{digits(2)} {digits(4)} {digits(4)} {digits(4)} {digits(4)} {digits(2)}"),
+        lambda: ("contact ", f"anna.{rng.choice('abcdef')}berg [at] example [dot] org"), lambda: ("signed by ", "Dr. Anna Berg"),
+    ]
+    others = [
+        lambda: ("invoice no. ", f"000-{digits(2)}-{digits(4)}"), lambda: ("order number ", f"9{digits(2)}-{digits(2)}-0000"),
+        lambda: ("version ", f"1{digits(2)}-1{digits(2)}-{digits(4)}"), lambda: ("part ", f"111-111-1111"),
+        lambda: ("serial no ", f"1{digits(2)}.{digits(3)}.{digits(4)}"), lambda: ("article ", f"XQ{digits(2)} {digits(4)} {digits(4)} {digits(4)}"),
+    ]
+    rows, planted, decoys = [], set(), set()
+    for doc_id in range(600):
+        cue, value = rng.choice(personal if doc_id % 2 else others)()
+        (planted if doc_id % 2 else decoys).add((doc_id, value))
+        rows.append((doc_id, f"Some words before. {cue}{value}, and after. Mail user{doc_id}@example.com or 10.0.0.{doc_id % 200}."))
+    found = {(r.row.doc_id, s.value) for r in pii.detect(documents(spark, rows), carry=["doc_id"]).collect()
+             for s in r.spans if not s.is_base}
+    recall, precision = len(found & planted) / len(planted), len(found & planted) / max(1, len(found))
+    print(f"recall {recall:.3f}, precision {precision:.3f}")
+    assert recall >= 0.9 and precision >= 0.9
+
+
 def test_pii_redaction(spark):
     rows = [(1, "mail a@b.com or 10.0.0.1!"), (2, "none here"), (3, None)]
     texts = {r.doc_id: r.text for r in pii.redact(documents(spark, rows)).collect()}
