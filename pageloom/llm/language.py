@@ -7,10 +7,11 @@ the length of the text, wins.  Pieces do not cross words, and a word is parsed
 with the blanks around it, so equal words cost the same and are parsed once per batch
 of work instead of once per occurrence.
 
-The automata are fitted to a bounded sample: per language ``SAMPLE_DOCS`` labelled
-documents with distinct beginnings in the order of a hash of these, ``SAMPLE_CHARS``
-characters of each, and never more than ``SAMPLE_TOTAL`` characters for all languages
-together; to stay below, every document is cut to an equal share.  Whole texts are predicted.
+The automata are fitted to a bounded sample of rows: per language ``SAMPLE_DOCS`` labelled
+documents with distinct texts, in the order of a hash of these.  As pieces do not cross
+words, a sample is a list of distinct words: those of the whole texts, the most
+frequent words of every document first, then the second ones and so on, until the languages
+have ``SAMPLE_TOTAL`` characters together.  Whole texts are predicted.
 
 Edge cases: null text and text without a letter give ``und`` with score 0, as does a
 table without any labelled row; ties go to the first language by name; repeated rows
@@ -20,6 +21,7 @@ are predicted one by one; an empty table gives an empty result.
 import math
 import re
 import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +33,6 @@ from pyspark.sql import functions as F
 from pageloom.llm.shared import per_batch
 
 SAMPLE_DOCS = 40
-SAMPLE_CHARS = 1_500
 SAMPLE_TOTAL = 200_000
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -39,6 +40,8 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _MEMO = 400_000
 _STEP = 20_000
 _ROWS = 500
+# Letters of a sample word; longer ones are several, so no word takes the place of all others.
+_WORD_CHARS = 64
 
 
 def letter_words(text: str) -> list[str]:
@@ -182,31 +185,46 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
 
 
-def _equal_cut(texts: list[str], total: int) -> list[str]:
-    """The texts that are not empty, none longer than an equal share; what short ones leave goes to the others."""
-    texts = [text for text in texts if text]
-    left, lengths = total - max(0, len(texts) - 1), [0] * len(texts)
-    for done, at in enumerate(sorted(range(len(texts)), key=lambda i: len(texts[i]))):
-        lengths[at] = max(0, min(len(texts[at]), left // (len(texts) - done)))
-        left -= lengths[at]
-    return [text[:length] for text, length in zip(texts, lengths) if length]
+def _ranked_words(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Every distinct word of a text with its rank by frequency."""
+    for row, text in enumerate(batch.column("text")):
+        words = Counter(
+            word[at:at + _WORD_CHARS] for word in letter_words(text.as_py()) for at in range(0, len(word), _WORD_CHARS))
+        found = sorted(words, key=lambda word: (-words[word], word))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("lang").take(pa.array(np.full(len(found), row))), pa.array(found, pa.string()),
+             pa.array(np.arange(len(found), dtype=np.int64))],
+            ["lang", "word", "nth"],
+        )
 
 
 def samples(docs: DataFrame) -> dict[str, str]:
-    """Language -> its training text, of bounded length."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("piece"), "piece")
-    rows = (
-        docs.filter(~held_out() & F.col("lang").isNotNull() & (F.col("text") != ""))
-        .select("lang", F.left("text", F.lit(SAMPLE_CHARS)).alias("piece")).distinct()
-        .withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= SAMPLE_DOCS)
-        .groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("nth", "piece"))).alias("pieces"))
+    """Language -> its training words, of bounded length."""
+    labelled = docs.filter(~held_out() & F.col("lang").isNotNull() & (F.col("text") != "")).select(
+        "lang", F.xxhash64("text").alias("h"), "text")
+    # rows of 20 bytes or so, SAMPLE_DOCS per language; only their texts are read, each once
+    chosen = (
+        labelled.select("lang", "h").distinct()
+        .withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+        .filter(F.col("nth") <= SAMPLE_DOCS).select("lang", "h")
+    )
+    texts = labelled.join(F.broadcast(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "text")
+    words = (
+        texts.mapInArrow(per_batch(_ranked_words), "lang string, word string, nth long")
+        .groupBy("lang", "word").agg(F.min("nth").alias("nth"))
+    )
+    languages = words.select("lang").distinct().count()
+    by_rank = Window.partitionBy("lang").orderBy("nth", F.xxhash64("word"), "word").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    kept = (
+        words.withColumn("reach", F.sum(F.length("word") + 1).over(by_rank))
+        .filter(F.col("reach") <= SAMPLE_TOTAL // max(1, languages) - 1)
+        .groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("reach", "word"))).alias("words"))
     )
-    found = {row["lang"]: [piece["piece"] for piece in row["pieces"]] for row in rows.collect()}
-    share = SAMPLE_TOTAL // max(1, len(found))
-    texts = {}
-    for language, pieces in sorted(found.items()):
-        texts[language] = f" {' '.join(_equal_cut([' '.join(letter_words(piece)) for piece in pieces], share - 2))} "
-    return {language: text for language, text in texts.items() if text.strip()}
+    return {
+        row["lang"]: f" {' '.join(word['word'] for word in row['words'])} "
+        for row in kept.orderBy("lang").collect()
+    }
 
 
 def identify(docs: DataFrame) -> DataFrame:

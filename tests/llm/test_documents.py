@@ -7,6 +7,7 @@ import math
 import random
 import re
 import time
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -295,7 +296,7 @@ def test_language_parser_against_plain_search():
 def test_language_sample_has_a_share_of_every_distinct_piece(spark, monkeypatch):
     monkeypatch.setattr(language, "SAMPLE_TOTAL", 2 * 1000)
     starts = "abcdefghijklmnopqrst"
-    texts = [start * 4 + " " + prose(50 + i, 200) for i, start in enumerate(starts)]
+    texts = [prose(50 + i, 200) + f" {start * 4}" * 40 for i, start in enumerate(starts)]
     rows = [(4 * i, t, lang) for lang in ("en", "xx") for i, t in enumerate(texts)]
     rows += [(4 * i + 1, texts[3], "en") for i in range(300)]  # a group of copies
     df = spark.createDataFrame([(i, t, lang) for i, t, lang in rows], "doc_id long, text string, lang string")
@@ -303,7 +304,15 @@ def test_language_sample_has_a_share_of_every_distinct_piece(spark, monkeypatch)
     kept = {lang: {r.text for r in df.filter(F.col("lang") == lang).collect()} for lang in ("en", "xx")}
     for lang, text in language.samples(df).items():
         assert len(text) <= 1000 and len(kept[lang]) > 12
-        assert all(text.count(f" {t[:4]} ") == 1 for t in kept[lang])
+        assert all(text.count(f" {t[-4:]} ") == 1 for t in kept[lang])
+
+
+def test_language_sample_of_long_words_and_long_texts(spark):
+    rows = [(1, "文" * 100_000, "zh"), (3, "ab " * 100_000 + "late", "en"), (4, "!" * 50, "xx")]
+    found = language.samples(spark.createDataFrame(rows, "doc_id long, text string, lang string").filter(~language.held_out()))
+    assert set(found) <= {"zh", "en"} and all(len(text) < 200 for text in found.values()) and len(found) == sum(
+        zlib.crc32(str(i).encode()) % 4 != 2 for i, _, _ in rows[:2])
+    assert "en" not in found or found["en"] == " ab late "
 
 
 def test_language_without_labels(spark):
