@@ -9,9 +9,10 @@ of work instead of once per occurrence.
 
 The automata are fitted to a bounded sample of rows: per language ``SAMPLE_DOCS`` labelled
 documents with distinct texts, in the order of a hash of these.  As pieces do not cross
-words, a sample is a list of distinct words: those of the whole texts, the most
-frequent words of every document first, then the second ones and so on, until the languages
-have ``SAMPLE_TOTAL`` characters together.  Whole texts are predicted.
+words, a sample is a list of distinct words: those of the whole texts, by the sum over
+the documents of one divided by the word's rank there, until the languages have
+``SAMPLE_TOTAL`` characters together.  So no long document outweighs the others.  Whole
+texts are predicted.
 
 Edge cases: null text and text without a letter give ``und`` with score 0, as does a
 table without any labelled row; ties go to the first language by name; repeated rows
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 
 from pageloom.llm.shared import per_batch
 
-SAMPLE_DOCS = 40
-SAMPLE_TOTAL = 200_000
+SAMPLE_DOCS = 400
+SAMPLE_TOTAL = 60_000
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 # Words whose costs a worker keeps, words parsed at a time, rows looked at at a time.
@@ -211,10 +212,10 @@ def samples(docs: DataFrame) -> dict[str, str]:
     texts = labelled.join(F.broadcast(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "text")
     words = (
         texts.mapInArrow(per_batch(_ranked_words), "lang string, word string, nth long")
-        .groupBy("lang", "word").agg(F.min("nth").alias("nth"))
+        .groupBy("lang", "word").agg(F.sum(F.floor(F.lit(1_000_000) / (F.col("nth") + 1))).alias("worth"))
     )
     languages = words.select("lang").distinct().count()
-    by_rank = Window.partitionBy("lang").orderBy("nth", F.xxhash64("word"), "word").rowsBetween(
+    by_rank = Window.partitionBy("lang").orderBy(F.desc("worth"), F.xxhash64("word"), "word").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     kept = (
         words.withColumn("reach", F.sum(F.length("word") + 1).over(by_rank))
