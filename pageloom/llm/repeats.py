@@ -15,7 +15,14 @@ has one member left leaves the sort:
 
 Equal groups at full depth are exactly the repeated strings.  Groups are made by
 two independent 64-bit hashes, a rolling polynomial of the anchor and XXH3 of the span
-or string, and counted by Spark window functions, which spill.  Texts are read again for step 3 and for the removal; only
+or string.
+
+Before each pass its digits are counted alone, which combines before the shuffle; a
+bitmap of bounded size then keeps the rows of single digits inside their tasks.  Groups
+of anchors are numbered by Spark window functions, which spill.  An anchor with more than
+1/PARTS of the rows is dealt to several windows by salts; spans are then counted over the
+salts, from one row per span and salt.  Full-depth strings are joined with their counts, hot
+ones salted likewise.  Texts are read again for step 3 and for the removal; only
 documents that a bitmap of fixed size names are shuffled, and the join after it is exact.
 
 Edge cases: null and empty texts have no bytes; texts shorter than LENGTH keep all;
@@ -35,6 +42,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.llm.shared import binary_column, per_batch, sha256_hex, stage, text_hash
+from pageloom.operators.joins import PARTS, salted_join
 
 LENGTH = 200
 GRAM = 73
@@ -43,6 +51,10 @@ _STEPS = LENGTH - GRAM + 1  # pieces per string; a power of two for the sliding
 # Bits of the bitmap that names documents: at most _BITS / 64 rows are broadcast.
 _BITS = 1 << 22
 _PLACE = np.uint64((1 << 20) - 1)
+# Bits of a bitmap of repeated hashes: 16 to 32 a hash, 32 MB at most.  Beyond that more
+# single rows pass, which the exact grouping after it drops.
+_BITS_PER_HASH = 16
+_LEAST_MARKS, _MOST_MARKS = 1 << 16, 1 << 28
 
 
 class _Rolling:
@@ -111,15 +123,56 @@ def _pieces(texts: Iterator[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
         yield held
 
 
-def _run_batch():
+def _marks(hashes: DataFrame, name: str) -> np.ndarray:
+    """Bitmap of the hashes in column ``name``: at most _MOST_MARKS / 64 rows reach the driver."""
+    wanted = _BITS_PER_HASH * max(hashes.count(), 1)
+    bits = min(_MOST_MARKS, max(_LEAST_MARKS, 1 << (wanted - 1).bit_length()))
+    words = (
+        hashes.groupBy(F.shiftright(F.col(name).bitwiseAND(F.lit(bits - 1)), 6).alias("word"))
+        .agg(F.bit_or(F.expr(f"shiftleft(1L, cast({name} & 63 as int))")).alias("bits"))
+    ).toArrow()
+    marks = np.zeros(bits // 64, np.uint64)
+    marks[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return marks
+
+
+def _marked(marks: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each hash may be in the bitmap."""
+    place = hashes & np.uint64(marks.size * 64 - 1)
+    return (marks[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
+    return (text.as_py() or b"" for text in binary_column(batch, "text"))
+
+
+def _gram_batch():
+    """Anchors of all runs, with counts."""
     kept: list[_Rolling] = []
 
     def build(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         if not kept:
             kept.append(_Rolling())
-        texts = (text.as_py() or b"" for text in binary_column(batch, "text"))
-        for held in _pieces(texts):
+        for held in _pieces(_texts(batch)):
+            grams, n = np.unique(runs([piece for _, _, piece in held], kept[0])[3], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
+
+    return per_batch(build)
+
+
+def _run_batch(marks):
+    """Runs whose anchor may be repeated, with the hash of their span."""
+    kept: list[_Rolling] = []
+
+    def build(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if not kept:
+            kept.append(_Rolling())
+        for held in _pieces(_texts(batch)):
             owner, first, last, grams = runs([piece for _, _, piece in held], kept[0])
+            maybe = _marked(marks.value, grams)
+            if not maybe.any():
+                continue
+            owner, first, last, grams = owner[maybe], first[maybe], last[maybe], grams[maybe]
             row = np.array([row for row, _, _ in held])[owner]
             offset = np.array([offset for _, offset, _ in held])[owner]
             views = [memoryview(piece) for _, _, piece in held]
@@ -127,7 +180,9 @@ def _run_batch():
                 (xxhash.xxh3_64_intdigest(views[k][a:b + LENGTH])
                  for k, a, b in zip(owner.tolist(), first.tolist(), last.tolist())), np.uint64, first.size)
             # equal runs in a row (a line or word again and again) are one row that counts them
-            fresh = np.flatnonzero(np.r_[True, (grams[1:] != grams[:-1]) | (spans[1:] != spans[:-1]) | (owner[1:] != owner[:-1])])
+            fresh = np.flatnonzero(np.r_[
+                True, (grams[1:] != grams[:-1]) | (spans[1:] != spans[:-1]) | (owner[1:] != owner[:-1])
+                | (first[1:] != last[:-1] + 1)])
             final = np.r_[fresh[1:] - 1, first.size - 1]
             index = pa.array(row[fresh])
             yield pa.RecordBatch.from_arrays(
@@ -141,22 +196,40 @@ def _run_batch():
     return per_batch(build)
 
 
+def _strings(text: bytes, found: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Place, anchor, ``shared`` and full-depth hash of the strings of the runs in ``found``."""
+    data = memoryview(text)
+    at, more, grams, shared = (column.to_numpy(zero_copy_only=False) for column in found.flatten())
+    counts = more + 1
+    place = np.repeat(at - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+    hashes = np.fromiter(
+        (xxhash.xxh3_64_intdigest(data[p:p + LENGTH]) for p in place.tolist()), np.uint64, place.size)
+    return place, np.repeat(grams, counts), np.repeat(shared, counts), hashes
+
+
 def _string_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Full-depth hashes of the strings of the runs in ``runs`` (a list per document)."""
-    for row, text in enumerate(binary_column(batch, "text")):
-        data = memoryview(text.as_py() or b"")
-        found = batch.column("runs")[row].values.flatten()
-        at, more, grams, shared = (column.to_numpy(zero_copy_only=False) for column in found)
-        counts = more + 1
-        place = np.repeat(at - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-        hashes = np.fromiter(
-            (xxhash.xxh3_64_intdigest(data[p:p + LENGTH]) for p in place.tolist()), np.uint64, place.size)
-        index = pa.array(np.full(place.size, row))
+    """The strings of the runs in ``runs`` (a list per document), to be counted."""
+    for row, text in enumerate(_texts(batch)):
+        _, grams, shared, hashes = _strings(text, batch.column("runs")[row].values)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(index), batch.column("h").take(index), pa.array(place),
-             pa.array(np.repeat(grams, counts)), pa.array(np.repeat(shared, counts)), pa.array(hashes.view(np.int64))],
-            ["doc_id", "h", "at", "gram", "shared", "string"],
-        )
+            [pa.array(grams), pa.array(hashes.view(np.int64)), pa.array(shared)], ["gram", "string", "shared"])
+
+
+def _place_batch(marks):
+    """Places of the strings that may be repeated and do not stand in repeated spans."""
+
+    def build(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for row, text in enumerate(_texts(batch)):
+            place, grams, shared, hashes = _strings(text, batch.column("runs")[row].values)
+            maybe = np.flatnonzero(_marked(marks.value, hashes) & ~shared.astype(bool))
+            index = pa.array(np.full(maybe.size, row))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(index), batch.column("h").take(index), pa.array(place[maybe]),
+                 pa.array(grams[maybe]), pa.array(hashes[maybe].view(np.int64))],
+                ["doc_id", "h", "at", "gram", "string"],
+            )
+
+    return per_batch(build)
 
 
 def _named_by(rows: DataFrame) -> DataFrame:
@@ -191,40 +264,73 @@ def _on_document(left: DataFrame, right: DataFrame) -> Column:
     return left.doc_id.eqNullSafe(right.doc_id) & (left.h == right.h)
 
 
-def repeated_intervals(docs: DataFrame) -> DataFrame:
-    """Per document (``doc_id``, text hash ``h``) the byte intervals that are repeated.
+def _grouped_runs(rows: DataFrame, parts: int) -> DataFrame:
+    """Runs whose anchor stands at two places or more.
 
-    ``intervals`` is an array of (start, end); they may overlap.
+    ``n_gram`` is exact.  ``nth`` and ``n_span`` number and count the runs of a span; where
+    ``hot`` is true they do so among the runs with the same ``salt`` only.
     """
-    rows = _keyed(docs)
+    grams = stage(
+        rows.mapInArrow(_gram_batch(), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1"),
+        "grams")
+    part = max((grams.agg(F.sum("n")).first()[0] or 0) / parts, 1.0)
+    hot = F.broadcast(grams.filter(F.col("n") > part).select(
+        "gram", F.col("n").alias("n_hot"), F.ceil(F.col("n") / F.lit(part)).cast("int").alias("salts")))
+    marks = rows.sparkSession.sparkContext.broadcast(_marks(grams, "gram"))
     found = rows.mapInArrow(
-        _run_batch(), "doc_id long, h long, at long, more int, all_more int, times int, gram long, span long")
-    by_gram = Window.partitionBy("gram")
-    by_span = Window.partitionBy("gram", "span")
-    grouped = stage(
-        found.withColumn("n_gram", F.sum("times").over(by_gram)).filter("n_gram > 1")
+        _run_batch(marks), "doc_id long, h long, at long, more int, all_more int, times int, gram long, span long"
+    ).join(hot, "gram", "left").withColumn(
+        "salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id", "h", "at"), "salts")).cast("int"))
+    by_gram = Window.partitionBy("gram", "salt")
+    by_span = Window.partitionBy("gram", "salt", "span")
+    return stage(
+        found.withColumn("n_gram", F.coalesce("n_hot", F.sum("times").over(by_gram))).filter("n_gram > 1")
         .withColumn("nth", F.row_number().over(by_span.orderBy("doc_id", "h", "at")))
-        .withColumn("n_span", F.sum("times").over(by_span)),
+        .withColumn("n_span", F.sum("times").over(by_span))
+        .withColumn("hot", F.col("n_hot").isNotNull()).drop("n_hot", "salts"),
         "runs",
     )
-    whole = grouped.filter("n_span > 1").select(
+
+
+def repeated_intervals(docs: DataFrame, parts: int = PARTS) -> DataFrame:
+    """Per document (``doc_id``, text hash ``h``) the byte intervals that are repeated.
+
+    ``intervals`` is an array of (start, end); they may overlap.  ``parts`` decides from which
+    share on an anchor or string is salted; results do not depend on it.
+    """
+    rows = _keyed(docs)
+    grouped = _grouped_runs(rows, parts)
+    # a hot span has one row per salt here, however many runs it has
+    spans = stage(
+        grouped.filter("hot and nth = 1").groupBy("gram", "span").agg(
+            F.max("n_gram").alias("n_gram"), F.sum("n_span").alias("n_span"),
+            F.min(F.struct("doc_id", "h", "at", "more")).alias("run")),
+        "hot-spans",
+    )
+    # alone with its salt, a run may still meet its like under another; that is one run a salt
+    met = grouped.filter("hot and n_span = 1").join(spans.filter("n_span > 1"), ["gram", "span"], "left_semi")
+    whole = grouped.filter("n_span > 1").select(*met.columns).union(met).select(
         "doc_id", "h", F.col("at").alias("start"), (F.col("at") + F.col("all_more") + LENGTH).alias("end"))
     # one run per span stands for all of them; `shared` says that there are more
+    shared = (F.col("n_span") > 1).alias("shared")
     mixed = stage(
-        grouped.filter("n_gram > n_span and nth = 1")
-        .groupBy("doc_id", "h").agg(F.collect_list(F.struct(
-            "at", "more", "gram", (F.col("n_span") > 1).alias("shared"))).alias("runs")),
+        grouped.filter("not hot and n_gram > n_span and nth = 1").select("doc_id", "h", "at", "more", "gram", shared)
+        .union(spans.filter("n_gram > n_span").select("run.*", "gram", shared))
+        .groupBy("doc_id", "h").agg(F.collect_list(F.struct("at", "more", "gram", "shared")).alias("runs")),
         "mixed",
     )
     texts = _split(rows, _named_by(mixed)).filter("named").dropDuplicates(["doc_id", "h"])
     texts = texts.join(mixed, _on_document(texts, mixed)).select(texts.doc_id, texts.h, "text", "runs")
-    strings = texts.mapInArrow(
-        per_batch(_string_batch), "doc_id long, h long, at long, gram long, shared boolean, string long")
-    single = (
-        strings.withColumn("n", F.count("*").over(Window.partitionBy("gram", "string")))
-        .filter("n > 1 and not shared")
-        .select("doc_id", "h", F.col("at").alias("start"), (F.col("at") + LENGTH).alias("end"))
+    strings = stage(
+        texts.select("text", "runs").mapInArrow(per_batch(_string_batch), "gram long, string long, shared boolean")
+        .groupBy("gram", "string").agg(F.count("*").alias("n"), F.min("shared").alias("all_shared"))
+        .filter("n > 1 and not all_shared").select("gram", "string", "n"),
+        "strings",
     )
+    marks = rows.sparkSession.sparkContext.broadcast(_marks(strings, "string"))
+    places = texts.mapInArrow(_place_batch(marks), "doc_id long, h long, at long, gram long, string long")
+    single = salted_join(places, strings, ["gram", "string"], ["doc_id", "h", "at"], heat="n", parts=parts).select(
+        "doc_id", "h", F.col("at").alias("start"), (F.col("at") + LENGTH).alias("end"))
     return whole.union(single).groupBy("doc_id", "h").agg(
         F.collect_list(F.struct("start", "end")).alias("intervals"))
 
@@ -268,12 +374,12 @@ def _remove_batch(with_text: bool):
     return per_batch(build)
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, with_text: bool = False, parts: int = PARTS) -> DataFrame:
     """Per row ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``.
 
     With ``with_text`` also ``kept_text``, without what is left of cut characters.
     """
-    intervals = stage(repeated_intervals(docs), "intervals")
+    intervals = stage(repeated_intervals(docs, parts), "intervals")
     rows = _split(_keyed(docs), _named_by(intervals))
     shape = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     shape += ", kept_text string" if with_text else ""

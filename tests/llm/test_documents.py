@@ -320,10 +320,10 @@ def test_language_without_labels(spark):
     assert [(r.lang_pred, r.score) for r in language.identify(d).collect()] == [("und", 0.0)]
 
 
-def test_repeats(spark, sf_dir):
-    starts = Counter(t.encode()[p:p + 200] for _, t in ROWS for p in range(len((t or "").encode()) - 199) if t)
+def brute_repeats(rows):
+    starts = Counter(t.encode()[p:p + 200] for _, t in rows for p in range(len((t or "").encode()) - 199) if t)
     want = []
-    for i, t in ROWS:
+    for i, t in rows:
         data = (t or "").encode()
         gone = bytearray(len(data))
         for p in range(len(data) - 199):
@@ -332,7 +332,24 @@ def test_repeats(spark, sf_dir):
         left = bytes(b for b, g in zip(data, gone) if not g)
         spans = sum(1 for k in range(len(gone)) if gone[k] and not (k and gone[k - 1]))
         want.append((i, len(data), sum(gone), spans, hashlib.sha256(left).hexdigest()))
-    assert multiset(catalog.op7_repeats(spark, sf_dir).collect()) == multiset(want)
+    return multiset(want)
+
+
+def test_repeats(spark, sf_dir):
+    want = brute_repeats(ROWS)
+    assert multiset(catalog.op7_repeats(spark, sf_dir).collect()) == want
+    # with one part nothing is hot, with so many all repeated digits are salted
+    for parts in (1, 40, 1_000_000):
+        assert multiset(repeats.remove_repeats(documents(spark), parts=parts).collect()) == want
+
+
+def test_repeats_of_a_passage_in_most_texts(spark):
+    passage = prose(50, 60)
+    rows = [(i, f"{prose(100 + i, 40)} {passage} {prose(900 + i, 40)}") for i in range(120)]
+    rows += [(i, prose(2000 + i, 90)) for i in range(200, 230)]
+    want = brute_repeats(rows)
+    for parts in (1, 50, repeats.PARTS):
+        assert multiset(repeats.remove_repeats(documents(spark, rows), parts=parts).collect()) == want
 
 
 def test_repeats_across_blocks(spark):
