@@ -3,7 +3,7 @@
 Payload digests are computed where the pages are; only headers (page_id, digest,
 size) are shuffled, by digest, to find for every digest the page that keeps the payload.
 Its record is a response; the others become revisit records that refer to it and carry no
-payload.  The archives are written with fresh headers, a file per task and
+payload.  The archives are written with fresh headers, dated by the write, a file per task and
 ``RECORDS_PER_FILE`` records at most, and read back by the lengths in the headers.
 
 Edge cases: null html is an empty payload; the smallest page_id wins, a null one comes
@@ -70,6 +70,11 @@ def revisits(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     )
 
 
+def _now() -> Column:
+    """The time of writing in UTC, the same for all records of a write."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def _clean(value: Column) -> Column:
     """A header value keeps to its line."""
     return F.regexp_replace(F.coalesce(value, F.lit("")), r"[\r\n]", " ")
@@ -88,7 +93,7 @@ def records(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     header = F.concat(
         F.lit(f"{VERSION}{END}WARC-Type: "), F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")),
         F.lit(f"{END}WARC-Record-ID: <urn:page:"), shown,
-        F.lit(f">{END}WARC-Target-URI: "), _clean(F.col("url")),
+        F.lit(f">{END}WARC-Date: "), _now(), F.lit(f"{END}WARC-Target-URI: "), _clean(F.col("url")),
         F.lit(f"{END}WARC-Payload-Digest: sha1:"), F.col("payload_digest"),
         F.lit(f"{END}X-Payload-Length: "), F.col("payload_bytes").cast("string"),
         F.when(revisit, F.concat(

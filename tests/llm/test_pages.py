@@ -4,6 +4,7 @@ import base64
 import hashlib
 import html.parser
 import pathlib
+import re
 import time
 
 import pytest
@@ -204,6 +205,7 @@ def test_revisits_carry_no_payload(spark):
                                "page_id long, url string, html string")
     texts = sorted(r.record for r in warc.records(df, min_bytes=100).collect())
     assert sum("payload payload" in t for t in texts) == 1 and sum("WARC-Type: revisit" in t for t in texts) == 1
+    assert len({re.search(r"\r\nWARC-Date: (\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ)\r\n", t)[1] for t in texts}) == 1
     assert sum(t.endswith("\r\n\r\ntiny") for t in texts) == 2
 
 
