@@ -14,7 +14,7 @@ from pageloom.functions import words
 from pageloom.functions.expr import explode_structs, let
 from pageloom.functions.entities import ENTITY_LIST, entity_list, kind_of
 from pageloom.operators import joins
-from pageloom.operators.joins import measured_bytes, salted_join
+from pageloom.operators.joins import keep_wanted, key_bitmaps, measured_bytes, on_demand_join
 from pageloom.operators.text import with_every_key
 from pageloom.plans.staging import stage
 
@@ -189,8 +189,9 @@ def dictionary_spans(
 
     Entries are matched as whole runs of up to ``max_words`` words, case-sensitive.  A
     dictionary whose measured size allows it is looked up in each text's row, so only
-    found entries leave the row.  Beyond that, runs, each once per text, are joined with
-    the dictionary on salted keys.
+    found entries leave the row.  Beyond that, a bitmap of the dictionary keeps most other
+    runs, each once per text, out of the shuffle; the rest is joined with the dictionary, an
+    entry that many texts hold being copied as often as its share asks for.
     """
     text = F.col(text) if isinstance(text, str) else text
     entries = dictionary_entries(dictionary)
@@ -199,7 +200,9 @@ def dictionary_spans(
         hits = explode_structs(df, keys, found, "seq")
     else:
         grams = explode_structs(df, keys, let(words.word_list(text), _grams(max_words)), "seq")
-        hits = salted_join(grams, entries, ["text"], spread_by=[*keys, "seq"])
+        entries = stage(entries, "entries")
+        wanted = stage(keep_wanted(grams, "text", *key_bitmaps(entries, "text")), "wanted-runs")
+        hits = on_demand_join(wanted, entries, ["text"], spread_by=[*keys, "seq"])
     return hits.groupBy(*keys, "text", "label").agg(F.min("seq").alias("seq"))
 
 

@@ -63,12 +63,12 @@ def salted_join(
 
 
 def lookup_join(
-    left: DataFrame, right: DataFrame, on: list[str], spread_by: list[str], how: str = "inner",
+    left: DataFrame, right: DataFrame, on: list[str], spread_by: list[str],
 ) -> DataFrame:
-    """Broadcast ``right`` when its measured size allows it, else a salted join."""
+    """Inner join: broadcast ``right`` when its measured size allows it, else salts by share."""
     if measured_bytes(right) <= BROADCAST_LIMIT_BYTES:
-        return left.join(F.broadcast(right), on, how)
-    return salted_join(left, right, on, spread_by, how)
+        return left.join(F.broadcast(right), on)
+    return on_demand_join(stage(left, "lookups"), stage(right, "lookup-table"), on, spread_by)
 
 
 def on_demand_join(

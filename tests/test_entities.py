@@ -60,6 +60,22 @@ def test_dictionary_spans(spark, monkeypatch):
     assert run() == want
 
 
+def test_dictionaries_beyond_a_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame(
+        [(i, f"common name w{i} pair{i % 7} tail") for i in range(200)] + [(200, None), (201, ""), (None, "common name")],
+        "id int, t string")
+    entries = spark.createDataFrame(
+        [("common name", "person"), ("pair3 tail", "event"), ("w5", "law"), ("absent", "law"), (None, "law")], "text string, label string")
+
+    def run(dictionary):
+        return sorted(map(tuple, entities.dictionary_spans(docs, ["id"], "t", dictionary).collect()), key=repr)
+
+    want, none = run(entries), run(entries.limit(0))
+    assert len(want) == 201 + sum(i % 7 == 3 for i in range(200)) + 1 and none == []
+    monkeypatch.setattr("pageloom.operators.joins.BROADCAST_LIMIT_BYTES", 0)
+    assert run(entries) == want and run(entries.limit(0)) == none
+
+
 def test_cap_of_span_rows(spark):
     spans = spark.createDataFrame(
         [(1, i, f"n{i % 30:02d}", "person" if i < 30 else "event") for i in range(60)],

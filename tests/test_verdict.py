@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pageloom.operators import entities, scoring, text
+from pageloom.operators import entities, joins, scoring, text
 from pageloom.operators.articles import latest_per_url
 from pageloom.operators.joins import salted_join
 from pageloom.sources.html_files import file_url
@@ -83,3 +83,16 @@ def test_recogniser_that_cannot_be_loaded_finds_nothing(spark):
 
     df = spark.createDataFrame([("Ada",)], "body string")
     assert [r.named_entities for r in entities.detect_entities(df, "body", fail).collect()] == [[]]
+
+
+def test_lookup_beyond_a_broadcast(spark, monkeypatch):
+    left = spark.range(600).selectExpr("id", "if(id % 3 = 0, 'hot', cast(id % 50 as string)) AS key")
+    right = spark.createDataFrame([("hot", 1), ("7", 2), ("none", 3), (None, 4)], "key string, value int")
+
+    def run():
+        return sorted(map(tuple, joins.lookup_join(left, right, ["key"], ["id"]).select("id", "value").collect()))
+
+    want = run()
+    assert sum(value == 1 for _, value in want) == 200
+    monkeypatch.setattr(joins, "BROADCAST_LIMIT_BYTES", -1)
+    assert run() == want
