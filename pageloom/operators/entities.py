@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from pageloom import vocab
 from pageloom.functions import words
+from pageloom.functions.batches import parts
 from pageloom.functions.expr import explode_structs, let
 from pageloom.functions.entities import ENTITY_LIST, entity_list, kind_of
 from pageloom.operators import joins
@@ -139,7 +140,8 @@ def dictionary_detector(entries: DataFrame, max_words: int = 3) -> Callable[[Col
 
     For each entry found as a run of up to ``max_words`` words its first place, in the order
     of the text.  The dictionary goes to every worker as a hash table, so measure it first
-    (``fits_broadcast``).  Words that begin no entry are settled for a whole batch at once.
+    (``fits_broadcast``).  Words that begin no entry are settled for a whole part of a batch
+    at once.
     """
     listed = [(row["text"], row["label"]) for row in entries.collect()]
     kept = SparkContext.getOrCreate().broadcast({"entries": listed})
@@ -147,7 +149,7 @@ def dictionary_detector(entries: DataFrame, max_words: int = 3) -> Callable[[Col
     def table(held: dict) -> tuple[pa.Array, dict[str, list[int]], dict[str, str]]:
         if "table" not in held:
             labels, sizes = {}, {}
-            for text, label in held["entries"]:
+            for text, label in held.pop("entries"):
                 size = 0 if text is None else text.count(" ") + 1
                 if 0 < size <= max_words:
                     labels[text] = label
@@ -159,24 +161,27 @@ def dictionary_detector(entries: DataFrame, max_words: int = 3) -> Callable[[Col
         kind = pa.list_(pa.struct([("seq", pa.int32()), ("text", pa.string()), ("label", pa.string())]))
         beginnings, sizes, labels = table(kept.value)
         for batch in batches:
-            words_, ends = batch.values, batch.offsets.to_pylist()
-            begins = pc.is_in(words_, beginnings).to_numpy(zero_copy_only=False).nonzero()[0].tolist()
-            flat = words_.to_pylist() if begins else []
-            rows, at = [], 0
-            for row in range(len(batch)):
-                start, stop, found = ends[row], ends[row + 1], {}
-                while at < len(begins) and begins[at] < start:
-                    at += 1
-                while at < len(begins) and begins[at] < stop:
-                    i = begins[at]
-                    for size in sizes[flat[i]]:
-                        run = flat[i] if size == 1 else " ".join(flat[i:i + size]) if i + size <= stop else None
-                        if run in labels and run not in found:
-                            found[run] = (i - start) * max_words + size - 1
-                    at += 1
-                rows.append(None if not batch[row].is_valid else [
-                    {"seq": seq, "text": text, "label": labels[text]} for text, seq in found.items()])
-            yield pa.array(rows, kind)
+            for part in parts(batch):
+                ends = part.offsets.to_pylist()
+                first = ends[0]
+                words_ = part.values.slice(first, ends[-1] - first)
+                begins = pc.is_in(words_, beginnings).to_numpy(zero_copy_only=False).nonzero()[0].tolist()
+                flat = words_.to_pylist() if begins else []
+                rows, at = [], 0
+                for row in range(len(part)):
+                    start, stop, found = ends[row] - first, ends[row + 1] - first, {}
+                    while at < len(begins) and begins[at] < start:
+                        at += 1
+                    while at < len(begins) and begins[at] < stop:
+                        i = begins[at]
+                        for size in sizes[flat[i]]:
+                            run = flat[i] if size == 1 else " ".join(flat[i:i + size]) if i + size <= stop else None
+                            if run in labels and run not in found:
+                                found[run] = (i - start) * max_words + size - 1
+                        at += 1
+                    rows.append(None if not part[row].is_valid else [
+                        {"seq": seq, "text": text, "label": labels[text]} for text, seq in found.items()])
+                yield pa.array(rows, kind)
 
     detect.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(detect, ENTRY_SPANS)

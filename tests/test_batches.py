@@ -5,7 +5,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from pageloom.functions import batches, markup
-from pageloom.operators import dom
+from pageloom.operators import dom, entities
+
+
+def detector_of(monkeypatch, build):
+    """The Python function under a column function, to be run here."""
+    found = []
+    monkeypatch.setattr(entities.F, "arrow_udf", lambda f, kind: found.append(f))
+    build()
+    return found[0]
 
 
 def test_parts_are_consecutive_and_bounded():
@@ -26,6 +34,17 @@ def test_pages_are_parsed_part_by_part():
     assert pa.concat_arrays([first, *found]).equals(markup._parse_batch(pages))
 
 
+def test_dictionary_is_looked_up_part_by_part(spark, monkeypatch):
+    entries = spark.createDataFrame([("a b", "person"), ("c", "law")], "text string, label string")
+    detect = detector_of(monkeypatch, lambda: entities.dictionary_detector(entries, 2))
+    rows = [["x"] * 20_000 + ["a", "b", "c"], None, ["b", "a"], ["c"], []] * 10
+    found = list(detect(iter([pa.array(rows).slice(1), pa.array([["a"], ["b"]])])))
+    assert len(found) > 3
+    own = [{"seq": 40_001, "text": "a b", "label": "person"}, {"seq": 40_004, "text": "c", "label": "law"}]
+    want = [own, None, [], [{"seq": 0, "text": "c", "label": "law"}], []] * 10
+    assert pa.concat_arrays(found).to_pylist() == want[1:] + [[], []]
+
+
 @pytest.mark.parametrize("rows", [dom.dom_nodes, lambda pages, keys: dom.dom_select_each(
     dom.parse_pages(pages, keys), keys, {"p": lambda n: n["tag"] == "p"}), lambda pages, keys: dom.dom_select(
     dom.parse_pages(pages, keys), keys, lambda n: n["tag"] == "p")])
