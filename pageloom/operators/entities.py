@@ -65,28 +65,30 @@ def span_detector(
     text it fails on gets no spans, as does a null text.  ``status`` says which.
     """
     labels = list(labels)
+    span = pa.struct([("text", pa.string()), ("label", pa.string())])
+    kind = pa.struct([("spans", pa.list_(span)), ("status", pa.string())])
     # a worker reads a broadcast value once and keeps it, with what is added to it
     kept = SparkContext.getOrCreate().broadcast({"load": cloudpickle.dumps(load)})
 
+    def found_in(recogniser: Recogniser | None, texts: list[str | None]) -> pa.Array:
+        rows = [([], NO_TEXT if text is None else NOT_LOADED) for text in texts]
+        if recogniser is not None:
+            given = [i for i, text in enumerate(texts) if text is not None]
+            for i, found in zip(given, _recognise_all(recogniser, [texts[i] for i in given], labels)):
+                rows[i] = found
+        return pa.array(
+            [{"spans": [{"text": t, "label": label} for t, label in spans], "status": status} for spans, status in rows], kind)
+
     def detect(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        span = pa.struct([("text", pa.string()), ("label", pa.string())])
-        kind = pa.struct([("spans", pa.list_(span)), ("status", pa.string())])
         held = kept.value
         if "recogniser" not in held:
             try:
                 held["recogniser"] = cloudpickle.loads(held["load"])()
             except Exception:  # articles without entities are better than none
                 held["recogniser"] = None
-        recogniser = held["recogniser"]
         for batch in batches:
-            texts = batch.to_pylist()
-            rows = [([], NO_TEXT if text is None else NOT_LOADED) for text in texts]
-            if recogniser is not None:
-                given = [i for i, text in enumerate(texts) if text is not None]
-                for i, found in zip(given, _recognise_all(recogniser, [texts[i] for i in given], labels)):
-                    rows[i] = found
-            yield pa.array(
-                [{"spans": [{"text": t, "label": label} for t, label in spans], "status": status} for spans, status in rows], kind)
+            for part in parts(batch):
+                yield found_in(held["recogniser"], part.to_pylist())
 
     detect.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(detect, FOUND)

@@ -34,6 +34,15 @@ def test_pages_are_parsed_part_by_part():
     assert pa.concat_arrays([first, *found]).equals(markup._parse_batch(pages))
 
 
+def test_recogniser_gets_part_by_part(spark, monkeypatch):
+    detect = detector_of(monkeypatch, lambda: entities.span_detector(lambda: lambda text, labels: [(text[:2], labels[0])], ["person"]))
+    texts = pa.array([f"{i:02d}" + "x" * 200_000 for i in range(20)] + [None])
+    found = list(detect(iter([texts])))
+    assert len(found) > 2
+    assert pa.concat_arrays(found).to_pylist() == [
+        {"spans": [{"text": f"{i:02d}", "label": "person"}], "status": "ok"} for i in range(20)] + [{"spans": [], "status": "no text"}]
+
+
 def test_dictionary_is_looked_up_part_by_part(spark, monkeypatch):
     entries = spark.createDataFrame([("a b", "person"), ("c", "law")], "text string, label string")
     detect = detector_of(monkeypatch, lambda: entities.dictionary_detector(entries, 2))
