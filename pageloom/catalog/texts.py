@@ -7,6 +7,7 @@ from pageloom import vocab
 from pageloom.catalog import sql
 from pageloom.functions import words
 from pageloom.operators import entities, scoring, text
+from pageloom.plans.staging import stage
 
 # A vocabulary that occurs in the invented words of the test tables.
 PREFIXES = ["the", "ther", "tion", "ent", "ou", "ver", "cion", "qu", "q"]
@@ -164,9 +165,9 @@ def topic_hits_with_repeats(spark, sf_dir):
 
 def tf_idf_documents(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    counts = text.term_freq_with_total(docs, ["doc_id"], "text")
+    counts = stage(text.term_freq_with_total(docs, ["doc_id"], "text"), "term-counts")
     n_docs = spark.read.parquet(f"{sf_dir}/documents.parquet").agg(F.count("*")).scalar()
-    weighted = scoring.tf_idf(counts, ["doc_id"], n_docs, text.document_freq(docs, "text"))
+    weighted = scoring.tf_idf(counts, ["doc_id"], n_docs, text.document_freq(counts))
     return weighted.withColumn("weight", F.round("weight", 6))
 
 

@@ -10,6 +10,9 @@ from pageloom.operators import text as text_ops
 from pageloom.operators.joins import lookup_join, salted_join
 from pageloom.plans.staging import stage
 
+# A term with more than this part of the rows of a corpus is looked up without a shuffle.
+FREQUENT_TERMS = 100_000
+
 
 def with_scores(stats: DataFrame, rules=None) -> DataFrame:
     """Add relevance_score and inferred_category to a table of text stats."""
@@ -114,14 +117,22 @@ def tf_idf(
     weight = tf / n_tokens * (ln((1 + N) / (1 + df)) + 1) with N documents, df of
     them containing the term.  ``counts`` needs ``n_tokens`` (see
     ``term_freq_with_total``); ``document_freq`` (``text.document_freq``) is derived
-    from it if not given.  The vocabulary is written once; frequent terms occur in
-    most documents, so the join back on the term salts the hottest.
+    from it if not given.  ``counts`` is read three times, so it should be a written table.
+
+    A term with more than 1/``FREQUENT_TERMS`` of the rows is looked up where its rows are
+    read.  Fewer than ``FREQUENT_TERMS`` terms can be that frequent, which bounds what is
+    broadcast, and they own most rows; only the rest is shuffled, without a hot key.
     """
     if document_freq is None:
-        document_freq = counts.groupBy("term").agg(F.count("*").alias("df"))
+        document_freq = text_ops.document_freq(counts)
     vocabulary = stage(document_freq, "document-freq")
+    often = F.col("df") > (vocabulary.agg(F.sum("df")).first()[0] or 0) / FREQUENT_TERMS
+    frequent = F.broadcast(vocabulary.filter(often))
+    others = counts.join(F.broadcast(vocabulary.filter(often).select("term")), "term", "left_anti")
+    found = counts.join(frequent, "term").unionByName(
+        others.join(vocabulary.filter(~often).hint("merge"), "term"))
     idf = F.ln((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0
-    return salted_join(counts, vocabulary, ["term"], spread_by=keys, heat="df").select(
+    return found.select(
         *keys, "term", "tf", "df",
         (F.col("tf") / F.col("n_tokens").cast("double") * idf).alias("weight"),
     )

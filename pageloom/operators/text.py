@@ -51,12 +51,16 @@ def term_freq_with_total(
 
 
 def document_freq(
-    df: DataFrame, text: Column | str, stop_words: list[str] = vocab.STOP_WORDS
+    df: DataFrame, text: Column | str | None = None, stop_words: list[str] = vocab.STOP_WORDS
 ) -> DataFrame:
-    """``term, df``: in how many rows each term occurs."""
-    text = F.col(text) if isinstance(text, str) else text
-    terms = df.select(F.explode(F.array_distinct(words.tokens(text, stop_words))).alias("term"))
-    return terms.groupBy("term").agg(F.count("*").alias("df"))
+    """``term, df``: in how many rows each term occurs.
+
+    Without ``text``, ``df`` has a row per row and term (``term_freq_with_total``).
+    """
+    if text is not None:
+        text = F.col(text) if isinstance(text, str) else text
+        df = df.select(F.explode(F.array_distinct(words.tokens(text, stop_words))).alias("term"))
+    return df.groupBy("term").agg(F.count("*").alias("df"))
 
 
 def with_every_key(rows: DataFrame, keys: list[str], every: DataFrame | None) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pageloom import vocab
+from pageloom.catalog import QUERIES
 from pageloom.functions import words
 from pageloom.operators import scoring, text
 
@@ -162,3 +163,25 @@ def test_threshold_keeps_equal_scores(spark):
     assert scoring.keep_relevant(df).count() == 2
     row = scoring.run_metrics(df, spark.range(3)).first()
     assert (row.pages_in, row.discarded, row.kept, row.read_errors) == (3, 1, 2, 3)
+
+
+def test_tf_idf_of_frequent_and_rare_terms(spark, monkeypatch):
+    rows = [(i, f"alpha alpha {'beta' if i % 2 else 'gamma'} rare{i}") for i in range(20)] + [(None, "alpha beta"), (30, None)]
+    docs = spark.createDataFrame(rows, "id int, t string")
+    counts = text.term_freq_with_total(docs, ["id"], "t")
+
+    def run():
+        return sorted(map(tuple, scoring.tf_idf(counts, ["id"], F.lit(22)).collect()), key=repr)
+
+    want = run()
+    assert len(want) == 62 and {(r[1], r[3]) for r in want} >= {("alpha", 21), ("beta", 11), ("rare7", 1)}
+    for share in (1, 10, 50):  # none, some and most terms count as frequent
+        monkeypatch.setattr(scoring, "FREQUENT_TERMS", share)
+        assert run() == want
+
+
+def test_tf_idf_query_splits_texts_once(spark, monkeypatch):
+    calls, tokens = [], words.tokens
+    monkeypatch.setattr(words, "tokens", lambda *args: calls.append(args) or tokens(*args))
+    QUERIES["tf_idf_documents"](spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
